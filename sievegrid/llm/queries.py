@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievegrid.llm import lines
+from sievegrid.llm.lines import op10_lines
+from sievegrid.llm.quality import op3_quality
 from sievegrid.llm.simhash import op4_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op10_lines": op10_lines,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_lines": lines.SQL,
+}
