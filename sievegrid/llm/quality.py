@@ -1,10 +1,10 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader updates.
 
 A text is cut into runs of letters, of digits and of other visible characters. Each run and each pair of
-neighbours is hashed to one of ``2 ** BITS`` features; all pairs of equal neighbours share one feature, so
-repetition is seen whatever is repeated. A text's counts are scaled to length one, and its score is the logistic
-function of a sparse dot product with the weights. The weights are trained on at most ``SAMPLE`` labelled rows,
-dealt to ``SHARDS`` tasks and averaged; scoring is one pass over the whole texts without a shuffle.
+neighbours is hashed to one of ``2 ** BITS`` features; all pairs of equal neighbours share one feature, and so do
+all runs that return after one other, so repetition is seen whatever is repeated. A text's counts are scaled to
+length one, and its score is the logistic function of a sparse dot product with the weights. One task trains the
+weights on at most ``SAMPLE`` labelled rows; scoring is one pass over the whole texts without a shuffle.
 
 Defined results: null and empty texts have the bias alone as their score; without labels, or with one class only,
 the weights are what those rows give (none: a score of 0.5); null ids are scored, are never held out and never
@@ -26,9 +26,8 @@ from sievegrid.llm.shared import read_table
 
 BITS = 18
 #: The largest number of labelled rows that training reads, those of the smallest hash of their id.
-SAMPLE = 12_000
-SHARDS = 4
-EPOCHS = 3
+SAMPLE = 8_000
+EPOCHS = 8
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.3
 _RUN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
@@ -41,7 +40,9 @@ def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     words = np.fromiter(map(crc32, runs), dtype=np.uint64, count=len(runs))
     left, right = words[:-1], words[1:]
     pairs = np.where(left == right, np.uint64(1), (left * np.uint64(0x9E3779B97F4A7C15) ^ right) * np.uint64(0xC2B2AE3D27D4EB4F))
-    grams = np.concatenate([words * np.uint64(0xFF51AFD7ED558CCD), pairs]) >> np.uint64(64 - bits)
+    again = np.full(np.count_nonzero(words[:-2] == words[2:]), 2, dtype=np.uint64)
+    hashes = np.concatenate([words * np.uint64(0xFF51AFD7ED558CCD), pairs, again])
+    grams = np.where(hashes > 2, hashes >> np.uint64(64 - bits), hashes)
     number, count = np.unique(grams, return_counts=True)
     number = np.concatenate([[0], number[number > 0].astype(np.int64)])
     value = np.concatenate([[0.0], count[-(len(number) - 1) :].astype(np.float64)]) if len(number) > 1 else np.zeros(1)
@@ -75,27 +76,34 @@ class Ftrl:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, sample: int = SAMPLE, bits: int = BITS) -> np.ndarray:
     """Weights from labelled rows outside the held-out fold, as one array of ``2 ** bits`` numbers on the driver."""
-    shards = SHARDS
+
+    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [features(text.as_py(), bits) for text in batch.column(2)]
+            columns = [pa.array([x[0] for x in each], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in each], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["order", "label", "number", "value"])
 
     def fit(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("order").to_pylist(), table.column("text").to_pylist(), table.column("label").to_pylist()), key=lambda x: (x[0], x[2]))
-        model, kept = Ftrl(1 << bits), [(features(text, bits), label) for _, text, label in rows]
+        table = table.sort_by([("order", "ascending"), ("label", "ascending")])
+        labels = table.column("label").to_pylist()
+        number, value = ([x.values.to_numpy() for x in table.column(c)] for c in ("number", "value"))
+        model = Ftrl(1 << bits)
         for _ in range(EPOCHS):
-            for (number, value), label in kept:
-                model.update(number, value, label)
+            for at, x, label in zip(number, value, labels):
+                model.update(at, x, label)
         w = model.weights()
         at = np.flatnonzero(w)
-        return pa.table({"rows": pa.array([len(rows)], pa.int64()), "at": pa.array([at.tolist()], pa.list_(pa.int64())), "w": pa.array([w[at].tolist()], pa.list_(pa.float64()))})
+        return pa.table({"at": pa.array([at.tolist()], pa.list_(pa.int64())), "w": pa.array([w[at].tolist()], pa.list_(pa.float64()))})
 
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     usable = usable.where(f"id IS NOT NULL AND label IN (0, 1) AND crc32(CAST(id AS STRING)) % {folds} <> 0")
-    usable = usable.withColumn("order", F.md5(F.concat(F.lit("quality-"), F.col("id").cast("string")))).orderBy("order", "label").limit(sample)
+    usable = usable.withColumn("order", F.md5(F.concat(F.lit("quality-"), F.col("id").cast("string")).cast("binary"))).orderBy("order", "label").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(usable), "id").withColumn("shard", F.crc32(F.col("order").cast("binary")) % shards)  # at most ``sample`` small rows
-    parts = rows.groupBy("shard").applyInArrow(fit, "rows long, at array<long>, w array<double>").collect()
-    weights, total = np.zeros(1 << bits), sum(x.rows for x in parts)
-    for x in parts:
-        weights[np.array(x.at, dtype=np.int64)] += np.array(x.w) * (x.rows / total)
+    rows = texts.join(F.broadcast(usable), "id").select("order", "label", "text")  # at most ``sample`` small rows are sent
+    rows = rows.mapInArrow(featurise, "order string, label int, number array<int>, value array<float>").withColumn("all", F.lit(1))
+    weights = np.zeros(1 << bits)
+    for x in rows.groupBy("all").applyInArrow(fit, "at array<long>, w array<double>").collect():
+        weights[np.array(x.at, dtype=np.int64)] = x.w
     return weights
 
 

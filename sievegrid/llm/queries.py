@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievegrid.llm import lines
 from sievegrid.llm.lines import op10_lines
+from sievegrid.llm.packing import op5_packing
 from sievegrid.llm.quality import op3_quality
 from sievegrid.llm.simhash import op4_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op5_packing": op5_packing,
     "op10_lines": op10_lines,
 }
 
