@@ -1 +1,73 @@
-"""placeholder until the stages exist"""
+"""From raw documents to packed sequences: five stages, each over all that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read back as the next one's
+docs. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievegrid.llm import lines, mixing, packing, quality, simhash
+from sievegrid.llm.shared import Table, read_table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Tokens that mixing keeps, in thousandths of what reaches it; one epoch, so no document comes twice.
+MIX_SHARE = 900
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    docs = docs.select(*COLUMNS)
+    weights = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality.add_score(docs, weights).where(F.col("quality_score") >= quality.THRESHOLD).select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in many documents go; a document that had nothing else goes with them."""
+    out = lines.drop_repeated_lines(docs.select(*COLUMNS)).where("n_dropped = 0 OR kept_text <> ''")
+    same = F.col("n_dropped") == 0
+    text = F.when(same, F.col("row.text")).otherwise(F.col("kept_text"))
+    n_chars = F.when(same, F.col("row.n_chars")).otherwise(F.char_length("kept_text").cast("long"))
+    return out.select("row.doc_id", text.alias("text"), "row.lang", "row.source", n_chars.alias("n_chars"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one of the smallest id."""
+    docs = docs.select(*COLUMNS)
+    classes = simhash.near_duplicates(docs)
+    extra = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(extra, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought towards their target weights."""
+    out = mixing.mix(docs.select(*COLUMNS), mixing.document_levels(), list(mixing.LEVELS), mixing.WEIGHTS, share=MIX_SHARE, epochs=1)
+    return out.select("row.*")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is cut and packed into training sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("lines", drop_lines),
+    ("near_copies", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Training, tokenising and packing can't be said in SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = Table(stage(spark, docs, sf_dir), f"stage-{name}").df
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievegrid.llm import lines
+import corpus_pipeline
+from sievegrid.llm import lines, mixing
 from sievegrid.llm.lines import op10_lines
+from sievegrid.llm.mixing import op7_mixing
 from sievegrid.llm.packing import op5_packing
 from sievegrid.llm.quality import op3_quality
 from sievegrid.llm.simhash import op4_simhash
@@ -16,9 +18,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op7_mixing": op7_mixing,
     "op10_lines": op10_lines,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
+    "op7_mixing": mixing.SQL,
     "op10_lines": lines.SQL,
 }
