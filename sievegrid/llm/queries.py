@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sievegrid.llm import lines, mixing
+from sievegrid.llm import lines, mixing, topk
 from sievegrid.llm.lines import op10_lines
 from sievegrid.llm.mixing import op7_mixing
 from sievegrid.llm.packing import op5_packing
 from sievegrid.llm.quality import op3_quality
 from sievegrid.llm.simhash import op4_simhash
+from sievegrid.llm.topk import op1_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
@@ -24,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_topk": topk.SQL,
     "op7_mixing": mixing.SQL,
     "op10_lines": lines.SQL,
 }
