@@ -10,6 +10,7 @@ import corpus_pipeline
 from sievegrid.llm import lines, mixing, topk
 from sievegrid.llm.lines import op10_lines
 from sievegrid.llm.mixing import op7_mixing
+from sievegrid.llm.multiindex import op6_multiindex
 from sievegrid.llm.packing import op5_packing
 from sievegrid.llm.quality import op3_quality
 from sievegrid.llm.simhash import op4_simhash
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op6_multiindex": op6_multiindex,
     "op7_mixing": op7_mixing,
     "op10_lines": op10_lines,
     "pipeline": corpus_pipeline.run,
