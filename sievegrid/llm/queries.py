@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sievegrid.llm import lines, mixing, topk
+from sievegrid.llm import lines, mixing, topk, warc
 from sievegrid.llm.lines import op10_lines
 from sievegrid.llm.mixing import op7_mixing
 from sievegrid.llm.multiindex import op6_multiindex
@@ -15,6 +15,7 @@ from sievegrid.llm.packing import op5_packing
 from sievegrid.llm.quality import op3_quality
 from sievegrid.llm.simhash import op4_simhash
 from sievegrid.llm.topk import op1_topk
+from sievegrid.llm.warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_multiindex": op6_multiindex,
     "op7_mixing": op7_mixing,
+    "op9_warc": op9_warc,
     "op10_lines": op10_lines,
     "pipeline": corpus_pipeline.run,
 }
@@ -30,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_topk": topk.SQL,
     "op7_mixing": mixing.SQL,
+    "op9_warc": warc.SQL,
     "op10_lines": lines.SQL,
 }
