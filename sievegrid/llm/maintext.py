@@ -19,12 +19,11 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegrid.llm.shared import read_table
@@ -248,9 +247,24 @@ def train(pages: int = 600, rounds: int = 14, batch: int = 30, rate: float = 0.0
     return model
 
 
-@cache
-def labeller() -> Labeller:
-    return train()
+_trained: dict[str, Labeller] = {}
+
+
+def labeller(spark: SparkSession) -> Labeller:
+    """The default weights, trained by one task and kept for the session's later calls."""
+    if not _trained:
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _ in range(batch.num_rows):
+                    w = train().w
+                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array([x.ravel().tolist() for x in w.values()]), pa.array([list(x.shape) for x in w.values()])], names=["name", "numbers", "shape"])
+
+        model = Labeller(np.random.default_rng(SEED))
+        for x in spark.range(1, numPartitions=1).mapInArrow(fit, "name string, numbers array<double>, shape array<long>").collect():
+            model.w[x.name] = np.array(x.numbers).reshape(x.shape)
+        _trained["default"] = model
+    return _trained["default"]
 
 
 #: Blocks of like-sized pages that are labelled at once, about.
@@ -276,7 +290,7 @@ def main_texts(pages: list[str | None], model: Labeller, featurise: Features) ->
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars): one row per row of ``pages``."""
-    model = pages.sparkSession.sparkContext.broadcast(labeller())
+    model = pages.sparkSession.sparkContext.broadcast(labeller(pages.sparkSession))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurise = Features()
