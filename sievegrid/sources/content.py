@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from sievegrid.functions.text import host_of, strip, text_or_empty
 from sievegrid.operators.dedup import first_by
@@ -33,7 +34,7 @@ def rejection(content: Column, content_type: Column, expect: Column) -> Column:
     return reason.when((expect == "html") & (size < LEAST_HTML), "too_short")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """Text of bytes: the first of UTF-8, GB18030 and GBK that reads them, else UTF-8 with replacements.
 
