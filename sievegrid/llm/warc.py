@@ -1,7 +1,7 @@
 """WARC archives: written, read back, and their index merged into ordered capture histories.
 
 Writing: a record is the text of its headers and payload, and records end in two line breaks, so Spark's text
-writer with that separator writes valid WARC/1.1 files, as many as keep each near ``FILE_MB``. Of records with equal
+writer with that separator writes valid WARC/1.1 files, gzipped as a whole and cut near ``FILE_MB``. Of records with equal
 payloads of at least ``MIN_BYTES`` bytes, that of the smallest id is a response and the others are revisits; the
 smallest id of a digest is a pre-aggregated minimum, joined back by digest.
 
@@ -17,6 +17,7 @@ percent-encoded in the headers; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.shared import new_path, read_table
+from sievegrid.llm.shared import Table, new_path, read_table
 
 MIN_BYTES = 100
 #: Size of an archive, about; a reading task holds one archive at a time.
@@ -47,6 +48,7 @@ def with_origin(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(html_col, F.lit("")).alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     first = rows.where(F.col("bytes") >= min_bytes).groupBy(F.col("digest").alias("same")).agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL")
+    first = Table(first.select("same", "first_id"), "repeated-payloads").df  # its size decides the join: payloads move only beyond the broadcast threshold
     both = rows.join(first, (F.col("digest") == F.col("same")) & (F.col("bytes") >= min_bytes), "left")
     origin = F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     return both.select("id", "url", "payload", "bytes", "digest", origin.alias("origin"))
@@ -67,10 +69,13 @@ def record(first_capture: int = FIRST_CAPTURE) -> Column:
 
 
 def write_archives(rows: DataFrame, path: str, file_mb: int = FILE_MB) -> int:
-    """Writes a row of ``with_origin`` as one record each, in files of about ``file_mb``; returns their number."""
-    total = rows.agg(F.sum(F.col("bytes") + 700)).first()[0] or 0
-    files = max(1, -(-total // (file_mb << 20)))
-    rows.repartition(int(files), "id", "digest").select(record().alias("value")).write.option("lineSep", END).text(path)
+    """Writes a row of ``with_origin`` as one record each, in gzipped files of about ``file_mb`` before compression.
+
+    Files are cut by their number of records, so payloads aren't shuffled; returns about how many there are.
+    """
+    size = rows.agg(F.sum(F.col("bytes") + 700).alias("bytes"), F.count("*").alias("n")).first()
+    files = max(1, -(-(size.bytes or 0) // (file_mb << 20)))
+    rows.select(record().alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, size.n // files)).text(path)
     return int(files)
 
 
@@ -114,10 +119,10 @@ def _key(entry: tuple) -> tuple:
 
 
 def read_run(path: str, archive: bytes) -> list[tuple]:
-    """The sorted index entries of one archive; payloads are measured and digested anew."""
+    """The sorted index entries of one gzipped archive; payloads are measured and digested anew."""
     run = path.rpartition("/")[2]
     entries = []
-    for offset, headers, block in parse(archive):
+    for offset, headers, block in parse(gzip.decompress(archive)):
         cut = bytes(block[:4096]).index(_HEADER_END) + len(_HEADER_END)
         inner = dict(x.split(": ", 1) for x in bytes(block[: cut - len(_HEADER_END)]).decode().split(CRLF)[1:])
         digest, size = headers["WARC-Payload-Digest"].removeprefix("sha256:"), int(inner["Content-Length"])
