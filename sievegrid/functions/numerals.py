@@ -8,26 +8,26 @@ from pyspark.sql import functions as F
 _DIGITS = "零一二三四五六七八九"
 
 
+def _places(n: Column, names: tuple[tuple[str, ...], ...]) -> Column:
+    """Digits of n from the highest place on, each written by its place's own names."""
+    top = len(names) - 1
+    return F.concat(*[F.get(F.array(*[F.lit(x) for x in own]), (F.floor(n / 10 ** (top - i)) % 10).cast("int")) for i, own in enumerate(names)])
+
+
 def to_chinese(n: Column) -> Column:
     """1 to 9999 as a Chinese numeral, larger ones as digits, others as 零."""
-    out = F.lit("")
-    gap = F.lit(False)
-    for unit, name in ((1000, "千"), (100, "百"), (10, "十"), (1, "")):
-        digit = F.floor(n / unit) % 10
-        char = F.substring(F.lit(_DIGITS), digit.cast("int") + 1, F.lit(1))
-        begun = out != ""
-        one_ten = (F.lit(unit) == 10) & (digit == 1) & ~begun
-        part = F.concat(F.when(gap & begun, "零").otherwise(""), F.when(one_ten, "").otherwise(char), F.lit(name))
-        out, gap = F.when(digit > 0, F.concat(out, part)).otherwise(out), (digit == 0) & begun | gap & (digit == 0)
-    return F.when(n <= 0, "零").when(n >= 10000, n.cast("string")).otherwise(out)
+    written = _places(n, tuple(("零", *(d + unit for d in _DIGITS[1:])) for unit in ("千", "百", "十", "")))
+    written = F.regexp_replace(F.regexp_replace(written, "零+", "零"), "^零|零$", "")
+    return F.when(n <= 0, "零").when(n >= 10000, n.cast("string")).otherwise(F.regexp_replace(written, "^一十", "十"))
 
 
 def to_roman(n: Column) -> Column:
-    out, rest = F.lit(""), n
-    for value, name in ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
-        many = F.floor(rest / value).cast("int")
-        out, rest = F.concat(out, F.repeat(F.lit(name), many)), rest - many * value
-    return out
+    """1 to 3999 in Roman numerals; larger ones repeat the thousands."""
+
+    def place(one: str, five: str, ten: str) -> tuple[str, ...]:
+        return "", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten
+
+    return F.concat(F.repeat(F.lit("M"), F.floor(n / 1000).cast("int")), _places(n % 1000, (place("C", "D", "M"), place("X", "L", "C"), place("I", "V", "X"))))
 
 
 def list_label(n: Column, form: str) -> Column:

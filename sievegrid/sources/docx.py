@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievegrid.functions.numerals import list_label
@@ -77,6 +78,7 @@ def read_docx_blocks(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(each, SCHEMA)
 
 
+LEVELS = 9
 FORMS = ("decimal", "chineseCounting", "chineseCountingThousand", "japaneseCounting", "upperRoman", "lowerRoman", "upperLetter", "lowerLetter", "decimalEnclosedCircle", "bullet", "none")
 
 
@@ -86,25 +88,20 @@ def numbered_paragraphs(blocks: DataFrame) -> DataFrame:
     A level's counter starts anew after any paragraph of a higher level of the same list; lists that share a
     definition share counters. Counters are window sums over a document's paragraphs.
     """
-    from pyspark.sql import Window as W
-
     rows = blocks.where("kind = 'paragraph'")
-    order = W.partitionBy("path", "abstract_id").orderBy("ord")
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    counted = rows
-    for level in range(9):
-        resets = F.sum(F.when(F.col("level") < level, 1).otherwise(0)).over(upto)
-        counted = counted.withColumn(f"_run{level}", resets)
-    for level in range(9):
-        own = F.sum(F.when(F.col("level") == level, 1).otherwise(0)).over(W.partitionBy("path", "abstract_id", f"_run{level}").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
-        counted = counted.withColumn(f"_n{level}", own)
-    label = F.col("level_text")
-    first = F.coalesce("level_start", F.lit(1))
-    for level in range(9):
-        at = F.greatest(F.col(f"_n{level}") + F.when(F.col("level") == level, first - 1).otherwise(0), F.lit(1))
-        shown = F.when(F.col("level") == level, _label(at)).otherwise(at.cast("string"))
-        label = F.replace(label, F.lit(f"%{level + 1}"), shown)
-    text = F.when(F.col("abstract_id").isNull() | (F.coalesce(label, F.lit("")) == ""), F.col("text")).otherwise(F.concat(label, F.lit(" "), "text"))
+    upto = W.partitionBy("path", "abstract_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    runs = rows.select("*", *[F.sum(F.when(F.col("level") < i, 1).otherwise(0)).over(upto).alias(f"_run{i}") for i in range(LEVELS)])
+    counts = []
+    for i in range(LEVELS):
+        within = W.partitionBy("path", "abstract_id", f"_run{i}").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+        counts.append(F.sum(F.when(F.col("level") == i, 1).otherwise(0)).over(within).cast("int").alias(f"_n{i}"))
+    counted = runs.select("*", *counts)
+    own = F.get(F.array(*[F.col(f"_n{i}") for i in range(LEVELS)]), F.col("level")) + F.coalesce("level_start", F.lit(1)) - 1
+    counted = counted.withColumn("_own", own)
+    label = F.replace("level_text", F.concat(F.lit("%"), (F.col("level") + 1).cast("string")), _label(F.col("_own")))
+    for i in range(LEVELS):
+        label = F.replace(label, F.lit(f"%{i + 1}"), F.greatest(F.col(f"_n{i}"), F.lit(1)).cast("string"))
+    text = F.when(F.col("abstract_id").isNull() | (F.coalesce("level_text", F.lit("")) == ""), F.col("text")).otherwise(F.concat(label, F.lit(" "), "text"))
     return counted.select("path", "ord", F.trim(text).alias("text"))
 
 
