@@ -38,12 +38,12 @@ class Index:
 
 def build(children: DataFrame, id_col: str = "child_id", text_col: str = "text") -> Index:
     """A document without words has one pseudo-token, so that it counts in the mean length."""
-    tokens = words(F.col(text_col))
-    docs = children.select(F.col(id_col).alias("child_id"), F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("　"))).alias("tokens"))
-    postings = docs.select("child_id", F.explode("tokens").alias("term")).groupBy("child_id", "term").agg(F.count("*").alias("tf"))
-    lengths = docs.select("child_id", F.size("tokens").alias("dl"))
-    n = docs.agg(F.count("*").alias("n"))
-    seen = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    tokens = F.explode_outer(words(F.col(text_col)))
+    docs = children.select(F.col(id_col).alias("child_id"), tokens.alias("term")).withColumn("term", F.coalesce("term", F.lit("　")))
+    postings = docs.groupBy("child_id", "term").agg(F.count("*").alias("tf"))  # its exchange serves all three tables
+    lengths = postings.groupBy("child_id").agg(F.sum("tf").alias("dl"))
+    n = children.agg(F.count("*").alias("n"))
+    seen = postings.groupBy("term").agg(F.count("*").alias("df"))
     rated = seen.withColumn("n", n.scalar()).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = EPSILON * rated.agg(F.avg("raw").alias("mean")).scalar()
     return Index(postings, lengths, rated.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")))

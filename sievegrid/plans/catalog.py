@@ -17,6 +17,7 @@ from sievegrid.functions.vectors import sparse_dot
 from sievegrid.operators import bm25, chunking, context, dedup, dense, evaluation, fusion, mining, profile
 from sievegrid.plans import search
 from sievegrid.sources import content, html
+from sievegrid.sources.folders import spread
 from sievegrid.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("child_id"), F.col("source").alias("parent_id"), "text", "lang")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("child_id"), F.col("source").alias("parent_id"), "text", "lang")
+    return spread(rows, "child_id")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +250,7 @@ def last_wins(spark, sf_dir):
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g')")
 def first_wins_exact_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return dedup.first_id_by(docs, F.regexp_replace("text", "[ \\t\\n\\r\\f\\x0B]+", ""), "doc_id").select("doc_id")
 
 
@@ -295,12 +297,13 @@ def clean_text(spark, sf_dir):
 @query()
 def sentences(spark, sf_dir):
     parts = tx.sentences(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("ord", "sentence"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(parts).alias("ord", "sentence"))
 
 
 @query()
 def chunk_length_mode(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("doc_title"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("doc_title"), "text")
     return chunking.children(chunking.parents(docs))
 
 
@@ -319,7 +322,7 @@ def html_extract(spark, sf_dir):
 
 @query()
 def html_paragraphs(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.paragraphs(F.col("html"))).alias("ord", "text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("page_id", F.posexplode(html.paragraphs(F.col("html"))).alias("ord", "text"))
 
 
 @query()

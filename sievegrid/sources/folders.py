@@ -1,10 +1,10 @@
-"""The shared folder for checkpoints."""
+"""The shared folder for checkpoints, and the spread of small tables."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def use_checkpoints(spark: SparkSession) -> None:
@@ -15,3 +15,14 @@ def use_checkpoints(spark: SparkSession) -> None:
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+#: Bytes of a table per task from which its own splits are enough.
+ENOUGH = 8 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deals a table that is too small for as many splits as there are cores over all of them; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < ENOUGH * cores else df
