@@ -35,7 +35,8 @@ PART_ROWS = 50_000
 #: Entries that a task's memory of words may hold.
 MEMORY = 150_000
 
-_PLAIN = re.compile("[^\t\n\r -~¡-¬®-įĲ-ɏ]")
+#: Anything but plain Latin characters, whose kinds both regular-expression engines see alike (not so for ², ½ or the dotless i).
+_PLAIN = re.compile("[^\t\n\r -~¡-¬®-±´-¸º»¿-įĲ-ɏ]")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 
 

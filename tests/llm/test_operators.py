@@ -207,7 +207,7 @@ def test_packing_places_every_token(spark):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path(packing.TOKENIZER)
-    texts = ["Hello, world! It's 2024.", None, "", "déjà vu — naïve", "日本語 text", "<|endoftext|> raw", "a\x1fb \x85 c", "word " * 900, "X" * 5000, "same", "same", "ÀÉÎ ẞ İstanbul Σας"]
+    texts = ["Hello, world! It's 2024.", None, "", "déjà vu — naïve", "日本語 text", "<|endoftext|> raw", "a\x1fb \x85 c", "word " * 900, "X" * 5000, "same", "same", "ÀÉÎ ẞ İstanbul Σας", "x² 1½ ¾ª ×÷ ǅ ı", "snake_case __x__ a_1 don't we'll 3rd"]
     docs = clashing(documents(spark, *texts))
     out = packing.pack_documents(docs, capacity=256).collect()
     tokenizer = Tokenizer.from_file(path)
