@@ -31,8 +31,9 @@ MIN_BYTES = 100
 #: Size of an archive, about; a reading task holds one archive at a time.
 FILE_MB = 8
 RANGE_FILES = 16
-#: Captures are stamped from here on, a second apart by id, where a row brings no time of its own.
+#: Pages bring no capture time: records are stamped from here on, a second apart by id, within thirty years.
 FIRST_CAPTURE = 1704067200
+SPAN = 30 * 365 * 86400
 CRLF = "\r\n"
 END = CRLF + CRLF
 _HEADER_END = END.encode()
@@ -57,7 +58,7 @@ def with_origin(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 def record(first_capture: int = FIRST_CAPTURE) -> Column:
     """The text of a row's WARC record, without the two line breaks that end it."""
     number = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    when = F.date_format(F.timestamp_seconds(F.lit(first_capture) + F.coalesce("id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = F.date_format(F.timestamp_seconds(F.lit(first_capture) + F.pmod(F.coalesce("id", F.lit(0)), F.lit(SPAN))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     target = F.regexp_replace("url", _UNSAFE, "%20")
     revisit = F.col("origin").isNotNull()
     block = _lines("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: ", F.col("bytes").cast("string"), END, F.when(revisit, "").otherwise(F.col("payload")))
@@ -224,6 +225,6 @@ SELECT page_id, n::bigint AS payload_bytes, d AS payload_digest,
        CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
        array_to_string(list_reverse(string_split(lower(h), '.')), ',') || ')' || rest AS url_key,
-       strftime(to_timestamp({FIRST_CAPTURE} + page_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS timestamp
+       strftime(to_timestamp({FIRST_CAPTURE} + page_id % {SPAN}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS timestamp
 FROM k LEFT JOIN f USING (d)
 """

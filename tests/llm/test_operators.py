@@ -328,7 +328,7 @@ def test_main_text_of_pages(spark, labeller):
 # --- 9 WARC ------------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 200 + "\r\n\r\nWARC/1.1\r\n</p>"
-    rows = [(3, "http://b.org/x", big), (1, "http://a.org/ y\n", big), (2, "http://a.org/", "small"), (4, None, None), (5, "http://a.org/", "small"), (None, "http://c.org", big), (6, "u", "z" * 100)]
+    rows = [(3, "http://b.org/x", big), (1, "http://a.org/ y\n", big), (2, "http://a.org/", "small"), (4, None, None), (5, "http://a.org/", "small"), (None, "http://c.org", big), (6, "u", "z" * 100), (2**62, "v", "far")]
     frame = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))
     path = f"file://{tmp_path}/warc"
     archives = warc.write_archives(warc.with_origin(frame), path)
@@ -338,7 +338,7 @@ def test_warc_round_trip(spark, tmp_path):
     for i, _, html in rows:
         data = (html or "").encode()
         assert (seen[i].payload_bytes, seen[i].payload_digest) == (len(data), hashlib.sha256(data).hexdigest())
-    assert {i: (r.record_type, r.refers_to) for i, r in seen.items()} == {1: ("response", None), 3: ("revisit", 1), None: ("revisit", 1), 2: ("response", None), 5: ("response", None), 4: ("response", None), 6: ("response", None)}
+    assert {i: (r.record_type, r.refers_to) for i, r in seen.items()} == {1: ("response", None), 3: ("revisit", 1), None: ("revisit", 1), 2: ("response", None), 5: ("response", None), 4: ("response", None), 6: ("response", None), 2**62: ("response", None)}
     assert [r.url_key for r in out] == sorted(r.url_key for r in out)
     records = [r for f in sorted(Path(f"{tmp_path}/warc").glob("part-*")) for r in warc.parse(gzip.decompress(f.read_bytes()))]
     assert len(records) == len(rows)
