@@ -107,9 +107,17 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(text_or_empty(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
 
 
+WORD = r"[\p{L}\p{N}]+"
+
+
 def words(x: Column) -> Column:
     """Runs of letters and digits in lower case."""
-    return F.regexp_extract_all(F.lower(text_or_empty(x)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text_or_empty(x)), F.lit(WORD), F.lit(0))
+
+
+def word_count(x: Column) -> Column:
+    """The size of ``words`` without building them."""
+    return F.regexp_count(F.lower(text_or_empty(x)), F.lit(WORD))
 
 
 def sentences(x: Column) -> Column:

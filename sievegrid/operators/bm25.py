@@ -1,52 +1,61 @@
-"""Okapi BM25 as tables: postings, lengths and document frequencies; search is a join and a sum.
+"""Okapi BM25 as tables: postings with document lengths, and term weights; search is a join and a sum.
 
-Common terms are in very many documents, so their rows are aggregated before they move and the join is left to
-adaptive execution, which broadcasts a small side by its measured size and splits hot terms otherwise.
+A document is one row, so its length and its distinct terms are taken inside the row: document frequencies are partial
+counts by term, and postings are counted only for the terms that a search asks for. The join with the questions is left
+to adaptive execution, which broadcasts a small side by its measured size and splits hot terms otherwise.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievegrid.functions.text import words
+from sievegrid.functions.text import word_count, words
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Stands in for the words of a document that has none.
+NO_WORD = "\u3000"
 
 
 @dataclass
 class Index:
-    """postings (term, child_id, tf), lengths (child_id, dl), terms (term, idf)."""
+    """postings (term, child_id, tf, dl), terms (term, idf), sizes (n, mean) of one row: documents and their mean length."""
 
     postings: DataFrame
-    lengths: DataFrame
     terms: DataFrame
+    sizes: DataFrame
 
     def save(self, path: str) -> None:
         """A full rebuild; postings are laid out by term so that a search reads few files."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.sizes.write.mode("overwrite").parquet(f"{path}/sizes")
 
     @staticmethod
     def load(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms")))
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "sizes")))
+
+
+def rated(seen: DataFrame, n: Column) -> DataFrame:
+    """(term, idf) from (term, df); a term in most documents gets a share of the mean weight instead of a negative one."""
+    raw = seen.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    floor = EPSILON * raw.agg(F.avg("raw").alias("mean")).scalar()
+    return raw.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
 def build(children: DataFrame, id_col: str = "child_id", text_col: str = "text") -> Index:
-    """A document without words has one pseudo-token, so that it counts in the mean length."""
-    tokens = F.explode_outer(words(F.col(text_col)))
-    docs = children.select(F.col(id_col).alias("child_id"), tokens.alias("term")).withColumn("term", F.coalesce("term", F.lit("　")))
-    postings = docs.groupBy("child_id", "term").agg(F.count("*").alias("tf"))  # its exchange serves all three tables
-    lengths = postings.groupBy("child_id").agg(F.sum("tf").alias("dl"))
-    n = children.agg(F.count("*").alias("n"))
-    seen = postings.groupBy("term").agg(F.count("*").alias("df"))
-    rated = seen.withColumn("n", n.scalar()).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = EPSILON * rated.agg(F.avg("raw").alias("mean")).scalar()
-    return Index(postings, lengths, rated.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")))
+    """A document without words has one pseudo-token, so that it counts in the mean length; ids are unique."""
+    found = words(F.col(text_col))
+    tokens = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_WORD)))
+    docs = children.select(F.col(id_col).alias("child_id"), tokens.alias("tokens"))
+    sizes = children.agg(F.count("*").alias("n"), F.avg(F.greatest(word_count(F.col(text_col)), F.lit(1))).alias("mean"))
+    seen = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    postings = docs.select("child_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    postings = postings.groupBy("child_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "child_id", "tf", "dl")
+    return Index(postings, rated(seen, children.agg(F.count("*").alias("n")).scalar()), sizes)
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
@@ -56,9 +65,9 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
 
 def score(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, child_id, score) of all documents that share a term with a query and score above 0."""
-    mean = index.lengths.agg(F.avg("dl").alias("mean")).scalar()
+    mean = index.sizes.select("mean").scalar()
     wanted = query_terms(queries).join(index.terms, "term")
-    held = index.postings.join(wanted.select("term").distinct(), "term", "left_semi").join(index.lengths, "child_id")
+    held = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     held = held.select("term", "child_id", weight.alias("weight"))
     hits = wanted.join(held, "term").groupBy("query_id", "child_id").agg(F.round(F.sum(F.col("times") * F.col("idf") * F.col("weight")), 6).alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievegrid.functions.text import squeezed, stable_id, strip, text_or_empty, without_blanks
+from sievegrid.operators.containment import containing
 from sievegrid.operators.dedup import first_by
 
 # Wording of generated questions and answers.
@@ -76,17 +77,22 @@ def grounded(pairs: DataFrame, answer: str = "answer", clause: str = "clause") -
 
 def leaks(questions: DataFrame, corpus: DataFrame, id_col: str = "query_id") -> DataFrame:
     """Ids of questions that stand word for word in a text of the corpus, blanks aside."""
-    asked = questions.select(id_col, without_blanks(F.col("text")).alias("asked")).where("asked <> ''")
-    texts = corpus.select(without_blanks(F.col("text")).alias("held"))
-    return asked.join(texts, F.contains("held", F.col("asked")), "left_semi").select(id_col)
+    asked = questions.select(id_col, without_blanks(F.col("text")).alias("text")).where("text <> ''")
+    texts = corpus.select(without_blanks(F.col("text")).alias("text")).withColumn("held_id", F.md5(F.col("text").cast("binary")))
+    return asked.select(id_col).join(containing(asked, texts, id_col, "held_id").select(id_col).distinct(), id_col, "left_semi")
 
 
 def same_fact(kind: Column, subject: Column, field: Column, text: Column, gold_kind: Column, gold_subject: Column, gold_field: Column, gold_text: Column) -> Column:
     """Whether two parents state the same fact: the same cell, the same text, or one reprinted in the other."""
     table = (kind == "table_row") & (gold_kind == "table_row")
-    a, b = without_blanks(text), without_blanks(gold_text)
-    short, long_ = F.when(F.char_length(a) <= F.char_length(b), a).otherwise(b), F.when(F.char_length(a) <= F.char_length(b), b).otherwise(a)
-    texts = (a != "") & (b != "") & ((a == b) | ((F.char_length(short) >= 30) & F.contains(long_, short)))
+    bare = F.array(F.struct(without_blanks(text).alias("a"), without_blanks(gold_text).alias("b")))  # worked out once, then compared
+
+    def reprinted(x: Column) -> Column:
+        a_first = F.char_length(x["a"]) <= F.char_length(x["b"])
+        short, long_ = F.when(a_first, x["a"]).otherwise(x["b"]), F.when(a_first, x["b"]).otherwise(x["a"])
+        return (x["a"] != "") & (x["b"] != "") & ((x["a"] == x["b"]) | ((F.char_length(short) >= 30) & F.contains(long_, short)))
+
+    texts = F.get(F.transform(bare, reprinted), F.lit(0))
     cells = (without_blanks(subject) == without_blanks(gold_subject)) & (without_blanks(field) == without_blanks(gold_field))
     return F.when(table, cells).otherwise(texts)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import text as tx
 from sievegrid.functions.vectors import sparse_dot
-from sievegrid.operators import bm25, chunking, context, dedup, dense, evaluation, fusion, mining, profile
+from sievegrid.operators import bm25, chunking, containment, context, dedup, dense, evaluation, fusion, mining, profile
 from sievegrid.plans import search
 from sievegrid.sources import content, html
 from sievegrid.sources.folders import spread
@@ -158,8 +158,7 @@ SELECT query_id, child_id, pinned, ord::integer AS ord FROM (
     SELECT query_id, child_id, true AS pinned, n FROM pinned UNION ALL SELECT query_id, child_id, false, ord FROM final)) WHERE ord <= 5""")
 def pin_exact(spark, sf_dir):
     pool = _per_parent(spark, sf_dir)
-    held = children(spark, sf_dir).select("child_id", F.col("text").alias("held"))
-    exact = questions(spark, sf_dir).join(held, F.contains("held", F.col("text"))).select("query_id", "child_id", F.lit(1).alias("ord"))
+    exact = theta_contains(spark, sf_dir).withColumn("ord", F.lit(1))
     return fusion.pin(pool.where("ord <= 5"), pool, exact, 5).select("query_id", "child_id", "pinned", "ord")
 
 
@@ -213,8 +212,7 @@ def confidence(spark, sf_dir):
 @query("""
 SELECT item_id AS query_id, doc_id AS child_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def theta_contains(spark, sf_dir):
-    held = children(spark, sf_dir).select("child_id", F.col("text").alias("held"))
-    return questions(spark, sf_dir).join(held, F.contains("held", F.col("text"))).select("query_id", "child_id")
+    return containment.containing(questions(spark, sf_dir), children(spark, sf_dir))
 
 
 @query("SELECT item_id AS query_id FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(b.text, '\\s+', '', 'g')))")

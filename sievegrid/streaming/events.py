@@ -44,7 +44,7 @@ def conversation_memory(turns: DataFrame, keep: int = 20, ttl_ms: int = 3_600_00
 
 
 def grow_index(children: DataFrame, path: str, checkpoint: str):
-    """Appends the postings and lengths of each micro-batch of new children to an index's tables.
+    """Appends the postings and sizes of each micro-batch of new children to an index's tables.
 
     A batch has its own folder, replaced if the batch is run again, so a restart adds nothing twice. Term weights
     depend on all documents and are derived from the tables when they are read.
@@ -53,16 +53,14 @@ def grow_index(children: DataFrame, path: str, checkpoint: str):
     def add(batch: DataFrame, number: int) -> None:
         made = bm25.build(batch)
         made.postings.write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        made.lengths.write.mode("overwrite").parquet(f"{path}/lengths/batch={number}")
+        made.sizes.write.mode("overwrite").parquet(f"{path}/sizes/batch={number}")
 
     return children.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def grown_index(spark, path: str) -> bm25.Index:
     """The index of everything that ``grow_index`` has added so far."""
-    postings, lengths = (spark.read.parquet(f"{path}/{name}").drop("batch") for name in ("postings", "lengths"))
-    n = lengths.agg(F.count("*").alias("n"))
-    seen = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("n", n.scalar())
-    rated = seen.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = bm25.EPSILON * rated.agg(F.avg("raw").alias("mean")).scalar()
-    return bm25.Index(postings, lengths, rated.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")))
+    postings, sizes = (spark.read.parquet(f"{path}/{name}").drop("batch") for name in ("postings", "sizes"))
+    sizes = sizes.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
+    seen = postings.groupBy("term").agg(F.count("*").alias("df"))
+    return bm25.Index(postings, bm25.rated(seen, sizes.select("n").scalar()), sizes)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from sievegrid.functions.text import REPEALED, UNKNOWN
-from sievegrid.operators import bm25, context, dedup, dense, evaluation, fusion, keyword, rerank
+from sievegrid.operators import bm25, containment, context, dedup, dense, evaluation, fusion, keyword, mining, rerank
 
 CHANNEL = "query_id long, child_id string, score double, ord int"
 
@@ -157,3 +159,31 @@ def test_upsert(spark):
     assert {tuple(r) for r in dedup.upsert(old, new, ["id"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
     assert [r.id for r in dedup.to_add(new, old, ["id"]).collect()] == [3]
     assert [r.id for r in dedup.to_remove(new, old, ["id"]).collect()] == [1]
+
+
+@pytest.mark.parametrize("size", [0, 1, 31, 32, 33, 500, 5000])
+def test_containment_matches_contains(spark, size):
+    """Whatever a question's length, and where it stands in a text, all its holders are found."""
+    rng = random.Random(size)
+    text = lambda n: "".join(rng.choice("ab c第é\n") for _ in range(n))
+    asked = [(i, text(size)) for i in range(20)] + [(90, None)]
+    held = [(i, text(rng.randrange(60)) + asked[i % 20][1] + text(rng.randrange(60))) for i in range(60)] + [(60, ""), (61, None), (62, text(3000))]
+    held += [(0, held[0][1])]
+    out = containment.containing(spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(held, "child_id long, text string"))
+    wanted = sorted((q, c) for q, a in asked for c, h in held if a is not None and h is not None and a in h)
+    assert sorted(map(tuple, out.collect())) == wanted
+
+
+def test_windows_of_long_texts_are_those_of_their_parts(monkeypatch):
+    text = "".join(random.Random(3).choices("abcdef ", k=3000))
+    whole = containment.chosen_windows(text)
+    monkeypatch.setattr(containment, "_PIECE", 100)
+    assert containment.chosen_windows(text).tolist() == whole.tolist()
+    assert len(whole) > 100
+
+
+def test_leaks_ignore_blanks(spark):
+    passage = "The holder may exercise the option on any trading day before it expires, 行权 included."
+    asked = spark.createDataFrame([(1, passage), (2, passage + " never"), (3, " "), (4, None)], "query_id long, text string")
+    corpus = spark.createDataFrame([("x" + passage.replace(" ", "\n  ") + "y",)] * 3 + [(None,)], "text string")
+    assert [x.query_id for x in mining.leaks(asked, corpus).collect()] == [1]
