@@ -38,6 +38,8 @@ CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile("[a-z]+")
+#: What ends a raw element; its content is not markup, whatever it looks like.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW_TAGS}
 
 PATH_BITS, WORD_BITS, MEASURES = 8, 5, 4
 WIDTH = (1 << PATH_BITS) + (1 << WORD_BITS) + MEASURES
@@ -50,8 +52,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
-    linked = dropped = anchors = 0
-    raw = ""
+    linked = dropped = anchors = at_char = 0
+    page = page or ""
 
     def flush() -> None:
         nonlocal linked
@@ -68,17 +70,15 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             anchors -= name == "a"
         del stack[to:]
 
-    for token in _TOKEN.finditer(page or ""):
+    while token := _TOKEN.match(page, at_char):
+        at_char = token.end()
         name = token[2]
         if name is None:
-            if not raw and not dropped and token[0][:2] not in ("<!", "<?"):
+            if not dropped and token[0][:2] not in ("<!", "<?"):
                 text.append(token[0])
                 linked += len(token[0]) if anchors else 0
             continue
         name = name.lower()
-        if raw:
-            raw = "" if token[1] and name == raw else raw
-            continue
         block = name in BLOCK_TAGS
         if block or name in DROPPED_TAGS:
             flush()
@@ -92,7 +92,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         if name in VOID_TAGS or token[3].endswith("/"):
             continue
         if name in RAW_TAGS:
-            raw = name
+            end = _RAW_END[name].search(page, at_char)
+            at_char = end.start() if end else len(page)
             continue
         if name == "body" or (dropped and name in ("article", "main", "nav", "header", "footer", "div", "p", "h1") and any(x == "head" for x, _ in stack)):
             at = next((i for i, (x, _) in enumerate(stack) if x == "head"), None)

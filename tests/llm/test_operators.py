@@ -325,6 +325,12 @@ def test_main_text_of_pages(spark, labeller):
     assert maintext.extract(frame.where("false")).count() == 0
 
 
+def test_raw_elements_end_at_their_close_tag_only():
+    for raw in ("<script>for(i=0;i<n;i++){x()}</script>", "<script>if(a<b){s='it\"s'}</SCRIPT >", "<script><!-- x<y </script>", "<style>a<b{}</style\n>", "<script>'</scripts>'</script>", "<textarea><p 'x</textarea>", "<title>a<b</title>"):
+        assert [t for _, t, _ in maintext.blocks(f"<p>one</p>{raw}<article>two</article><script>x</script><p>three</p>")] == ["one", "two", "three"], raw
+    assert [t for _, t, _ in maintext.blocks("<p>one</p><script>i<n;</p><p>two</p>")] == ["one"]
+
+
 # --- 9 WARC ------------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 200 + "\r\n\r\nWARC/1.1\r\n</p>"
