@@ -27,8 +27,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in many documents go; a document that had nothing else goes with them."""
-    out = lines.drop_repeated_lines(docs.select(*COLUMNS)).where("n_dropped = 0 OR kept_text <> ''")
+    """Lines found in many distinct texts go; a document that had nothing else goes with them.
+
+    A text counts once however many documents have it, as ``drop_near_copies`` is to keep one of them.
+    """
+    out = lines.drop_repeated_lines(docs.select(*COLUMNS), per=F.xxhash64("text")).where("n_dropped = 0 OR kept_text <> ''")
     same = F.col("n_dropped") == 0
     text = F.when(same, F.col("row.text")).otherwise(F.col("kept_text"))
     n_chars = F.when(same, F.col("row.n_chars")).otherwise(F.char_length("kept_text").cast("long"))

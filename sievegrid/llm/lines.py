@@ -46,13 +46,20 @@ def _hashes(lines: Column, min_chars: int) -> Column:
     return F.transform(lines, one)
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(row, kept_text, n_lines, n_dropped): ``row`` is a struct of the given columns."""
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _hashes(_lines(text_col), min_chars).alias("keys"))
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, per: Column | None = None) -> DataFrame:
+    """(row, kept_text, n_lines, n_dropped): ``row`` is a struct of the given columns.
+
+    With ``per`` a line counts once for each value of it that is not null, instead of once for each row.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _hashes(_lines(text_col), min_chars).alias("keys"), *([] if per is None else [per.alias("unit")]))
     counted = own.select(F.explode(F.array_distinct("keys")).alias("hex")).where("hex IS NOT NULL").groupBy(F.unhex("hex").alias("key"))
     frequent = Table(counted.agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("key"), "frequent-lines").df
-    held = own.select("id", "text_hash", F.posexplode("keys").alias("pos", "hex")).where("hex IS NOT NULL")
-    held = held.select("id", "text_hash", "pos", F.unhex("hex").alias("key")).join(frequent, "key", "left_semi")
+    held = own.select(*[c for c in own.columns if c != "keys"], F.posexplode("keys").alias("pos", "hex")).where("hex IS NOT NULL")
+    held = held.withColumn("key", F.unhex("hex")).drop("hex").join(frequent, "key", "left_semi")
+    if per is not None:  # lines of enough rows are few; only those are counted by value
+        held = Table(held, "held-lines").df
+        units = held.where("unit IS NOT NULL").select("key", "unit").distinct().groupBy("key").agg(F.count("*").alias("n"))
+        held = held.join(Table(units.where(F.col("n") >= min_docs).select("key"), "frequent-lines").df, "key", "left_semi")
     told = held.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))

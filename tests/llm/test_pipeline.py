@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline
 from sievegrid.llm import queries
 from sievegrid.llm.shared import Table
+from tests.llm.test_operators import documents
 from tests.oracle import assert_same, connect
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,11 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert [r.n for r in packed.groupBy("sequence_id").agg({"length": "sum"}).toDF("s", "n").collect() if r.n > 4096] == []
+
+
+def test_whole_copies_do_not_make_lines_frequent(spark):
+    texts = ["only a\nonly b"] * 12 + [f"shared\nown {i}" for i in range(10)] + ["shared"] * 3
+    out = corpus_pipeline.drop_lines(spark, documents(spark, *texts), "")
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {i: ("only a\nonly b", 13) for i in range(12)} | {12 + i: (f"own {i}", 5) for i in range(10)}
+    kept = corpus_pipeline.drop_near_copies(spark, out, "")
+    assert [r.doc_id for r in kept.where("text = 'only a\\nonly b'").collect()] == [0]
