@@ -61,3 +61,9 @@ def test_groups_take_few_rounds_or_all_pairs_alike(spark):
     for stars in (0, 1, 3):
         out = {r.row_id: r.group_id for r in nearcopies.groups(rows, stars=stars).collect()}
         assert union_find(60, list(out.items())) == root, stars
+
+
+def test_rows_that_share_or_lack_an_id(spark):
+    texts = ["a b c d e f"] * 3 + ["g h i j k l"] * 2 + ["a b c d e f", "m n o p q r"]
+    out = corpus_pipeline.drop_near_copies(spark, documents(spark, *texts, ids=[5, 5, 7, None, None, 3, 7]), "")
+    assert sorted((r.text, r.doc_id) for r in out.collect()) == [("a b c d e f", 3), ("g h i j k l", None), ("m n o p q r", 7)]
