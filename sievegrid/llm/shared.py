@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[list[Table]] = []
+
+
 class Table:
     """A frame written once as Parquet: it cuts lineage, and a lost executor costs no recomputation."""
 
@@ -36,11 +41,31 @@ class Table:
         self.path = new_path(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        for tables in _written:
+            tables.append(self)
 
     def drop(self) -> None:
         delete(self.spark, self.path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables written inside at its end; what is needed later must be written outside of it or kept by ``keep``."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for table in _written.pop():
+            table.drop()
+
+
+def keep(table: Table) -> Table:
+    """Takes a table out of the reach of all ``scratch`` blocks that are open."""
+    for tables in _written:
+        tables.remove(table)
+    return table
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a path of any store that Spark can write to."""
     jvm = spark._jvm

@@ -47,8 +47,17 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     counts = np.zeros(64, dtype=np.int64)
     for start in range(0, total, _PIECE):
         part = tokens[start : start + _PIECE + words - 1]
-        hashes = np.array([digest(join(x), SEED) for x in zip(*(part[i:] for i in range(words)))], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += bit_counts(np.array([digest(join(x), SEED) for x in zip(*(part[i:] for i in range(words)))], dtype="<u8"))
+    return majority(counts, total)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, total: int) -> int:
+    """The fingerprint: bits that are set in over half of ``total`` hashes."""
     return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little")
 
 

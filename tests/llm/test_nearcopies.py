@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -58,9 +59,18 @@ def test_groups_take_few_rounds_or_all_pairs_alike(spark):
     pairs, root = brute_force(texts)
     assert len(set(root)) < 60
     rows = documents(spark, *texts).select(F.col("doc_id").alias("row_id"), "text")
-    for stars in (0, 1, 3):
-        out = {r.row_id: r.group_id for r in nearcopies.groups(rows, stars=stars).collect()}
-        assert union_find(60, list(out.items())) == root, stars
+    for small, stars in ((1, 0), (1, 3), (16, 2)):
+        out = {r.row_id: r.group_id for r in nearcopies.groups(rows, small=small, stars=stars).collect()}
+        assert union_find(60, list(out.items())) == root, (small, stars)
+
+
+def test_tiles_find_the_similar_sets(monkeypatch):
+    rng = random.Random(8)
+    sets = [np.unique(np.array(rng.choices(range(30), k=rng.randint(0, 30)), dtype=np.int64)) for _ in range(50)]
+    want = {(i, j) for i, a in enumerate(sets[:20]) for j, b in enumerate(sets) if len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b))}
+    for cells in (8, 200, 1 << 20):
+        monkeypatch.setattr(nearcopies, "_CELLS", cells)
+        assert set(nearcopies.similar_rows(sets[:20], sets, 0.5)) == want
 
 
 def test_rows_that_share_or_lack_an_id(spark):
