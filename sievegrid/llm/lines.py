@@ -2,8 +2,9 @@
 
 Lines are keyed by a hash of their normal form; a document counts once for each key it holds, in its own row
 before any shuffle, so a line of every document is one partial count per task. Keys over the threshold are written
-as a table, whose size decides the join: Spark broadcasts it only under its own threshold, else it joins by key
-and splits hot keys. Each document is told the positions of its dropped lines and joins what lies between them.
+as a table. Up to ``MOST_SENT`` of them are sent to the tasks, which drop lines row by row without moving a text. More are
+joined by key, where Spark splits hot keys; each document is then told the positions of its dropped lines and joins what
+lies between them.
 
 Defined results: null and empty texts have one empty line; a row is a document (repeated rows count separately);
 keys shorter than ``min_chars`` code points never drop; a null ``doc_id`` is handled like any other value; a document
@@ -12,13 +13,20 @@ that loses all lines keeps an empty text; an empty table gives an empty result;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievegrid.llm.shared import Table, read_table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
+#: Keys that are sent to the tasks, 16 bytes each and some 80 more in a Python set; more are joined.
+MOST_SENT = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -46,20 +54,45 @@ def _hashes(lines: Column, min_chars: int) -> Column:
     return F.transform(lines, one)
 
 
+def _dropped_in_rows(docs: DataFrame, text_col: str, frequent: DataFrame, min_chars: int) -> DataFrame:
+    keys = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(x.key) for x in frequent.collect()))  # ``MOST_SENT`` at most
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop, blanks = keys.value, _BLANKS.encode()
+        for batch in batches:
+            kept_texts, n_lines, n_dropped = [], [], []
+            for text in batch.column(1):
+                lines = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
+                kept = []
+                for line in lines:
+                    key = line.lower().strip(blanks)  # bytes: only A-Z
+                    if len(key) < min_chars or md5(key).digest() not in drop or (len(key) < 4 * min_chars and len(key.decode("utf-8", "surrogatepass")) < min_chars):
+                        kept.append(line)
+                kept_texts.append(b"\n".join(kept).decode("utf-8", "surrogatepass"))
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(kept))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept_texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["row", "kept_text", "n_lines", "n_dropped"])
+
+    kinds = StructType([rows.schema["row"], *StructType.fromDDL("kept_text string, n_lines long, n_dropped long")])
+    return rows.mapInArrow(each, kinds)
+
+
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, per: Column | None = None) -> DataFrame:
     """(row, kept_text, n_lines, n_dropped): ``row`` is a struct of the given columns.
 
     With ``per`` a line counts once for each value of it that is not null, instead of once for each row.
     """
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _hashes(_lines(text_col), min_chars).alias("keys"), *([] if per is None else [per.alias("unit")]))
-    counted = own.select(F.explode(F.array_distinct("keys")).alias("hex")).where("hex IS NOT NULL").groupBy(F.unhex("hex").alias("key"))
-    frequent = Table(counted.agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("key"), "frequent-lines").df
-    held = own.select(*[c for c in own.columns if c != "keys"], F.posexplode("keys").alias("pos", "hex")).where("hex IS NOT NULL")
+    unit = [] if per is None else ["unit"]
+    counted = own.select(F.explode(F.array_distinct("keys")).alias("hex"), *unit).where("hex IS NOT NULL").select(F.unhex("hex").alias("key"), *unit)
+    if per is not None:
+        counted = counted.where("unit IS NOT NULL").distinct()
+    frequent = Table(counted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("key"), "frequent-lines").df
+    if frequent.count() <= MOST_SENT:
+        return _dropped_in_rows(docs, text_col, frequent, min_chars)
+    held = own.select("id", "text_hash", F.posexplode("keys").alias("pos", "hex")).where("hex IS NOT NULL")
     held = held.withColumn("key", F.unhex("hex")).drop("hex").join(frequent, "key", "left_semi")
-    if per is not None:  # lines of enough rows are few; only those are counted by value
-        held = Table(held, "held-lines").df
-        units = held.where("unit IS NOT NULL").select("key", "unit").distinct().groupBy("key").agg(F.count("*").alias("n"))
-        held = held.join(Table(units.where(F.col("n") >= min_docs).select("key"), "frequent-lines").df, "key", "left_semi")
     told = held.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
