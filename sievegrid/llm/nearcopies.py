@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievegrid.llm.components import connected_components, forest
-from sievegrid.llm.shared import Table
+from sievegrid.llm.shared import Table, keep, scratch
 from sievegrid.llm.simhash import MAX_BITS, bit_counts, majority, near_links
 
 WORDS = 5
@@ -157,19 +157,12 @@ class _Groups:
         members = buckets.join(self.roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         return Table(members, "near-members").df
 
-    def all_pairs(self, buckets: DataFrame) -> None:
-        """Compares all pairs of a bucket that aren't joined yet."""
-        members = self.members(buckets)
-        self.compare(members.toDF("key", "a", "root").join(members.toDF("key", "b", "other"), "key").where("root < other"))
-
-    def stars(self, buckets: DataFrame, rounds: int) -> None:
-        """Rounds of comparing with a head; it differs from round to round, so that a bucket of several groups is told apart."""
-        for turn in range(rounds):
-            members = self.members(buckets)
-            head = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), F.col("node"), F.col("root")))
-            heads = members.groupBy("key").agg(head.alias("head"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-            heads = heads.select("key", F.col("head.node").alias("b"), F.col("head.root").alias("other"))
-            self.compare(members.withColumnRenamed("node", "a").join(heads, "key").where("root <> other"))
+    def heads(self, members: DataFrame, turn: int) -> DataFrame:
+        """(a, root, b, other): members that aren't joined with their bucket's head, which differs from turn to turn."""
+        head = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), F.col("node"), F.col("root")))
+        heads = members.groupBy("key").agg(head.alias("head"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        heads = heads.select("key", F.col("head.node").alias("b"), F.col("head.root").alias("other"))
+        return members.withColumnRenamed("node", "a").join(heads, "key").where("root <> other").select("a", "b")
 
     def settle(self, buckets: DataFrame) -> None:
         """Compares the members outside a bucket's largest group with all of it, tile by tile."""
@@ -206,27 +199,32 @@ class _Groups:
 
 def groups(rows: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, stars: int = STARS) -> DataFrame:
     """(row_id, group_id) for each row of (row_id, text); row ids are unique, the group's id is one of them."""
-    sketches = Table(_sketches(rows), "near-sketches").df
-    classes = Table(sketches.groupBy("text_key").agg(F.min("row_id").alias("node"), F.min("fp").alias("fp")), "near-classes").df  # equal words have equal fingerprints
-    dealt = sketches.join(classes.select(F.col("node").alias("row_id")), "row_id", "left_semi")
-    dealt = Table(dealt.select(F.explode("bands").alias("key"), F.col("row_id").alias("node")), "near-bands")
-    shared = dealt.df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = Table(dealt.df.join(shared, "key").select("key", "node", "n"), "near-buckets").df
-    dealt.drop()
-
-    prints = Table(classes.groupBy("fp").agg(F.min("node").alias("first")), "near-prints").df
-    same = classes.join(prints, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    near = near_links(prints.select("fp"), MAX_BITS)
-    near = near.join(prints.toDF("a", "first_a"), "a").join(prints.toDF("b", "first_b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    pairs = Table(same.union(near), "near-candidates").df
-
-    wanted = buckets.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct().withColumnRenamed("node", "row_id")
-    found = _Groups(Table(_sets(rows.join(wanted, "row_id", "left_semi")), "near-sets").df, similarity)
-    found.compare(pairs)
-    found.all_pairs(buckets.where(F.col("n") <= small))
-    large = buckets.where(F.col("n") > small)
-    if not large.isEmpty():
-        found.stars(large, stars)
-        found.settle(large)
-    named = classes.join(found.roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("group_id"))
+    with scratch():
+        sketches = keep(Table(_sketches(rows), "near-sketches")).df
+        classes = Table(sketches.groupBy("text_key").agg(F.min("row_id").alias("node"), F.min("fp").alias("fp")), "near-classes").df  # equal words have equal fingerprints
+        dealt = sketches.join(classes.select(F.col("node").alias("row_id")), "row_id", "left_semi")
+        dealt = Table(dealt.select(F.explode("bands").alias("key"), F.col("row_id").alias("node")), "near-bands")
+        shared = dealt.df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        buckets = Table(dealt.df.join(shared, "key").select("key", "node", "n"), "near-buckets").df
+        dealt.drop()
+
+        prints = Table(classes.groupBy("fp").agg(F.min("node").alias("first")), "near-prints").df
+        same = classes.join(prints, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        near = near_links(prints.select("fp"), MAX_BITS)
+        near = near.join(prints.toDF("a", "first_a"), "a").join(prints.toDF("b", "first_b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+        pairs = Table(same.union(near), "near-candidates").df
+
+        wanted = buckets.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct().withColumnRenamed("node", "row_id")
+        found = _Groups(Table(_sets(rows.join(wanted, "row_id", "left_semi")), "near-sets").df, similarity)
+        few, large = buckets.where(F.col("n") <= small).select("key", "node"), buckets.where(F.col("n") > small).select("key", "node")
+        each = few.toDF("key", "a").join(few.toDF("key", "b"), "key").where("a > b").select("a", "b")
+        first = found.heads(large.withColumn("root", F.col("node")), 0)
+        found.compare(pairs.union(each).union(first))
+        if not large.isEmpty():
+            found.sets = Table(found.sets.join(large.select("node").distinct(), "node", "left_semi"), "near-sets").df
+            for turn in range(1, stars):
+                found.compare(found.heads(found.members(large), turn))
+            found.settle(large)
+        named = classes.join(found.roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("group_id"))
+        named = keep(Table(named, "near-named")).df
     return sketches.select("row_id", "text_key").join(named, "text_key").select("row_id", "group_id")

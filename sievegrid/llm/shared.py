@@ -60,9 +60,9 @@ def scratch() -> Iterator[None]:
 
 
 def keep(table: Table) -> Table:
-    """Takes a table out of the reach of all ``scratch`` blocks that are open."""
-    for tables in _written:
-        tables.remove(table)
+    """Takes a table out of the reach of the innermost ``scratch`` block; outside of one it does nothing."""
+    if _written:
+        _written[-1].remove(table)
     return table
 
 

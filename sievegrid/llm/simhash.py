@@ -10,7 +10,8 @@ values at once, adds up the differing bits and drops a whole branch once they ex
 
 Defined results: a null or empty text has fingerprint zero, which links like any other; a null ``doc_id`` is kept,
 gets its component's smallest ``doc_id`` and is never that smallest one (null if no row of the component has an
-id); repeated rows come back as often as given; an empty table gives an empty result; other columns are ignored.
+id); repeated rows come back as often as given; an empty table gives an empty result; other columns are ignored. A task
+holds the words of one text at a time, and the hashes of ``_PIECE`` of its shingles.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievegrid.llm.components import connected_components
-from sievegrid.llm.shared import Table
+from sievegrid.llm.shared import Table, keep, scratch
 
 MAX_BITS = 3
 WORDS = 3
@@ -229,13 +230,14 @@ def near_links(values: DataFrame, limit: int = MAX_BITS, large: int = LARGE_GROU
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, limit: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``; see the module for the defined results."""
-    prints = Table(fingerprints(docs, id_col, text_col, words), "simhash-prints").df
-    values = Table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-values").df
-    nodes = connected_components(near_links(values, limit))
-    own = values.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    own = own.withColumn("root", F.coalesce("root", "fp"))
-    first = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = Table(own.join(first, "root").select("fp", "component_id"), "simhash-classes").df
+    with scratch():
+        prints = keep(Table(fingerprints(docs, id_col, text_col, words), "simhash-prints")).df
+        values = Table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-values").df
+        nodes = connected_components(near_links(values, limit))
+        own = values.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left")
+        own = own.withColumn("root", F.coalesce("root", "fp"))
+        first = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        classes = keep(Table(own.join(first, "root").select("fp", "component_id"), "simhash-classes")).df
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
