@@ -1,27 +1,31 @@
 """URL filter: rules first, then words segmented from host and path, scored by multinomial naive Bayes.
 
 Runs of letters in host and path are split into words by a unigram model: Viterbi finds the split of the highest
-probability, where an unlisted word gets less the longer it is. The words are scored by naive Bayes, trained
-with Spark aggregations over labelled URLs; words it hasn't seen say nothing. Judging is one pass without a shuffle.
-A worker remembers the runs that it has split lately, so a host of a third of all rows is split once.
+probability, where an unlisted word gets less the longer it is. The model's counts are those of the words of a corpus.
+Naive Bayes learns its word odds from labelled texts, smoothed in proportion to the classes, so that a word that was
+never labelled says nothing. Counts, odds and scores are Spark aggregations and joins: the distinct runs of all URLs are
+split once each, with the words that lie in them joined to them, so no dictionary is sent to the tasks or cut to fit.
+
+Words are runs of A-Z letters in any case, of at most ``LONGEST_WORD`` letters; longer ones are no words of the model, and
+what stands in a URL for them is split like anything unlisted.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is judged by the prior
-alone; any length and repeated rows are judged whole and row by row; a null id is kept; an empty table gives an empty
-result; other columns are ignored.
+alone; a score of exactly 0 allows; of rules of equal length that fit, the first stands; any length and repeated rows
+are judged whole and row by row; null ids are kept; without labels every word's odds are 0; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from functools import cache, lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.shared import read_table
+from sievegrid.llm.lines import ascii_lower
+from sievegrid.llm.shared import Table, keep, read_table, scratch
 
 #: (host, path, verdict)
 RULES = (
@@ -31,177 +35,121 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Words that naive Bayes keeps, the most frequent ones.
-VOCABULARY = 100_000
-SMOOTHING = 0.5
+LONGEST_WORD = 40
+#: Weight of the classes' own proportion in a word's odds, in occurrences.
+SMOOTHING = 10.0
 #: Share of addresses taken to be bad before a word is read.
-PRIOR = 0.25
-LONGEST_WORD = 24
-_LETTERS = re.compile("[a-z]+")
-
-# Words for the unigram model, most frequent first; the n-th has a weight of 1/n.
-WORDS = """
-the of and to in a is for on that with by this it at from be as are or home news page blog my shop online store world
-free best web site you your new info all one day life book art music game play video photo food health travel school
-city house garden sport team radio weather science history recipe family market money bank code cloud data open
-library museum press daily review forum help support guide learn green blue red star sun sea land park street post
-mail win casino bet bets betting poker slots jackpot bonus lottery gamble roulette pill pills pharmacy viagra cheap
-discount spam farm loan loans credit payday cash fast quick rich adult sex porn cam cams dating hot girls escort
-replica watches crack warez torrent click prize winner offer deals buy sale now crypto coin invest forex seo traffic
-links hack keygen serial download weight loss miracle diet
-"""
-
-# Labelled addresses that naive Bayes is trained on by default; 1 is to be blocked.
-EXAMPLES = """
-0 dailynews.example/world/today
-0 citylibrary.example/books/new
-0 www.schoolscience.example/learn/history
-0 gardenblog.example/post/green-garden
-0 familyrecipe.example/food/best-recipe
-0 weather.example/city/sun
-0 opendata.example/code/guide
-0 museumpress.example/art/review
-0 radiomusic.example/play/video
-0 travelguide.example/sea/land
-0 healthforum.example/help/support
-0 bookreview.example/library/family
-0 blog.photostreet.example/photo/park
-0 sportteam.example/news/game
-0 homeshop.example/store/house
-0 worldmarket.example/money/bank
-0 mail.example/support/page
-0 cloudcode.example/learn/open-data
-1 discountpharmacy.example/pills/buy
-1 onlinepharmacy.example/viagra/discount
-1 pillsonline.example/cheap/sale
-1 jackpotcasino.example/bonus/slots
-1 bestcasino.example/jackpot/winner
-1 pokerslots.example/free/bonus
-1 sportbets.example/betting/win/free
-1 bettingbonus.example/bet/now
-1 lotteryprize.example/click/winner
-1 linkspam.example/farm/seo/links
-1 trafficlinks.example/spam/click
-1 paydayloans.example/fast/cash
-1 quickcredit.example/loan/offer
-1 hotgirls.example/adult/cam
-1 sexdating.example/porn/cams
-1 escort.example/adult/girls
-1 replicawatches.example/cheap/buy
-1 crackwarez.example/keygen/serial
-1 torrentcrack.example/download/hack
-1 cryptocoin.example/invest/rich
-1 forexinvest.example/quick/rich
-1 weightloss.example/miracle/diet
-1 gambleroulette.example/casino/poker
-1 cheapdeals.example/click/prize
-"""
-
-
-def parts(url: str | None) -> tuple[str, str]:
-    """Host with A-Z lower-cased, and path, as they stand in the url."""
-    _, mark, rest = (url or "").partition("://")
-    if not mark:
-        return "", ""
-    at = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
-    end = next((i for i in range(at, len(rest)) if rest[i] in "?#"), len(rest))
-    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:at])
-    return host, rest[at:end]
-
-
-def rule_for(host: str, path: str, rules: tuple = RULES) -> tuple[str, str] | None:
-    """(rule, verdict) of the longest rule that fits."""
-    fits = [(own + start, verdict) for own, start, verdict in rules if (host == own or host.endswith("." + own)) and path.startswith(start)]
-    return max(fits, key=lambda x: len(x[0]), default=None)
-
-
-class Segmenter:
-    """Splits a run of letters into the most probable words of a unigram model."""
-
-    def __init__(self, weights: dict[str, float]):
-        total = sum(weights.values())
-        self.cost = {w: -math.log(n / total) for w, n in weights.items()}
-        self.rare = -math.log(1 / total)
-        self.longest = min(LONGEST_WORD, max(map(len, weights), default=1))
-        self.split = lru_cache(maxsize=100_000)(self._split)
-
-    def _split(self, run: str) -> tuple[str, ...]:
-        """Viterbi over the ends of words; a stretch without listed words stays one unlisted word."""
-        best, back = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1)
-        open_cost, open_from = [math.inf] * (len(run) + 1), [0] * (len(run) + 1)
-        for end in range(1, len(run) + 1):
-            start, grown = best[end - 1] + self.rare + 2.3, open_cost[end - 1] + 2.3
-            open_cost[end], open_from[end] = (start, end - 1) if start <= grown else (grown, open_from[end - 1])
-            best[end], back[end] = open_cost[end], open_from[end]
-            for at in range(max(0, end - self.longest), end):
-                cost = self.cost.get(run[at:end])
-                if cost is not None and best[at] + cost < best[end]:
-                    best[end], back[end] = best[at] + cost, at
-        words, end = [], len(run)
-        while end:
-            words.append(run[back[end] : end])
-            end = back[end]
-        return tuple(reversed(words))
-
-    def words(self, host: str, path: str) -> list[str]:
-        return [w for text in (host, path.lower()) for run in _LETTERS.findall(text) for w in self.split(run)]
-
-
-@cache
-def default_weights() -> dict[str, float]:
-    return {w: 1 / (i + 1) for i, w in enumerate(WORDS.split())}
-
-
-@cache
-def _segmenter(weights: tuple[tuple[str, float], ...]) -> Segmenter:
-    return Segmenter(dict(weights))
-
-
-def default_examples(spark: SparkSession) -> DataFrame:
-    lines = [x.split(" ", 1) for x in EXAMPLES.strip().splitlines()]
-    return spark.createDataFrame([("https://" + url, int(label)) for label, url in lines], "url string, label int")
-
-
-def train(examples: DataFrame, weights: dict[str, float] | None = None, vocabulary: int = VOCABULARY) -> dict[str, float]:
-    """Log odds by word from (url, label): counts by word and label, smoothed."""
-    known = tuple((weights or default_weights()).items())
+PRIOR = 0.1
+#: What each letter of an unlisted word costs, besides a word that was seen once.
+LETTER_COST = math.log(10)
+
+
+def with_parts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, host, path): host with A-Z lower-cased, and path, as they stand in the url."""
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    rest = F.when(F.contains(url, F.lit("://")), F.substring(url, F.instr(url, "://") + 3, F.char_length(url))).otherwise("")
+    host, path = (F.regexp_extract(rest, "^([^/?#]*)([^?#]*)", i) for i in (1, 2))
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), ascii_lower(host).alias("host"), path.alias("path"))
+
+
+def by_rule(rules: tuple = RULES) -> tuple[Column, Column]:
+    """(rule, verdict) of the longest rule that fits host and path, nulls if none does."""
+    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for own, start, said in sorted(rules, key=lambda r: -len(r[0] + r[1]))[::-1]:
+        fits = ((F.col("host") == own) | F.endswith("host", F.lit("." + own))) & F.startswith("path", F.lit(start))
+        rule, verdict = F.when(fits, own + start).otherwise(rule), F.when(fits, said).otherwise(verdict)
+    return rule, verdict
+
+
+def words_of(text: Column) -> Column:
+    found = F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", -1)
+    return F.filter(found, lambda w: w.rlike(f"^[a-z]{{1,{LONGEST_WORD}}}$"))
+
+
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) over all texts."""
+    return docs.select(F.explode(words_of(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def word_odds(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, smoothing: float = SMOOTHING) -> DataFrame:
+    """(word, odds) from texts labelled 1 (bad) or 0 whose crc32(id) leaves a remainder of ``folds``; the others are held out."""
+    usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+    usable = usable.where(f"id IS NOT NULL AND label IN (0, 1) AND crc32(CAST(id AS STRING)) % {folds} <> 0")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(usable, "id")
+    seen = rows.select("label", F.explode(words_of(F.col("text"))).alias("word")).groupBy("word")
+    seen = Table(seen.agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good")), "url-labelled-words").df
+    bad, good = seen.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    share = bad / (bad + good) if bad and good else 0.5
+    held = bool(bad and good)  # one class alone tells nothing
+    odds = F.log((F.col("bad") + smoothing * share) / (F.col("good") + smoothing * (1 - share))) - math.log(share / (1 - share))
+    return seen.select("word", odds.alias("odds") if held else F.lit(0.0).alias("odds"))
+
+
+def best_split(run: str, known: dict[tuple[int, int], float], rare: float) -> list[str]:
+    """Viterbi over the ends of words: ``known`` has the cost of each listed word by its place (from, to).
+
+    A stretch without listed words stays one unlisted word, of cost ``rare`` and ``LETTER_COST`` a letter.
+    """
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for (start, end), cost in known.items():
+        ends.setdefault(end, []).append((start, cost))
+    best, back = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1)
+    open_cost, open_from = math.inf, 0
+    for end in range(1, len(run) + 1):
+        start, grown = best[end - 1] + rare + LETTER_COST, open_cost + LETTER_COST
+        open_cost, open_from = (start, end - 1) if start <= grown else (grown, open_from)
+        best[end], back[end] = open_cost, open_from
+        for at, cost in sorted(ends.get(end, ())):
+            if best[at] + cost < best[end]:
+                best[end], back[end] = best[at] + cost, at
+    words, end = [], len(run)
+    while end:
+        words.append(run[back[end] : end])
+        end = back[end]
+    return words[::-1]
+
+
+def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, words) for distinct ``run``; ``counts`` is a written (word, n)."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    rare = math.log(total)
+    at = F.explode(F.sequence(F.lit(0), F.char_length("run") - 1)).alias("at")
+    inside = runs.select("run", at).select("run", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.char_length("run") - F.col("at")))).alias("size"))
+    inside = inside.withColumn("word", F.substring("run", F.col("at") + 1, F.col("size")))
+    found = inside.join(counts.select("word", (rare - F.log("n")).alias("cost")), "word").groupBy("run")
+    found = found.agg(F.collect_list("at").alias("at"), F.collect_list("size").alias("size"), F.collect_list("cost").alias("cost"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = _segmenter(known)
-        for batch in batches:
-            words = [cut.words(*parts(url.as_py())) for url in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], names=["words", "label"])
-
-    cut = examples.select("url", "label").where("label IN (0, 1)").mapInArrow(split, "words array<string>, label int")
-    counts = cut.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good"))
-    kept = counts.orderBy(F.desc(F.col("bad") + F.col("good")), "word").limit(vocabulary).collect()
-    bad, good = (sum(x[c] for x in kept) + SMOOTHING * len(kept) for c in ("bad", "good"))
-    return {x.word: math.log((x.bad + SMOOTHING) / bad) - math.log((x.good + SMOOTHING) / good) for x in kept}
-
-
-def judge(pages: DataFrame, odds: dict[str, float], id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, weights: dict[str, float] | None = None, prior: float = PRIOR) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score, words): one row per row of ``pages``."""
-    known = tuple((weights or default_weights()).items())
-    start = math.log(prior / (1 - prior))
-    model = pages.sparkSession.sparkContext.broadcast(odds)  # ``VOCABULARY`` words at most
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, odds = _segmenter(known), model.value
         for batch in batches:
             out = []
-            for url in batch.column(1):
-                host, path = parts(url.as_py())
-                words = cut.words(host, path)
-                score = start + sum(odds.get(w, 0.0) for w in words)
-                rule, verdict = rule_for(host, path, rules) or (None, "block" if score > 0 else "allow")
-                out.append((host, path, rule, verdict, score, words))
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()))
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["page_id", "host", "path", "rule", "verdict", "score", "words"])
-
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
-    return rows.mapInArrow(each, "page_id long, host string, path string, rule string, verdict string, score double, words array<string>")
+            for run, *lists in zip(*(c.to_pylist() for c in batch.columns)):
+                out.append(best_split(run, {(a, a + n): cost for a, n, cost in zip(*(x or () for x in lists))}, rare))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["run", "words"])
+
+    both = runs.join(found, "run", "left").select("run", "at", "size", "cost")
+    return both.mapInArrow(split, "run string, words array<string>")
+
+
+def judge(pages: DataFrame, counts: DataFrame, odds: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, prior: float = PRIOR) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score): one row per row of ``pages``; ``counts`` and ``odds`` are written tables."""
+    rows = with_parts(pages, id_col, url_col)
+    with scratch():
+        addresses = Table(rows.select("host", "path").distinct(), "url-addresses").df
+        runs = F.regexp_extract_all(ascii_lower(F.concat_ws(" ", "host", "path")), F.lit("[a-z]+"), F.lit(0))
+        placed = Table(addresses.select("host", "path", F.explode(runs).alias("run")), "url-runs").df
+        split = Table(segmented(placed.select("run").distinct(), counts), "url-words").df
+        rated = split.select("run", F.explode("words").alias("word")).join(odds, "word").groupBy("run").agg(F.sum("odds").alias("odds"))
+        scores = placed.join(rated, "run").groupBy("host", "path").agg(F.sum("odds").alias("odds"))
+        scores = keep(Table(scores, "url-scores")).df
+    score = F.coalesce("odds", F.lit(0.0)) + math.log(prior / (1 - prior))
+    rule, verdict = by_rule(rules)
+    out = rows.join(scores, ["host", "path"], "left").withColumn("score", score)
+    verdict = F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "score")
 
 
 def op2_urlfilter(spark, sf_dir: str) -> DataFrame:
-    return judge(read_table(spark, sf_dir, "pages"), train(default_examples(spark)))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = Table(word_counts(docs), "url-counts").df
+    odds = Table(word_odds(docs, read_table(spark, sf_dir, "labels")), "url-odds").df
+    return judge(read_table(spark, sf_dir, "pages"), counts, odds)
