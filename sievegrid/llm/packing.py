@@ -3,17 +3,20 @@
 Texts are tokenised and cut in one pass over the documents. How pieces can be packed depends only on how many
 there are of each length, and there are at most ``CAPACITY`` lengths: that histogram is all the driver sees, and
 whatever the number of documents it plans with multiplicities. The reduction fixes sets that provably belong to
-some best packing: a piece that no other fits beside, a pair that fills a sequence, and a pair that beats every
-other set with its larger piece. What is left is packed best-fit, longest first. The plan says which ranks among
+some best packing: a piece that no other fits beside, a pair that fills a sequence, and a pair or a triple that beats every
+other set with its longest piece. A set is fixed as often as its pieces last, so that every step uses up a length
+and the plan has at most a few rows for each length. What is left is packed best-fit, longest first. The plan says which ranks among
 the pieces of a length go to which sequences; ranks are counted in small hashed parts of each length, so a length
 that a third of all pieces share is not gathered in one task.
 
 Defined results: a null or empty text is a document of the end id alone; a null id is kept; repeated rows are packed
-once each; an empty table gives an empty result; other columns are ignored.
+once each; an empty table gives an empty result; other columns are ignored. A task holds the ids of one text at a time,
+4 bytes for each, and while it splits the text, its words.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -53,18 +56,36 @@ class _Known(dict):
         return found
 
 
+# The parts of a tokeniser's configuration that the look-up of words relies on.
+SPLIT_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+}
+
+
 class Encoder:
     """Ids of whole texts, as little-endian 32-bit bytes.
 
-    The tokeniser splits a text at white space and then into words that it encodes one by one, so for texts of
-    plain Latin characters the ids of a white-space run are looked up. All other texts, and those that may
-    hold the string of a special token, go to the tokeniser whole.
+    A tokeniser that is configured as ``SPLIT_BY_WORDS`` splits a text at white space and then into words that it encodes
+    one by one, so for texts of plain Latin characters the ids of a white-space run are looked up. All other texts, those
+    that may hold the string of a special token, and all texts of other tokenisers go to the tokeniser whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_words = all(settings[k] == v for k, v in SPLIT_BY_WORDS.items()) and settings["model"]["type"] == "BPE" and settings["model"]["dropout"] is None
+        self.by_words = self.by_words and all(x["content"].startswith("<|") and not x["normalized"] for x in settings["added_tokens"])
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE writes these bytes as themselves
         table = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(visible)))}
         model = self.tokenizer.model
@@ -77,7 +98,7 @@ class Encoder:
         self.runs = _Known(lambda x: b"".join(map(words.__getitem__, _WORD.findall(x))))
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or _PLAIN.search(text):
+        if not self.by_words or "<|" in text or _PLAIN.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.runs.__getitem__, text.lower().split()))
 
@@ -121,17 +142,20 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
     """Sets that some best packing holds, with how often, and the counts that are left.
 
     For a piece j of the longest left and the longest k that fits beside it, {j, k} dominates every set with j if
-    it is full, or if no set of two or more fits beside j with more than k's length.
+    it is full, or if no set of two or more fits beside j with more than k's length. Where two but not three pieces
+    fit beside j, {j, k, b} with the longest b that fits dominates them if of any two with the shorter one longer than b,
+    the sum is at most k. Pieces that go only make these conditions easier, so a set is taken while its pieces last.
     """
     left = {s: n for s, n in counts.items() if n}
     sizes = sorted(left)
     fixed: list[tuple[Pattern, int]] = []
 
-    def take(n: int, *members: int) -> None:
-        fixed.append((tuple((s, members.count(s)) for s in dict.fromkeys(members)), n))
-        for s in members:
-            left[s] -= n
-        for s in set(members):
+    def take(*members: int) -> None:
+        times = {s: members.count(s) for s in dict.fromkeys(members)}
+        n = min(left[s] // k for s, k in times.items())
+        fixed.append((tuple(times.items()), n))
+        for s, k in times.items():
+            left[s] -= n * k
             if not left[s]:
                 del left[s]
                 sizes.remove(s)
@@ -145,6 +169,13 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
                 break
         return out
 
+    def longest(room: int, *taken: int) -> int:
+        """The longest piece of at most ``room`` besides those that are taken, 0 if there is none."""
+        at = bisect_left(sizes, room + 1) - 1
+        while at >= 0 and left[sizes[at]] <= taken.count(sizes[at]):
+            at -= 1
+        return sizes[at] if at >= 0 else 0
+
     changed = True
     while changed:
         changed = False
@@ -153,26 +184,27 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
                 room = capacity - j
                 low = smallest(j, 3)
                 if not low or low[0] > room:
-                    take(left[j] if not low or low[0] != j else 1, j)
+                    take(j)
                     changed = True
                     continue
-                at = bisect_left(sizes, room + 1) - 1
-                while sizes[at] == j and left[j] < 2:
-                    at -= 1
-                k = sizes[at]
-                full = k == room
-                alone = len(low) < 2 or low[0] + low[1] > room
-                three = len(low) == 3 and sum(low) <= room
-                if not (full or alone or (not three and _longest_pair(sizes, left, j, room) <= k)):
+                k = longest(room, j)
+                if k == room or len(low) < 2 or low[0] + low[1] > room:
+                    take(j, k)
+                elif len(low) == 3 and sum(low) <= room:
+                    break
+                elif _longest_pair(sizes, left, j, room) <= k:
+                    take(j, k)
+                elif (b := longest(room - k, j, k)) and _longest_pair(sizes, left, j, room, b) <= k:
+                    take(j, k, b)
+                else:
                     break
-                take((left[j] // 2 if j == k else min(left[j], left[k])) if full or alone else 1, j, k)
                 changed = True
     return fixed, left
 
 
-def _longest_pair(sizes: list[int], left: dict[int, int], j: int, room: int) -> int:
-    """The longest two pieces that fit beside j together, 0 if none do."""
-    sizes = [s for s in sizes if left[s] > (s == j)]
+def _longest_pair(sizes: list[int], left: dict[int, int], j: int, room: int, above: int = 0) -> int:
+    """The longest two pieces, both longer than ``above``, that fit beside j together, 0 if none do."""
+    sizes = [s for s in sizes if s > above and left[s] > (s == j)]
     best, low, high = 0, 0, len(sizes) - 1
     while low <= high:
         a, b = sizes[low], sizes[high]
