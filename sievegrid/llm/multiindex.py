@@ -6,7 +6,10 @@ order): it goes on until a cell is further than its own by more than a margin. T
 fitting: so many of the hardest partners, those at exactly the threshold in random directions, have their own cell
 within it. A pair is found if either vector is sought in the other's cell; every pair found is verified by its cosine.
 
-Codebooks are fitted on ``SAMPLE`` vectors at most, everything else covers all rows. Equal vectors are one entry with
+The codebooks grow with the table, up to ``MOST_CENTROIDS`` each (a million cells); beyond about 33 million different vectors
+cells grow instead. They are fitted on ``SAMPLE`` vectors, or ``PER_CENTROID`` for each centroid if that is more (32,768
+at most), and everything else covers all rows. With a ``recall`` of 1 there is one cell, so that the search is exact: all
+tiles meet all tiles. Equal vectors are one entry with
 a weight. A cell's entries and those sought in it are cut into tiles; a task takes one tile of each, multiplies
 them block by block, and returns counts and a spanning forest of its links, never the pairs.
 
@@ -30,10 +33,10 @@ from sievegrid.llm.shared import Table, read_table
 
 THRESHOLD = 0.95
 RECALL = 0.99
-SAMPLE = 4096
+SAMPLE, PER_CENTROID = 4096, 32
 SEED = 23
 #: Vectors in a cell, about, while the codebooks may still grow; centroids in a codebook at most.
-CELL_ROWS, MOST_CENTROIDS = 32, 256
+CELL_ROWS, MOST_CENTROIDS = 32, 1024
 TILE = 4096
 _BLOCK = 1024
 
@@ -142,10 +145,11 @@ def tile_links(grid: Grid, ids: tuple[np.ndarray, np.ndarray], units: tuple[np.n
     return counts, dict(zip(names[moved].tolist(), names[root[moved]].tolist()))
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): one row per row."""
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, centroids: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept): one row per row; ``centroids`` by default follow the table's size."""
     spark = rows.sparkSession
-    vec = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    kind = "float" if "float" in rows.select(vec_col).schema[0].dataType.simpleString() else "double"  # floats travel as floats; all sums are in double precision
+    vec = F.transform(F.col(vec_col), lambda x: x.cast(kind))
     sound = F.col("id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     every = rows.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).withColumn("sound", F.coalesce(sound, F.lit(False)))
     every = Table(every.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.hash("vec")), "vectors").df
@@ -158,8 +162,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         return alone.withColumn("kept", F.lit(True))
 
     width = size.dim + size.dim % 2
-    sample = entries.orderBy("h1", "h2").limit(SAMPLE).select("vec").toArrow()  # ``SAMPLE`` vectors at most
-    centroids = int(min(MOST_CENTROIDS, max(1, round((size.n / CELL_ROWS) ** 0.5))))
+    centroids = 1 if recall >= 1 else centroids or int(min(MOST_CENTROIDS, max(1, round((size.n / CELL_ROWS) ** 0.5))))
+    sample = entries.orderBy("h1", "h2").limit(max(SAMPLE, PER_CENTROID * centroids)).select("vec").toArrow()  # bounded by ``MOST_CENTROIDS``
     grid = Grid(_padded(sample["vec"], width)[0], centroids, threshold, recall)
     shared = spark.sparkContext.broadcast(grid)  # two codebooks of ``MOST_CENTROIDS`` at most
 
@@ -173,7 +177,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 cells = [list(grid.nearest(x, y)) for x, y in zip(a, b)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(grid.home(unit)), pa.array(cells, pa.list_(pa.int64()))], names=["entry", "weight", "vec", "home", "cells"])
 
-    placed = Table(entries.select("entry", "weight", "vec").mapInArrow(assign, "entry long, weight long, vec array<double>, home long, cells array<long>"), "placed").df
+    placed = Table(entries.select("entry", "weight", "vec").mapInArrow(assign, f"entry long, weight long, vec array<{kind}>, home long, cells array<long>"), "placed").df
     listed = placed.select("entry", "weight", "vec", F.col("home").alias("cell"))
     sought = placed.select("entry", "weight", "vec", F.explode("cells").alias("cell"))
     tiles = listed.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("listed_tiles"))
