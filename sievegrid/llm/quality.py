@@ -4,11 +4,13 @@ A text is cut into runs of letters, of digits and of other visible characters. E
 neighbours is hashed to one of ``2 ** BITS`` features; all pairs of equal neighbours share one feature, and so do
 all runs that return after one other, so repetition is seen whatever is repeated. A text's counts are scaled to
 length one, and its score is the logistic function of a sparse dot product with the weights. One task trains the
-weights on at most ``SAMPLE`` labelled rows; scoring is one pass over the whole texts without a shuffle.
+weights on at most ``SAMPLE`` labelled ids whose texts have ``SAMPLE_FEATURES`` features at most together, in the order of a
+hash of the id; scoring is one pass over the whole texts without a shuffle.
 
 Defined results: null and empty texts have the bias alone as their score; without labels, or with one class only,
 the weights are what those rows give (none: a score of 0.5); null ids are scored, are never held out and never
-train; repeated rows are each scored; an empty table gives an empty result; other columns are ignored.
+train; repeated rows are each scored; an empty table gives an empty result; other columns come along, but for one that
+has the score's name, which is replaced. A task holds the runs of one text at a time.
 """
 
 from __future__ import annotations
@@ -20,18 +22,20 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievegrid.llm.shared import read_table
+from sievegrid.llm.shared import Table, read_table
 
 BITS = 18
 #: The largest number of labelled rows that training reads, those of the smallest hash of their id.
 SAMPLE = 8_000
+#: Features of all training texts together, 8 bytes each: this bounds the training task by memory.
+SAMPLE_FEATURES = 16_000_000
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.3
 _RUN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
-_PIECE = 1 << 22
 
 
 def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -100,15 +104,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = usable.withColumn("order", F.md5(F.concat(F.lit("quality-"), F.col("id").cast("string")).cast("binary"))).orderBy("order", "label").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(usable), "id").select("order", "label", "text")  # at most ``sample`` small rows are sent
-    rows = rows.mapInArrow(featurise, "order string, label int, number array<int>, value array<float>").withColumn("all", F.lit(1))
+    rows = Table(rows.mapInArrow(featurise, "order string, label int, number array<int>, value array<float>"), "quality-features")
+    held = F.sum(F.size("number")).over(W.orderBy("order"))  # over the sample; rows of one id come and go together
+    last = rows.df.select("order", held.alias("held")).where(F.col("held") <= SAMPLE_FEATURES).agg(F.max("order")).first()[0]
     weights = np.zeros(1 << bits)
-    for x in rows.groupBy("all").applyInArrow(fit, "at array<long>, w array<double>").collect():
+    for x in rows.df.where(F.col("order") <= last).withColumn("all", F.lit(1)).groupBy("all").applyInArrow(fit, "at array<long>, w array<double>").collect():
         weights[np.array(x.at, dtype=np.int64)] = x.w
+    rows.drop()
     return weights
 
 
 def add_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: str = "quality_score") -> DataFrame:
     """``docs`` with the score of the whole text as one more column, last."""
+    docs = docs.drop(name)
     model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     bits, at = len(weights).bit_length() - 1, docs.columns.index(text_col)
 
