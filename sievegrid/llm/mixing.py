@@ -4,12 +4,14 @@ The leaves of a tree (here domain, language, source) hold tokens. The total budg
 a parent's budget is shared among its children by weight, no child gets more than its whole subtree holds over
 ``epochs`` passes, and what a child can't use goes to its siblings by their weights; a parent that can't use its own
 budget has already been held to what it holds, so what is left over there went to its siblings one level up.
-Weights and budgets are whole numbers, so the shares are exact. A leaf of budget b and supply s takes b div s
+Weights and budgets are whole numbers and a share is rounded down, so each level may leave up to a token for each child
+unused. A leaf of budget b and supply s takes b div s
 whole epochs and, of the next epoch in its seeded order, the shortest prefix of at least b mod s tokens.
 
 The order of an epoch is that of a hash of seed, epoch and id. Leaves are cut by the hash's first digits
-into ``16 ** DIGITS`` parts whose token sums are pre-aggregated; only the part in which a prefix ends is ordered
-row by row, so no leaf is gathered in one task, however large its share of the rows.
+into parts whose token sums are pre-aggregated; only the part in which a prefix ends is ordered row by row. The number
+of digits follows the leaf's rows, so that there are about as many parts as rows in a part (some 10^5 of each for 10^10
+rows): no leaf is gathered in one task, however large its share of the rows.
 
 Defined results: a token is a run of characters without ASCII white space; null and empty texts have no tokens and
 come along where their place in the order lies within the prefix; a null level is a leaf of its own, named
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from sievegrid.llm.shared import Table, read_table
 
 SEED = 17
-DIGITS = 3
 #: Of the tokens of all documents, in thousandths.
 SHARE = 800
 EPOCHS = 2
@@ -83,20 +84,21 @@ def mix(docs: DataFrame, levels: list[Column], names: list[str], weights: dict[s
         return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_.cast("string"), F.lit(""))).cast("binary"))
 
     sized = Table(docs.select(F.col(id_col).alias("id"), *levels, tokens.alias("tokens")), "mix-sizes").df
-    leaves = Table(sized.groupBy(*names).agg(F.sum("tokens").alias("supply")), "mix-leaves").df
+    digits = F.greatest(F.lit(1), F.ceil(F.log(F.count("*")) / F.log(F.lit(256.0)))).cast("int")
+    leaves = Table(sized.groupBy(*names).agg(F.sum("tokens").alias("supply"), digits.alias("digits")), "mix-leaves").df
     budgets = leaf_budgets(leaves, names, weights, share, epochs)
-    budgets = budgets.select(*names, F.expr("CASE WHEN supply > 0 THEN budget DIV supply ELSE 0 END").alias("whole"), F.expr("CASE WHEN supply > 0 THEN budget % supply ELSE 0 END").alias("wanted"))
+    budgets = budgets.select(*names, "digits", F.expr("CASE WHEN supply > 0 THEN budget DIV supply ELSE 0 END").alias("whole"), F.expr("CASE WHEN supply > 0 THEN budget % supply ELSE 0 END").alias("wanted"))
     budgets = Table(budgets, "mix-budgets").df
 
-    part = F.substring(order(F.col("id"), F.col("whole")), 1, DIGITS)
-    parts = sized.join(budgets, names).groupBy(*names, "whole", "wanted", part.alias("part")).agg(F.sum("tokens").alias("n"))
+    part = F.substring(order(F.col("id"), F.col("whole")), F.lit(1), F.col("digits"))
+    parts = sized.join(budgets, names).groupBy(*names, "digits", "whole", "wanted", part.alias("part")).agg(F.sum("tokens").alias("n"))
     upto = F.sum("n").over(W.partitionBy(*names).orderBy("part"))
-    ends = parts.withColumn("upto", upto).where(F.col("upto") >= F.col("wanted")).groupBy(*names, "whole", "wanted")
+    ends = parts.withColumn("upto", upto).where(F.col("upto") >= F.col("wanted")).groupBy(*names, "digits", "whole", "wanted")
     ends = ends.agg(F.min_by(F.struct("part", (F.col("upto") - F.col("n")).alias("before")), "part").alias("end"))
-    ends = Table(ends.select(*names, "whole", "wanted", F.col("end.part").alias("end"), F.col("end.before").alias("before")), "mix-ends").df
+    ends = Table(ends.select(*names, "digits", "whole", "wanted", F.col("end.part").alias("end"), F.col("end.before").alias("before")), "mix-ends").df
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *levels, tokens.alias("tokens"))
-    rows = rows.join(ends, names).withColumn("key", order(F.col("id"), F.col("whole"))).withColumn("part", F.substring("key", 1, DIGITS))
+    rows = rows.join(ends, names).withColumn("key", order(F.col("id"), F.col("whole"))).withColumn("part", F.substring("key", F.lit(1), F.col("digits")))
     clear = rows.withColumn("last", F.when((F.col("part") < F.col("end")) & (F.col("wanted") > 0), F.col("whole")).otherwise(F.col("whole") - 1)).where("last >= 0")
     clear = clear.select("row", *names, "tokens", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("epoch"))
     edge = rows.where("part = end AND wanted > 0")
