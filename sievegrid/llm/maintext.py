@@ -2,15 +2,17 @@
 
 A tolerant scanner cuts a page into leaf blocks: runs of text between block-level tags, each with the path of
 open tags and their class, id and role words. A bidirectional LSTM in numpy reads the whole sequence of blocks, as
-hashed path words, hashed text words and four measures of a block, and says of each whether it is main text. So a
+hashed path words, hashed text words and a few measures of a block, and says of each whether it is main text. So a
 block without telling tags is judged by its neighbourhood too. Blocks that are main text are joined in page order.
+Inline elements, buttons and formulas are part of their block's text, and ``xmp`` is a block of the text that it shows.
 
 The weights are trained when first asked for, on pages drawn from ``page_maker``, a seeded generator of
 varied layouts whose labels are known; nothing is learnt from the pages that are read. Pages are independent rows:
 there is no shuffle, and a batch is labelled in steps of whole columns of pages of like length.
 
 Defined results: a null or empty html has an empty text; markup that never closes is read to its end; very long
-pages are read whole; repeated rows come back as often as given; null ids and urls are kept; an empty table gives an
+pages are read whole, those of over ``STRETCH`` blocks in stretches that see ``CONTEXT`` more blocks on either side;
+repeated rows come back as often as given; null ids and urls are kept; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -32,18 +34,22 @@ from sievegrid.llm.shared import read_table
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-DROPPED_TAGS = frozenset("head svg object canvas select audio video math button".split())
+DROPPED_TAGS = frozenset("head svg object canvas select audio video".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HREF = re.compile(r"\bhref\s*=", re.I)
 _PART = re.compile("[a-z]+")
 #: What ends a raw element; its content is not markup, whatever it looks like.
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW_TAGS}
 
-PATH_BITS, WORD_BITS, MEASURES = 8, 5, 4
-WIDTH = (1 << PATH_BITS) + (1 << WORD_BITS) + MEASURES
-HIDDEN = 16
+PATH_BITS, WORD_BITS, MEASURES = 9, 5, 7
+PATHS = 1 << PATH_BITS
+WIDTH = PATHS + (1 << WORD_BITS) + MEASURES
+HIDDEN = 24
+#: Blocks that are labelled in one sequence, and those that a stretch of a longer page sees besides on either side.
+STRETCH, CONTEXT = 4096, 256
 SEED = 31
 
 
@@ -52,7 +58,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
-    linked = dropped = anchors = at_char = 0
+    links_at: list[int] = []  # where the stack holds anchors that lead somewhere
+    linked = dropped = at_char = 0
     page = page or ""
 
     def flush() -> None:
@@ -64,10 +71,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal dropped, anchors
+        nonlocal dropped
         for name, _ in stack[to:]:
             dropped -= name in DROPPED_TAGS
-            anchors -= name == "a"
+        while links_at and links_at[-1] >= to:
+            links_at.pop()
         del stack[to:]
 
     while token := _TOKEN.match(page, at_char):
@@ -76,7 +84,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         if name is None:
             if not dropped and token[0][:2] not in ("<!", "<?"):
                 text.append(token[0])
-                linked += len(token[0]) if anchors else 0
+                linked += len(token[0]) if links_at else 0
             continue
         name = name.lower()
         block = name in BLOCK_TAGS
@@ -89,11 +97,17 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         if name == "br" or name == "wbr":
             text.append(" " if name == "br" else "")
-        if name in VOID_TAGS or token[3].endswith("/"):
+        if name in VOID_TAGS:
             continue
         if name in RAW_TAGS:
             end = _RAW_END[name].search(page, at_char)
-            at_char = end.start() if end else len(page)
+            start, at_char = at_char, end.start() if end else len(page)
+            if name == "xmp" and not dropped:  # shown as it stands
+                flush()
+                stack.append((name, (name,)))
+                text.append(page[start:at_char].replace("&", "&amp;"))
+                flush()
+                stack.pop()
             continue
         if name == "body" or (dropped and name in ("article", "main", "nav", "header", "footer", "div", "p", "h1") and any(x == "head" for x, _ in stack)):
             at = next((i for i, (x, _) in enumerate(stack) if x == "head"), None)
@@ -112,9 +126,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
                     pop(i)
                     break
         words = [p for m in _ATTRIBUTE.finditer(token[3]) for p in _PART.findall((m[2] or m[3] or m[4] or "").lower())] if block else []
+        link = name == "a" and _HREF.search(token[3]) is not None
         stack.append((name, (name, *(f".{w}" for w in words)) if block else ()))
         dropped += name in DROPPED_TAGS
-        anchors += name == "a"
+        if link:
+            links_at.append(len(stack) - 1)
     flush()
     return out
 
@@ -123,31 +139,44 @@ def _slots(words, bits: int) -> np.ndarray:
     return np.fromiter(map(crc32, words), dtype=np.int64) & ((1 << bits) - 1)
 
 
-def _measures(text: str, links: float) -> tuple[float, float, float, float]:
+def _measures(text: str, links: float) -> tuple[float, ...]:
     marks = sum(text.count(x) for x in ".,;:!?")
-    return min(1.0, len(text) / 400), links, min(1.0, 20 * marks / len(text)), float(text[-1] in ".!?:")
+    few = text.count(" ") < 3
+    return min(1.0, len(text) / 400), np.log1p(len(text)) / 8, links, min(1.0, 20 * marks / len(text)), float(text[-1] in ".!?:"), float(few), float(text[0] == "©")
 
 
 class Features:
-    """Input rows of blocks; those of a path are kept, as a site's pages share few."""
+    """Input of blocks: the slots of their path words, which are kept by path, as a site's pages share few, and a dense rest."""
 
     def __init__(self):
         self.paths: dict[tuple[str, ...], np.ndarray] = {}
 
-    def __call__(self, page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
-        rows = np.zeros((len(page), WIDTH), dtype=np.float32)
-        for row, (path, text, links) in zip(rows, page):
-            at = self.paths.get(path)
-            if at is None:
-                at = _slots({w.encode() for w in (*path, *(f"<{a}<{b}" for a, b in zip(path[-2:], path[-1:])))}, PATH_BITS)
-                if len(self.paths) < 50_000:
-                    self.paths[path] = at
-            row[at] = 1.0
+    def slots(self, path: tuple[str, ...]) -> np.ndarray:
+        at = self.paths.get(path)
+        if at is None:
+            at = _slots({w.encode() for w in (*path, *(f"<{a}<{b}" for a, b in zip(path[-2:], path[-1:])))}, PATH_BITS)
+            if len(self.paths) < 50_000:
+                self.paths[path] = at
+        return at
+
+    def rest(self, page: list[tuple[tuple[str, ...], str, float]], start: int = 0, end: int | None = None) -> np.ndarray:
+        """Hashed words and measures of the blocks of a stretch of a page."""
+        part = page[start:end]
+        rows = np.zeros((len(part), WIDTH - PATHS), dtype=np.float32)
+        for row, (_, text, links) in zip(rows, part):
             words = text.encode().lower().split()
-            row[1 << PATH_BITS : -MEASURES] = np.bincount(_slots(words, WORD_BITS), minlength=1 << WORD_BITS) / len(words)
+            row[:-MEASURES] = np.bincount(_slots(words, WORD_BITS), minlength=1 << WORD_BITS) / len(words)
             row[-MEASURES:] = _measures(text, links)
         return rows
 
+    def __call__(self, page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+        """Whole rows, for training."""
+        rows = np.zeros((len(page), WIDTH), dtype=np.float32)
+        for row, (path, _, _) in zip(rows, page):
+            row[self.slots(path)] = 1.0
+        rows[:, PATHS:] = self.rest(page)
+        return rows
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
@@ -184,9 +213,32 @@ class Labeller:
             out[t] = h
         return out
 
+    def _said(self, inputs: dict[str, np.ndarray], mask: np.ndarray) -> np.ndarray:
+        return _sigmoid(np.concatenate([self._run(s, inputs[s], mask) for s in "fb"], axis=2) @ self.w["o"] + self.w["d"])
+
     def probabilities(self, rows: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        states = [self._run(s, rows @ self.w[f"x{s}"].astype(rows.dtype) + self.w[f"c{s}"].astype(rows.dtype), mask) for s in "fb"]
-        return _sigmoid(np.concatenate(states, axis=2) @ self.w["o"] + self.w["d"])
+        return self._said({s: rows @ self.w[f"x{s}"] + self.w[f"c{s}"] for s in "fb"}, mask)
+
+    def label(self, parts: list[tuple[list, int, int]], featurise: Features) -> list[np.ndarray]:
+        """Whether each block of (page, start, end) is main text; a path's share of the input is worked out once."""
+        steps = max(end - start for _, start, end in parts)
+        mask = np.zeros((steps, len(parts)), dtype=np.float32)
+        inputs = {s: np.zeros((steps, len(parts), 4 * HIDDEN), dtype=np.float32) for s in "fb"}
+        known: dict[tuple[str, ...], int] = {}
+        for i, (page, start, end) in enumerate(parts):
+            at = [known.setdefault(path, len(known)) for path, _, _ in page[start:end]]
+            rest = featurise.rest(page, start, end)
+            mask[: end - start, i] = 1
+            for s in "fb":
+                inputs[s][: end - start, i] = rest @ self.w[f"x{s}"][PATHS:].astype(np.float32) + self.w[f"c{s}"]
+            parts[i] = (at, start, end)
+        slots = [featurise.slots(path) for path in known]
+        for s in "fb":
+            share = np.array([self.w[f"x{s}"][at].sum(axis=0) for at in slots], dtype=np.float32)
+            for i, (at, _, _) in enumerate(parts):
+                inputs[s][: len(at), i] += share[at]
+        said = self._said(inputs, mask) >= 0.5
+        return [said[: len(at), i] for i, (at, _, _) in enumerate(parts)]
 
     def gradients(self, rows: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         kept: dict[str, list] = {"f": [], "b": []}
@@ -197,7 +249,7 @@ class Labeller:
         for side, part in zip("fb", (slice(0, HIDDEN), slice(HIDDEN, None))):
             into = error[:, :, None] * self.w["o"][part]
             dh, dc = np.zeros_like(into[0]), np.zeros_like(into[0])
-            dx = np.zeros((*mask.shape, 4 * HIDDEN))
+            dx = np.zeros((*mask.shape, 4 * HIDDEN), dtype=rows.dtype)
             recur = np.zeros_like(self.w[f"h{side}"])
             for t, h, c, i, f, o, g, squashed, on in reversed(kept[side]):
                 dh = dh + into[t]
@@ -219,8 +271,8 @@ def _stack(pages: list[np.ndarray], dtype) -> tuple[np.ndarray, np.ndarray]:
     return rows, mask
 
 
-def train(pages: int = 600, rounds: int = 14, batch: int = 30, rate: float = 0.02, seed: int = SEED) -> Labeller:
-    """Adam over made pages; the number of pages bounds the work."""
+def train(pages: int = 2400, rounds: int = 14, batch: int = 40, rate: float = 0.02, seed: int = SEED) -> Labeller:
+    """Adam over made pages, in batches of pages of like length; the number of pages bounds the work."""
     from sievegrid.llm.page_maker import make_page
 
     rng, featurise = np.random.default_rng(seed), Features()
@@ -232,11 +284,12 @@ def train(pages: int = 600, rounds: int = 14, batch: int = 30, rate: float = 0.0
     model = Labeller(rng)
     first, second = ({k: np.zeros_like(v) for k, v in model.w.items()} for _ in range(2))
     step = 0
+    lengths = np.array([len(y) for _, y in cases])
     for turn in range(rounds):
-        order = rng.permutation(pages)
-        for start in range(0, pages, batch):
+        order = np.argsort(lengths * rng.uniform(0.8, 1.25, pages), kind="stable")
+        for start in rng.permutation(np.arange(0, pages, batch)).tolist():
             part = [cases[i] for i in order[start : start + batch]]
-            rows, mask = _stack([x for x, _ in part], np.float64)
+            rows, mask = _stack([x for x, _ in part], np.float32)
             labels = np.zeros_like(mask)
             for i, (_, y) in enumerate(part):
                 labels[: len(y), i] = y
@@ -274,19 +327,23 @@ _AT_ONCE = 4096
 
 def main_texts(pages: list[str | None], model: Labeller, featurise: Features) -> list[str]:
     found = [blocks(x) for x in pages]
-    out = [""] * len(pages)
-    order = sorted((i for i in range(len(pages)) if found[i]), key=lambda i: len(found[i]))
+    kept: list[list[str]] = [[] for _ in pages]
+    # (page, from, to, first and last block that this stretch decides)
+    stretches = [(i, max(0, at - CONTEXT), min(len(x), at + STRETCH + CONTEXT), at, min(len(x), at + STRETCH)) for i, x in enumerate(found) for at in range(0, len(x), STRETCH)]
+    order = sorted(stretches, key=lambda x: (x[2] - x[1], x[0], x[3]))
+    main: dict[tuple[int, int], list[str]] = {}
     start = 0
     while start < len(order):
         end = start + 1
-        while end < len(order) and (end - start + 1) * len(found[order[end]]) <= _AT_ONCE:
+        while end < len(order) and (end - start + 1) * (order[end][2] - order[end][1]) <= _AT_ONCE:
             end += 1
         group = order[start:end]
-        main = model.probabilities(*_stack([featurise(found[i]) for i in group], np.float32)) >= 0.5
-        for column, i in enumerate(group):
-            out[i] = "\n\n".join(text for (_, text, _), keep in zip(found[i], main[:, column]) if keep)
+        for (i, low, _, first, last), said in zip(group, model.label([(found[i], low, high) for i, low, high, _, _ in group], featurise)):
+            main[i, first] = [found[i][k][1] for k in range(first, last) if said[k - low]]
         start = end
-    return out
+    for (i, _), texts in sorted(main.items()):
+        kept[i] += texts
+    return ["\n\n".join(x) for x in kept]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
