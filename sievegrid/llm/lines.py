@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from hashlib import md5
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,6 +28,7 @@ MIN_DOCS = 10
 MIN_CHARS = 1
 #: Keys that are sent to the tasks, 16 bytes each and some 80 more in a Python set; more are joined.
 MOST_SENT = 1 << 20
+_AT_ONCE = 512
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -56,13 +58,13 @@ def _hashes(lines: Column, min_chars: int) -> Column:
 
 def _dropped_in_rows(docs: DataFrame, text_col: str, frequent: DataFrame, min_chars: int) -> DataFrame:
     keys = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(x.key) for x in frequent.collect()))  # ``MOST_SENT`` at most
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop, blanks = keys.value, _BLANKS.encode()
-        for batch in batches:
+        for part in (batch.slice(start, _AT_ONCE) for batch in batches for start in range(0, batch.num_rows, _AT_ONCE)):
             kept_texts, n_lines, n_dropped = [], [], []
-            for text in batch.column(1):
+            for text in pc.struct_field(part.column(0), text_col):
                 lines = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
                 kept = []
                 for line in lines:
@@ -72,7 +74,7 @@ def _dropped_in_rows(docs: DataFrame, text_col: str, frequent: DataFrame, min_ch
                 kept_texts.append(b"\n".join(kept).decode("utf-8", "surrogatepass"))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept_texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["row", "kept_text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept_texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["row", "kept_text", "n_lines", "n_dropped"])
 
     kinds = StructType([rows.schema["row"], *StructType.fromDDL("kept_text string, n_lines long, n_dropped long")])
     return rows.mapInArrow(each, kinds)

@@ -41,7 +41,8 @@ SMALL, STARS = 16, 2
 #: Members in a tile of those that are compared with all, and of all.
 OPEN_TILE, TILE = 256, 1024
 #: Numbers in an incidence matrix, about.
-_CELLS = 1 << 23
+_CELLS = 1 << 21
+_AT_ONCE = 512
 _PIECE = 1 << 12
 _FACTORS, _SHIFTS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _FACTORS |= np.uint64(1)
@@ -76,11 +77,15 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(start, _AT_ONCE) for batch in batches for start in range(0, batch.num_rows, _AT_ONCE))
+
+
 def _sketches(rows: DataFrame) -> DataFrame:
     """(row_id, text_key, fp, bands): text_key is the same for equal words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             keys, prints, bands = [], np.zeros(batch.num_rows, dtype=np.uint64), []
             for i, text in enumerate(batch.column(1)):
                 words = tokens_of(text.as_py())
@@ -95,7 +100,7 @@ def _sketches(rows: DataFrame) -> DataFrame:
 
 def _sets(rows: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [np.unique(shingles(tokens_of(x.as_py()))).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"])
 
