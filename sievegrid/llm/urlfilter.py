@@ -38,6 +38,8 @@ RULES = (
 LONGEST_WORD = 40
 #: Weight of the classes' own proportion in a word's odds, in occurrences.
 SMOOTHING = 10.0
+#: The largest number of labelled texts that the odds are learnt from, those of the smallest hash of their id.
+SAMPLE = 20_000
 #: Share of addresses taken to be bad before a word is read.
 PRIOR = 0.1
 #: What each letter of an unlisted word costs, besides a word that was seen once.
@@ -71,11 +73,15 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(words_of(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def word_odds(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, smoothing: float = SMOOTHING) -> DataFrame:
-    """(word, odds) from texts labelled 1 (bad) or 0 whose crc32(id) leaves a remainder of ``folds``; the others are held out."""
+def word_odds(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, smoothing: float = SMOOTHING, sample: int = SAMPLE) -> DataFrame:
+    """(word, odds) from texts labelled 1 (bad) or 0 whose crc32(id) leaves a remainder of ``folds``; the others are held out.
+
+    At most ``sample`` labels are used, so that they are sent to the tasks and no text is moved.
+    """
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     usable = usable.where(f"id IS NOT NULL AND label IN (0, 1) AND crc32(CAST(id AS STRING)) % {folds} <> 0")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(usable, "id")
+    usable = usable.orderBy(F.md5(F.concat(F.lit("url-"), F.col("id").cast("string")).cast("binary")), "label").limit(sample)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(usable), "id")
     seen = rows.select("label", F.explode(words_of(F.col("text"))).alias("word")).groupBy("word")
     seen = Table(seen.agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good")), "url-labelled-words").df
     bad, good = seen.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
