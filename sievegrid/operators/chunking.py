@@ -54,10 +54,11 @@ def table_facts(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "doc_title", subject.alias("subject"), F.posexplode("tables").alias("table_no", "table")).where("table.n_cols = 2")
     rows = rows.select("doc_id", "doc_title", "subject", "table_no", F.posexplode("table.rows").alias("row_no", "cells"))
     cells = F.filter(F.transform("cells", lambda c: strip(text_or_empty(c))), lambda c: c != "")
-    rows = rows.withColumn("cells", cells).where("size(cells) = 2 AND char_length(cells[0]) <= 30")
-    text = F.concat(F.when(F.col("subject") != "", F.concat("subject", F.lit("的"))).otherwise(""), F.col("cells")[0], F.lit("："), F.col("cells")[1])
+    rows = rows.withColumn("cells", cells).where("size(cells) = 2 AND char_length(get(cells, 0)) <= 30")
+    field, value = F.get("cells", F.lit(0)), F.get("cells", F.lit(1))  # filters above may be asked before the one on the size
+    text = F.concat(F.when(F.col("subject") != "", F.concat("subject", F.lit("的"))).otherwise(""), field, F.lit("："), value)
     made = stable_id("p_", F.col("doc_id"), F.col("table_no"), F.col("row_no"))
-    return rows.select(made.alias("parent_id"), "doc_id", text.alias("text"), "doc_title", F.col("cells")[0].alias("clause_id"), F.lit("table_row").alias("chunk_type"), F.col("row_no").alias("position"), "subject")
+    return rows.select(made.alias("parent_id"), "doc_id", text.alias("text"), "doc_title", field.alias("clause_id"), F.lit("table_row").alias("chunk_type"), F.col("row_no").alias("position"), "subject")
 
 
 def question_pairs(text: Column) -> Column:

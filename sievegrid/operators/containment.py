@@ -1,54 +1,71 @@
 """Which texts hold which questions word for word, by an equality join on a window that both must share.
 
-Every window of ``WINDOW`` bytes is hashed, and windows are chosen by their hash alone, so a text that holds a question
-holds the question's chosen windows too. A question is known by the smallest of these, a text by all of its own: about
-one in ``ONE_IN`` of its bytes. The join gives candidates, and each is verified on the texts themselves.
-Only questions without a chosen window (shorter than it, or by chance) are compared with every text, as a stated set.
+Every window of some bytes is hashed, and the smallest hash of each run of neighbouring windows is a mark. A text that
+holds a question holds its runs too, so each mark of the question is one of the text's: a question is known by one of
+them, a text by all of its own, about two in a run. The join gives candidates, and each is verified on the
+texts themselves. Questions too short for a run of the widest windows are known by narrower ones; texts are marked
+for those widths only that some question needs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a window, a power of two.
-WINDOW = 32
-ONE_IN = 16
+#: Bytes of a window and windows of a run, powers of two, from the widest on; then single bytes, and nothing for empty questions.
+LEVELS = ((32, 32), (8, 8), (1, 1))
 _PIECE = 1 << 22
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def chosen_windows(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the chosen windows of a whole text, piece by piece."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    found = []
-    for start in range(0, max(len(data) - WINDOW + 1, 0), _PIECE):
-        h = data[start : start + _PIECE + WINDOW - 1].astype(np.uint64) + np.uint64(1)
+def marks(data: np.ndarray, window: int, run: int) -> np.ndarray:
+    """Sorted distinct hashes that are the smallest of a run of windows of a whole text, piece by piece."""
+    found = [np.zeros(0, dtype=np.uint64)]
+    for start in range(0, max(len(data) - window - run + 2, 0), _PIECE):
+        h = data[start : start + _PIECE + window + run - 2].astype(np.uint64) + np.uint64(1)
         width, power = 1, _BASE
-        while width < WINDOW:  # the hash of a window from those of its halves
+        while width < window:  # the hash of a window from those of its halves
             h = h[:-width] * power + h[width:]
             width, power = 2 * width, np.uint64(int(power) ** 2 % 2**64)
         h = (h ^ (h >> np.uint64(29))) * _MIX
         h ^= h >> np.uint64(32)
-        found.append(np.unique(h[h % np.uint64(ONE_IN) == 0]))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+        width = 1
+        while width < run:
+            h = np.minimum(h[:-width], h[width:])
+            width *= 2
+        found.append(np.unique(h))
+    return np.unique(np.concatenate(found))
 
 
-def _marked(rows: DataFrame, take: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(id, mark): a row for each hash that ``take`` leaves of a row's text."""
+def _level(size: int) -> int:
+    """The first level at which a question of so many bytes has a run."""
+    return next((i for i, (window, run) in enumerate(LEVELS) if size >= window + run - 1), len(LEVELS))
+
+
+def _marked(rows: DataFrame, levels: list[int] | None) -> DataFrame:
+    """(id, level, mark): all marks of a text at the given levels, or one mark of a question at its own level."""
+
+    def of(text: str) -> list[tuple[int, int]]:
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        out: list[tuple[int, int]] = []
+        for level in [_level(len(data))] if levels is None else levels:
+            own = marks(data, *LEVELS[level]).view(np.int64).tolist() if level < len(LEVELS) else [0]
+            out += [(level, x) for x in (own[:1] if levels is None else own)]
+        return out
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [take(chosen_windows(x.as_py())).view(np.int64) for x in batch.column(1)]
-            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in marks])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate([*marks, np.zeros(0, dtype=np.int64)]))], names=["id", "mark"])
+            found = [of(x.as_py()) for x in batch.column(1)]
+            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
+            level, mark = (pa.array([x[i] for own in found for x in own], kind) for i, kind in ((0, pa.int32()), (1, pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), level, mark], names=["id", "level", "mark"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "text").mapInArrow(each, f"id {kind}, mark long")
+    return rows.select("id", "text").mapInArrow(each, f"id {kind}, level int, mark long")
 
 
 def containing(asked: DataFrame, held: DataFrame, asked_id: str = "query_id", held_id: str = "child_id", text_col: str = "text") -> DataFrame:
@@ -57,9 +74,13 @@ def containing(asked: DataFrame, held: DataFrame, asked_id: str = "query_id", he
     A null text holds nothing and is held by nothing; an empty question is held by every text that isn't null.
     """
     left, right = (df.select(F.col(i).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL") for df, i in ((asked, asked_id), (held, held_id)))
-    marks = _marked(left, lambda x: x[:1]).select(F.col("id").alias("a"), "mark")
-    pairs = _marked(right, lambda x: x).select(F.col("id").alias("b"), "mark").join(marks, "mark").select("a", "b").distinct()
+    size = F.octet_length("text")
+    level = F.lit(len(LEVELS))
+    for i, (window, run) in reversed(list(enumerate(LEVELS))):
+        level = F.when(size >= window + run - 1, i).otherwise(level)
+    levels = sorted(x.level for x in left.select(level.alias("level")).distinct().collect())  # one for each of ``LEVELS`` at most
+    known = _marked(left, None).withColumnRenamed("id", "a")
+    pairs = _marked(right, levels).withColumnRenamed("id", "b").join(known, ["level", "mark"]).select("a", "b").distinct()
     questions, texts = left.select(F.col("id").alias("a"), F.col("text").alias("asked")), right.select(F.col("id").alias("b"), F.col("text").alias("held"))
-    sure = pairs.join(questions, "a").join(texts, "b").where(F.contains("held", F.col("asked"))).select("a", "b")
-    rest = questions.join(marks, "a", "left_anti").join(texts, F.contains("held", F.col("asked"))).select("a", "b")
-    return sure.union(rest).select(F.col("a").alias(asked_id), F.col("b").alias(held_id))
+    sure = pairs.join(questions, "a").join(texts, "b").where(F.contains("held", F.col("asked")))
+    return sure.select(F.col("a").alias(asked_id), F.col("b").alias(held_id))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KS = (1, 3, 5, 10)
@@ -32,11 +33,22 @@ def metrics(ranks: DataFrame, by: tuple[str, ...] = (), ks: tuple[int, ...] = KS
     return ranks.groupBy(*by).agg(*out)
 
 
-def p95(values: str) -> Column:
-    """The value at index floor(0.95 n) of the sorted values; the group's values must be few, as timings are."""
-    listed = F.sort_array(F.collect_list(values))
-    at = F.least(F.floor(F.size(listed) * 0.95), F.size(listed) - 1).cast("int") + 1
-    return F.try_element_at(listed, at)
+def value_at(rows: DataFrame, value: str, by: tuple[str, ...], share: float = 0.95, accuracy: int = 10_000) -> DataFrame:
+    """(by, n, value): the value at index floor(share * n) of each group's sorted values, nulls aside.
+
+    Two approximate percentiles enclose it, by the accuracy that they guarantee; only what lies between them is
+    counted value by value, so no group is gathered or sorted whole.
+    """
+    held = rows.select(F.struct(F.lit(0).alias("_"), *by).alias("_k"), F.col(value).alias("_v")).where("_v IS NOT NULL")  # a struct joins null keys too
+    low, high = (F.approx_percentile("_v", F.lit(min(1.0, max(0.0, share + x / accuracy))), F.lit(accuracy)) for x in (-2, 2))
+    bounds = held.groupBy("_k").agg(F.count("*").alias("n"), low.alias("_low"), high.alias("_high"))
+    both = held.join(bounds, "_k")
+    below = both.groupBy("_k").agg(F.count_if(F.col("_v") < F.col("_low")).alias("_below"))
+    band = both.where("_v BETWEEN _low AND _high").groupBy("_k", "n", "_v").agg(F.count("*").alias("_same")).join(below, "_k")
+    upto = F.col("_below") + F.sum("_same").over(W.partitionBy("_k").orderBy("_v"))
+    at = F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+    found = band.withColumn("_upto", upto).where(F.col("_upto") > at).groupBy("_k", "n").agg(F.min("_v").alias(value))
+    return found.select(*[F.col("_k")[c].alias(c) for c in by], "n", value)
 
 
 def numeric_fidelity(answer: Column, gold: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions.text import REPEALED, references
 from sievegrid.operators import bm25
+from sievegrid.operators.containment import containing
 
 
 def not_repealed(rows: DataFrame, status: str = "effective_status") -> DataFrame:
@@ -22,9 +23,12 @@ def not_repealed(rows: DataFrame, status: str = "effective_status") -> DataFrame
 
 def named_documents(queries: DataFrame, children: DataFrame) -> DataFrame:
     """(query_id, doc_id): documents whose title holds, or is held by, a title in the question."""
-    asked = queries.select("query_id", F.explode(references(F.col("text"), "title")).alias("named"))
-    titles = children.select("doc_id", "doc_title").where("doc_title <> ''").distinct()
-    return asked.join(titles, F.contains("doc_title", F.col("named")) | F.contains(F.col("named"), F.col("doc_title"))).select("query_id", "doc_id").distinct()
+    asked = queries.select("query_id", F.explode(references(F.col("text"), "title")).alias("text")).distinct()
+    titles = children.select("doc_id", F.col("doc_title").alias("text")).where("text <> ''").distinct()
+    named, known = (df.select(F.md5(F.col("text").cast("binary")).alias(name), "text").distinct() for df, name in ((asked, "named"), (titles, "title")))
+    both = containing(named, known, "named", "title").unionByName(containing(known, named, "title", "named")).distinct()
+    key = F.md5(F.col("text").cast("binary"))
+    return asked.select("query_id", key.alias("named")).join(both, "named").join(titles.select("doc_id", key.alias("title")), "title").select("query_id", "doc_id").distinct()
 
 
 def keyword_hits(queries: DataFrame, children: DataFrame, index: bm25.Index | None = None, k: int = 20) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import text as tx
 from sievegrid.functions.vectors import sparse_dot
-from sievegrid.operators import bm25, chunking, containment, context, dedup, dense, evaluation, fusion, mining, profile
+from sievegrid.operators import bm25, chunking, containment, context, dedup, dense, evaluation, fusion, keyword, mining, profile
 from sievegrid.plans import search
 from sievegrid.sources import content, html
 from sievegrid.sources.folders import spread
@@ -224,7 +224,7 @@ def leak_check(spark, sf_dir):
 def filter_status(spark, sf_dir):
     """What is known to be bad goes, what isn't known stays."""
     rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    return rows.where(~F.col("toxic").eqNullSafe(F.lit(1)))
+    return keyword.not_repealed(rows.withColumn("status", F.when(F.col("toxic") == 1, tx.REPEALED)), "status").drop("status")
 
 
 # --- tables ------------------------------------------------------------------------------------------------------
@@ -261,7 +261,12 @@ def neardup_pairs(spark, sf_dir):
     return dense.similar_pairs(vectors(spark, sf_dir, "id"), 0.4)
 
 
-@query()
+@query("""
+WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, embedding::double[] AS v FROM embeddings),
+near AS (SELECT b.i, list(a.vec_id) AS ids FROM v a JOIN v b ON a.i < b.i WHERE round(list_cosine_similarity(a.v, b.v), 6) > 0.4 GROUP BY b.i),
+step AS (SELECT 0::bigint AS i, []::bigint[] AS kept
+  UNION ALL SELECT v.i, CASE WHEN len(list_intersect(s.kept, coalesce(near.ids, []))) = 0 THEN list_append(s.kept, v.vec_id) ELSE s.kept END FROM step s JOIN v ON v.i = s.i + 1 LEFT JOIN near ON near.i = v.i)
+SELECT unnest(kept) AS id FROM step WHERE i = (SELECT count(*) FROM v)""")
 def neardup_greedy(spark, sf_dir):
     """Vectors kept when each goes that is near an earlier kept one."""
     rows = vectors(spark, sf_dir, "id")
@@ -292,12 +297,6 @@ def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.normal_blanks(F.col("text")).alias("text"))
 
 
-@query()
-def sentences(spark, sf_dir):
-    parts = tx.sentences(F.col("text"))
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(parts).alias("ord", "sentence"))
-
-
 @query()
 def chunk_length_mode(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -318,16 +317,6 @@ def html_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.title(page).alias("title"), F.regexp_count(page, F.lit("<p[ >]")).alias("n_paragraphs"), F.regexp_count(page, F.lit('<a[^>]*href="[^"#][^"]*"')).alias("n_links"))
 
 
-@query()
-def html_paragraphs(spark, sf_dir):
-    return spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("page_id", F.posexplode(html.paragraphs(F.col("html"))).alias("ord", "text"))
-
-
-@query()
-def page_links(spark, sf_dir):
-    return content.links(table(spark, sf_dir, "pages"))
-
-
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS host FROM pages")
 def url_host(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.host_of(F.col("url")).alias("host"))
@@ -338,7 +327,8 @@ def url_host(spark, sf_dir):
 SELECT conv_id, string_agg(role || ': ' || CASE WHEN role = 'assistant' AND length(text) > 200 THEN text[:200] || '…' ELSE text END, chr(10) ORDER BY turn) AS history FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 8 GROUP BY conv_id""")
 def history_format(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
+    last = W.partitionBy("conv_id").orderBy(F.desc("turn"))
+    turns = table(spark, sf_dir, "conversations").withColumn("back", F.row_number().over(last)).where("back <= 8")  # a partial cut comes before the shuffle
     listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("history"))
     return listed.select("conv_id", tx.history_lines(F.col("history")).alias("history"))
 
@@ -465,7 +455,10 @@ def fidelity(spark, sf_dir):
 @query("""
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[least(floor(count(*) * 0.95)::integer, count(*)::integer - 1) + 1] AS p95 FROM events GROUP BY event_type""")
 def timing_summary(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), evaluation.p95("value").alias("p95"))
+    rows = table(spark, sf_dir, "events").select("event_type", "value")
+    means = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    late = evaluation.value_at(rows, "value", ("event_type",)).select("event_type", F.col("value").alias("p95"))
+    return means.join(late, "event_type", "left")
 
 
 @query("""

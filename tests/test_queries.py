@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
-from sievegrid.plans import catalog
+from sievegrid.plans import catalog, rulebook  # noqa: F401
 from tests.oracle import assert_same, connect
 
 SF = "/root/testdata/sf0.001"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,12 +176,16 @@ def test_containment_matches_contains(spark, size):
     assert sorted(map(tuple, out.collect())) == wanted
 
 
-def test_windows_of_long_texts_are_those_of_their_parts(monkeypatch):
-    text = "".join(random.Random(3).choices("abcdef ", k=3000))
-    whole = containment.chosen_windows(text)
+@pytest.mark.parametrize("window, run", containment.LEVELS)
+def test_marks_of_long_texts_are_those_of_their_parts(monkeypatch, window, run):
+    text = "".join(random.Random(3).choices("abcdef ", k=3000)).encode()
+    data = np.frombuffer(text, dtype=np.uint8)
+    whole = containment.marks(data, window, run)
+    for start in range(0, 2900, 113):  # any stretch of a run's length has a mark, and the text has it too
+        part = containment.marks(data[start : start + window + run - 1], window, run)
+        assert len(part) == 1 and np.isin(part, whole).all()
     monkeypatch.setattr(containment, "_PIECE", 100)
-    assert containment.chosen_windows(text).tolist() == whole.tolist()
-    assert len(whole) > 100
+    assert containment.marks(data, window, run).tolist() == whole.tolist()
 
 
 def test_leaks_ignore_blanks(spark):

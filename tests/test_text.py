@@ -114,6 +114,10 @@ def test_answer_checks(spark):
     assert value(spark, evaluation.keyword_coverage(F.col("a"), F.col("g")), a="alpha", g="alpha beta") == 0.5
 
 
-def test_p95_is_by_index(spark):
-    assert spark.range(1, 21).agg(evaluation.p95("id").alias("v")).first().v == 20
-    assert spark.range(1, 11).agg(evaluation.p95("id").alias("v")).first().v == 10
+def test_value_at_is_by_index(spark):
+    for n, want in ((20, 20), (10, 10), (1, 1), (1000, 951), (50_000, 47_501)):
+        assert [tuple(r) for r in evaluation.value_at(spark.range(1, n + 1), "id", ()).collect()] == [(n, want)]
+    rows = spark.sql("SELECT k, IF(id % 3 = 0, NULL, CAST(pow(id % 50, 3) AS DOUBLE)) AS v FROM range(3000) LATERAL VIEW explode(array('a', 'b', NULL)) AS k")
+    want = sorted(float((i % 50) ** 3) for i in range(3000) if i % 3)
+    assert {(r.k, r.n, r.v) for r in evaluation.value_at(rows, "v", ("k",)).collect()} == {(k, 2000, want[1900]) for k in ("a", "b", None)}
+    assert evaluation.value_at(rows.where("false"), "v", ("k",)).count() == 0
