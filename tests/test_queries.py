@@ -37,3 +37,9 @@ def test_hybrid_plan(spark):
     assert "WindowGroupLimit" in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan.replace(",lang:string", "").replace(",source:string", "")
     assert "Python" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_no_nested_loops(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
