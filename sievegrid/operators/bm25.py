@@ -63,13 +63,17 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
     return queries.select(F.col(id_col).alias("query_id"), F.explode(words(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def score(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, child_id, score) of all documents that share a term with a query and score above 0."""
+def score(index: Index, queries: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, child_id, score) of all documents that share a term with a query and score above 0.
+
+    ``among`` (child_id) holds the search to some documents; weights are still those of all.
+    """
     mean = index.sizes.select("mean").scalar()
     wanted = query_terms(queries).join(index.terms, "term")
     held = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     held = held.select("term", "child_id", weight.alias("weight"))
+    held = held if among is None else held.join(among.select("child_id"), "child_id", "left_semi")
     hits = wanted.join(held, "term").groupBy("query_id", "child_id").agg(F.round(F.sum(F.col("times") * F.col("idf") * F.col("weight")), 6).alias("score"))
     return hits.where("score > 0")
 
@@ -80,5 +84,5 @@ def top(hits: DataFrame, k: int, order: tuple = (), rank: str = "ord") -> DataFr
     return hits.withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= k)
 
 
-def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
-    return top(score(index, queries), k)
+def search(index: Index, queries: DataFrame, k: int = 50, among: DataFrame | None = None) -> DataFrame:
+    return top(score(index, queries, among), k)

@@ -64,3 +64,30 @@ def keyword_coverage(answer: Column, gold: Column, shortest: int = 2) -> Column:
     pieces = F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(gold, F.lit("")), F.lit(PIECE), F.lit(0)), lambda x: F.char_length(x) >= shortest))
     held = F.size(F.filter(pieces, lambda x: F.contains(F.coalesce(answer, F.lit("")), x)))
     return F.when(F.size(pieces) > 0, held / F.size(pieces)).otherwise(F.lit(0.0))
+
+
+def generation_summary(scores: DataFrame, fidelity: str = "fidelity", coverage: str = "coverage", enough: float = 0.6) -> DataFrame:
+    """One row: answers, how many have numbers to check, and means and shares of both scores; nulls count in neither."""
+    exact = F.when(F.col(fidelity).isNotNull(), (F.col(fidelity) == 1.0).cast("double"))
+    return scores.agg(
+        F.count("*").alias("n"),
+        F.count(fidelity).alias("fidelity_n"),
+        F.round(F.avg(fidelity), 4).alias("fidelity_mean"),
+        F.round(F.avg(exact), 4).alias("fidelity_all_right"),
+        F.round(F.avg(coverage), 4).alias("coverage_mean"),
+        F.round(F.avg((F.col(coverage) >= enough).cast("double")), 4).alias("coverage_enough"),
+    )
+
+
+def against_baseline(results: DataFrame, baseline: str, by: str = "stage", measure: str = "recall_5") -> DataFrame:
+    """Results with ``gain``, the difference to the baseline's measure in percentage points."""
+    base = results.where(F.col(by) == baseline).agg(F.max(measure)).scalar()
+    return results.withColumn("gain", F.round(100 * (F.col(measure) - base), 2))
+
+
+def as_markdown(results: DataFrame, by: str = "stage") -> Column:
+    """An aggregate of ``results``, few rows as they are, as one Markdown table in the order of ``by``."""
+    cells = lambda values: F.concat(F.lit("| "), F.concat_ws(" | ", *values), F.lit(" |"))
+    head = "\n".join(("| " + " | ".join(results.columns) + " |", "|" + "-|" * len(results.columns)))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(by), cells([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in results.columns]).alias("line"))))
+    return F.concat_ws("\n", F.lit(head), F.transform(rows, lambda x: x["line"]))

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.functions.text import history_lines, rewritten_or_original, strip, text_or_empty, without_thinking
+from sievegrid.functions.text import history_lines, json_pairs, rewritten_or_original, strip, text_or_empty, without_thinking
+from sievegrid.operators import mining
 
 Model = Callable[[Column], Column]
 LEAST_TOKENS, MOST_TOKENS = 1024, 16_384
@@ -58,3 +59,19 @@ def rewritten(queries: DataFrame, model: Model) -> DataFrame:
     """Questions of (query_id, text, history) made to stand alone; without history, or with a useless answer, as they were."""
     answer = rewritten_or_original(model(rewrite_prompt(F.col("text"), F.col("history"))), F.col("text"))
     return queries.withColumn("text", F.when(F.coalesce(F.size("history"), F.lit(0)) > 0, answer).otherwise(F.col("text")))
+
+
+def mined_pairs(parents: DataFrame, model: Model, least: int = 60, most: int = 1500, each: int = 2) -> DataFrame:
+    """(parent_id, question, answer, outcome) of the first questions that a model finds in each text of fitting length."""
+    asked = parents.where(F.char_length("text").between(least, most)).select("parent_id", "text", json_pairs(without_thinking(model(mining_prompt(F.col("text"))))).alias("pairs"))
+    rows = asked.select("parent_id", "text", F.explode(F.slice("pairs", 1, each)).alias("pair"))
+    rows = rows.select("parent_id", "text", strip(F.col("pair.question")).alias("question"), strip(F.col("pair.answer")).alias("answer"))
+    return mining.grounded(rows, "answer", "text").select("parent_id", "question", "answer", "outcome")
+
+
+def reworded(pairs: DataFrame, model: Model, corpus: DataFrame) -> DataFrame:
+    """Pairs with the question in a model's words, its id marked; those that stand in the corpus word for word go."""
+    made = rewritten_or_original(model(messages("Ask the same in other words.", F.col("question"))), F.col("question"))
+    rows = pairs.withColumn("question", made).withColumn("qa_id", F.concat("qa_id", F.lit("_pp")))
+    leaked = mining.leaks(rows.select(F.col("qa_id").alias("query_id"), F.col("question").alias("text")), corpus)
+    return rows.join(leaked.withColumnRenamed("query_id", "qa_id"), "qa_id", "left_anti")

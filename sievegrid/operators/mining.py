@@ -130,3 +130,56 @@ def with_gold_inserted(others: Column, gold: Column, key: Column, seed: str) ->
     """(at, records): the right record at a place from 1 drawn by key and seed."""
     at = F.floor(roll(key, seed) * (F.size(others) + 1)).cast("int") + 1
     return F.struct(at.alias("at"), F.array_insert(others, at, gold).alias("records"))
+
+
+def hard_eval_set(pairs: DataFrame, venues: tuple[str, ...], n: int, seed: str = "hard", method: str = "table_template", lang: str = "zh") -> DataFrame:
+    """``n`` pairs in a seeded order, one for each parent, of one method, one language and some venues."""
+    rows = pairs.where((F.col("mining_method") == method) & (F.col("lang") == lang) & F.col("venue").isin(*venues) & (F.col("parent_id") != ""))
+    once = first_by(rows, ["parent_id"], ["qa_id"])
+    return once.withColumn("_order", seeded_order(F.col("qa_id"), seed)).orderBy("_order", "qa_id").limit(n).drop("_order")
+
+
+#: Parents from which one question draws its unrelated ones, about.
+DRAWN_FROM = 64
+
+
+def random_others(pairs: DataFrame, parents: DataFrame, k: int, seed: str = "others") -> DataFrame:
+    """(qa_id, others): up to k records (text, doc_title) of parents other than the right one, in a seeded order.
+
+    Parents are dealt into parts of about ``DRAWN_FROM``, and a question draws from the part that its hash names, so that
+    questions meet few parents each.
+    """
+    parts = F.greatest(F.lit(1), F.floor(parents.agg(F.count("*").alias("n")).scalar() / DRAWN_FROM)).cast("long")
+    dealt = lambda key: F.pmod(F.conv(F.substring(seeded_order(key, seed), 1, 8), 16, 10).cast("long"), parts)
+    held = parents.select(F.col("parent_id").alias("_other"), "text", "doc_title", dealt(F.col("parent_id")).alias("_part"))
+    asked = pairs.select("qa_id", "parent_id", dealt(F.col("qa_id")).alias("_part"))
+    met = asked.join(held, "_part").where(F.col("_other") != F.col("parent_id"))
+    order = W.partitionBy("qa_id").orderBy(seeded_order(F.concat_ws("-", "qa_id", "_other"), seed), "_other")
+    drawn = met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    listed = drawn.groupBy("qa_id").agg(F.array_sort(F.collect_list(F.struct("_n", "text", "doc_title"))).alias("others"))
+    return listed.select("qa_id", F.transform("others", lambda x: F.struct(x["text"].alias("text"), x["doc_title"].alias("doc_title"))).alias("others"))
+
+
+def training_samples(pairs: DataFrame, parents: DataFrame, negatives: DataFrame, n_context: int = 4, seed: str = "sft") -> DataFrame:
+    """(qa_id, sample_type, question, records, answer, is_refusal, gold_citation), one sample for each pair with a known parent.
+
+    ``pairs`` is (qa_id, parent_id, question, answer), ``parents`` (parent_id, text, doc_title), ``negatives`` (qa_id,
+    records) with records of (text, doc_title). A refusal shows no right record; other samples have it at a drawn place.
+    Hard negatives serve refusals and distractions where there are some, random parents everything else.
+    """
+    gold = parents.select("parent_id", F.struct("text", "doc_title").alias("gold"))
+    rows = pairs.where("answer <> ''").join(gold, "parent_id").join(negatives.select("qa_id", "records"), "qa_id", "left")
+    rows = rows.join(random_others(pairs, parents, n_context, seed), "qa_id", "left")
+    near = F.coalesce(F.size("records"), F.lit(0)) > 0
+    kind = sample_type(F.col("qa_id"), near, seed)
+    rows = rows.withColumn("sample_type", kind).withColumn("is_refusal", F.startswith("sample_type", F.lit("refusal")))
+    wanted = F.when(F.col("is_refusal"), n_context).otherwise(n_context - 1)
+    pool = F.when(near & (F.col("is_refusal") | (F.col("sample_type") == "distract")), F.col("records")).otherwise(F.coalesce("others", F.slice(F.array("gold"), 1, 0)))
+    rows = rows.withColumn("pool", F.slice(pool, F.lit(1), wanted)).where("NOT is_refusal OR size(pool) > 0")
+    placed = with_gold_inserted(F.col("pool"), F.col("gold"), F.col("qa_id"), seed + "-place")
+    rows = rows.withColumn("placed", placed)
+    records = F.when(F.col("is_refusal"), F.col("pool")).otherwise(F.col("placed.records"))
+    refused = F.when(F.col("sample_type") == "refusal_nearmiss", REFUSALS["nearmiss"]).otherwise(REFUSALS["random"])
+    cited = F.when(~F.col("is_refusal"), F.col("placed.at"))
+    answer = F.coalesce(F.concat("answer", F.lit("["), cited.cast("string"), F.lit("]")), refused)
+    return rows.select("qa_id", "sample_type", "question", balanced_metadata(records).alias("records"), answer.alias("answer"), "is_refusal", cited.alias("gold_citation"))

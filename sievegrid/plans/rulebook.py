@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from sievegrid.functions import numerals
 from sievegrid.functions import text as tx
 from sievegrid.functions.vectors import cosine
-from sievegrid.operators import chunking, context, dedup, evaluation, keyword, mining, profile, titles
+from sievegrid.operators import bm25, chunking, context, dedup, evaluation, generation, keyword, mining, profile, titles
+from sievegrid.plans import catalog
 from sievegrid.plans.catalog import query, table
 from sievegrid.sources import content, html
 from sievegrid.sources.folders import spread
@@ -380,3 +381,94 @@ def page_tables(spark, sf_dir):
     """Text of a page with its tables as lines below it."""
     page = F.concat(F.lit("<html><body><h1>"), "p_brand", F.lit("</h1><table><tr><td>"), "p_type", F.lit("</td><td>"), F.col("p_size").cast("string"), F.lit("</td></tr></table><p>"), "name", F.lit("</p></body></html>"))
     return _parts(spark, sf_dir).select("doc_id", html.text_with_tables(page).alias("text"))
+
+
+# --- question sets and their summaries ---------------------------------------------------------------------------
+def _venue_pairs(spark, sf_dir):
+    """Template pairs with the language and venue of their subject: brands of an even number are foreign."""
+    brand = F.regexp_extract("question", "Brand#([0-9]+)", 1).try_cast("int")
+    return template_pairs(spark, sf_dir).withColumn("lang", F.when(brand % 2 == 0, "en").otherwise("zh")).withColumn("venue", F.concat(F.lit("v"), (brand % 10).cast("string")))
+
+
+HARD_SQL = f"""{FACTS_SQL}, hard AS (
+  SELECT {sha_sql("qa2a_", "parent_id", "form")} AS qa_id, parent_id, replace(replace(form, '{{s}}', subject), '{{f}}', clause_id) AS question, value AS answer
+  FROM facts JOIN (SELECT * FROM (VALUES {", ".join(f"('{t}', {str(i == 1).lower()})" for i, t in enumerate(mining.TEMPLATES))}) t(form, amount)) ON NOT (amount AND clause_id = '{FIELDS[1]}')
+  WHERE regexp_extract(subject, '[0-9]+')::integer % 10 IN (1, 3, 5)),
+drawn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY qa_id) AS n FROM hard) WHERE n = 1 ORDER BY sha256(qa_id || chr(31) || 'hard'), qa_id LIMIT 40)"""
+
+
+@query(f"WITH {HARD_SQL} SELECT qa_id, parent_id, question, answer FROM drawn")
+def hard_eval(spark, sf_dir):
+    """A sample of forty, one question for each parent: the limit is the sample."""
+    return mining.hard_eval_set(_venue_pairs(spark, sf_dir), ("v1", "v3", "v5"), 40).select("qa_id", "parent_id", "question", "answer")
+
+
+@query(f"WITH {HARD_SQL} SELECT qa_id || '_pp' AS qa_id, '请说明：' || question AS question FROM drawn WHERE NOT EXISTS (SELECT 1 FROM facts WHERE contains(facts.text, '请说明：' || drawn.question))")
+def reworded_eval(spark, sf_dir):
+    """The same with a stand-in for the model, which puts a phrase before the question."""
+    said = lambda messages: F.concat(F.lit("<think>x</think>请说明："), F.element_at(messages, -1)["content"])
+    corpus = _facts(spark, sf_dir).select("text")
+    return generation.reworded(hard_eval(spark, sf_dir), said, corpus).select("qa_id", "question")
+
+
+@query("""
+SELECT doc_id AS parent_id, 'What is ' || doc_id || '?' AS question, CASE doc_id % 3 WHEN 0 THEN 'no such thing' WHEN 1 THEN text[:20] ELSE 'no' END AS answer,
+  CASE doc_id % 3 WHEN 0 THEN 'not_in_clause' WHEN 1 THEN 'accepted' ELSE 'too_short' END AS outcome FROM documents
+WHERE length(text) BETWEEN 60 AND 1500 AND NOT contains(text[:20], chr(10)) AND NOT contains(text[:20], '"') AND NOT contains(text[:20], chr(92)) AND trim(text[:20]) = text[:20] AND NOT contains(text[:20], '[') AND NOT contains(text[:20], ']')""")
+def mined_pairs(spark, sf_dir):
+    """Questions of a stand-in for the model, and whether their answers stand in the text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), "text")
+    start = F.substring("text", 1, 20)
+    docs = docs.where(~start.rlike(r'[\n"\\\[\]]') & (F.trim(start) == start))
+    answer = F.when(F.col("parent_id") % 3 == 0, "no such thing").when(F.col("parent_id") % 3 == 1, start).otherwise("no")
+    said = lambda messages: F.concat(F.lit('[{"question": "What is '), F.col("parent_id").cast("string"), F.lit('?", "answer": "'), answer, F.lit('"}]'))
+    return generation.mined_pairs(docs, said)
+
+
+@query(f"""
+WITH {catalog.QA_SQL.strip()}, x AS ({catalog.SQL["fidelity"].split("x AS (", 1)[1].split("FROM qa)")[0]} FROM qa),
+s AS (SELECT CASE WHEN len(nums) > 0 THEN round(len(list_filter(nums, lambda n: contains(a, replace(replace(n, ',', ''), '，', '')))) / len(nums), 6) END AS f,
+  round(CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda w: contains(answer, w))) / len(words) ELSE 0.0 END, 6) AS c FROM x)
+SELECT count(*) AS n, count(f) AS fidelity_n, round(avg(f), 4) AS fidelity_mean, round(avg(CASE WHEN f IS NOT NULL THEN (f = 1.0)::integer END), 4) AS fidelity_all_right, round(avg(c), 4) AS coverage_mean, round(avg((c >= 0.6)::integer), 4) AS coverage_enough FROM s""")
+def generation_summary(spark, sf_dir):
+    return evaluation.generation_summary(catalog.fidelity(spark, sf_dir))
+
+
+@query(f"""
+WITH {catalog.BM25_SQL}, chosen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS place FROM scored WHERE score > 0 AND child_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source <> 'src1'))
+SELECT query_id, child_id, score, place::integer AS ord FROM chosen WHERE place <= 10""")
+def bm25_filtered(spark, sf_dir):
+    """Search within one language and without one source: filters apply before the cut to k."""
+    kids = catalog.children(spark, sf_dir)
+    return bm25.search(bm25.build(kids), catalog.questions(spark, sf_dir), 10, kids.where("lang = 'en' AND parent_id <> 'src1'").select("child_id"))
+
+
+@query(f"SELECT stage, recall_5, round(100 * (recall_5 - max(CASE WHEN stage = 'bm25' THEN recall_5 END) OVER ()), 2) AS gain FROM ({catalog.SQL['ablation']})")
+def ablation_gains(spark, sf_dir):
+    return evaluation.against_baseline(catalog.ablation(spark, sf_dir).select("stage", "recall_5"), "bm25")
+
+
+@query(f"""
+WITH {PARTS_SQL}, parents AS (SELECT {sha_sql("p_", "doc_id")} AS parent_id, name AS text, p_brand AS doc_title FROM parts),
+pairs AS (SELECT 'qa' || k AS qa_id, {sha_sql("p_", "doc_id")} AS parent_id, p_type || '？' AS question, p_size::varchar AS answer, k % 2 = 0 AS near, [{{'text': p_type, 'doc_title': p_brand}}] AS records FROM parts),
+n AS (SELECT greatest(1, floor(count(*) / {mining.DRAWN_FROM}))::bigint AS parts FROM parents),
+met AS (SELECT qa_id, o.text, o.doc_title, row_number() OVER (PARTITION BY qa_id ORDER BY sha256(qa_id || '-' || o.parent_id || chr(31) || 'sft'), o.parent_id) AS n
+  FROM n, pairs p JOIN parents o ON ('0x' || sha256(p.qa_id || chr(31) || 'sft')[:8])::ubigint % n.parts = ('0x' || sha256(o.parent_id || chr(31) || 'sft')[:8])::ubigint % n.parts AND o.parent_id <> p.parent_id),
+others AS (SELECT qa_id, list({{'text': text, 'doc_title': doc_title}} ORDER BY n) AS others FROM met WHERE n <= 4 GROUP BY qa_id),
+typed AS (SELECT p.*, {{'text': g.text, 'doc_title': g.doc_title}} AS gold, coalesce(others, []) AS others, ('0x' || sha256(p.qa_id || chr(31) || 'sft')[:8])::ubigint / 4294967296.0 AS r, ('0x' || sha256(p.qa_id || chr(31) || 'sft-place')[:8])::ubigint / 4294967296.0 AS d
+  FROM pairs p JOIN parents g USING (parent_id) LEFT JOIN others USING (qa_id)),
+kinds AS (SELECT *, CASE WHEN r < 0.15 THEN CASE WHEN near THEN 'refusal_nearmiss' ELSE 'refusal_random' END WHEN r < 0.5 THEN 'distract' ELSE 'answer' END AS sample_type FROM typed),
+pools AS (SELECT *, r < 0.15 AS is_refusal, (CASE WHEN near AND sample_type <> 'answer' THEN records ELSE others END)[:CASE WHEN r < 0.15 THEN 4 ELSE 3 END] AS pool FROM kinds),
+placed AS (SELECT *, CASE WHEN NOT is_refusal THEN (floor(d * (len(pool) + 1)) + 1)::integer END AS spot FROM pools WHERE NOT is_refusal OR len(pool) > 0)
+SELECT qa_id, sample_type, question, array_to_string(list_transform(CASE WHEN is_refusal THEN pool ELSE list_concat(list_concat(list_slice(pool, 1, spot - 1), [gold]), list_slice(pool, spot, 9)) END, lambda x: x.doc_title || '/' || x.text), ';') AS records,
+  CASE WHEN sample_type = 'refusal_nearmiss' THEN '{mining.REFUSALS["nearmiss"]}' WHEN is_refusal THEN '{mining.REFUSALS["random"]}' ELSE answer || '[' || spot || ']' END AS answer, is_refusal, spot AS gold_citation FROM placed""")
+def training_samples(spark, sf_dir):
+    """Refusals, distractions and answers over hard negatives and random parents, in one plan."""
+    rows = _parts(spark, sf_dir)
+    parent = tx.stable_id("p_", F.col("doc_id"))
+    parents = rows.select(parent.alias("parent_id"), F.col("name").alias("text"), F.col("p_brand").alias("doc_title"))
+    qa = F.concat(F.lit("qa"), F.col("k").cast("string"))
+    pairs = rows.select(qa.alias("qa_id"), parent.alias("parent_id"), F.concat("p_type", F.lit("？")).alias("question"), F.col("p_size").cast("string").alias("answer"))
+    negatives = rows.where("k % 2 = 0").select(qa.alias("qa_id"), F.array(F.struct(F.col("p_type").alias("text"), F.col("p_brand").alias("doc_title"))).alias("records"))
+    out = mining.training_samples(pairs, parents, negatives)
+    return out.withColumn("records", F.array_join(F.transform("records", lambda x: F.concat(x["doc_title"], F.lit("/"), x["text"])), ";"))
