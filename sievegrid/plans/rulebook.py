@@ -301,9 +301,10 @@ def outcome_counts(spark, sf_dir):
     return profile.outcomes(rows)
 
 
-@query("SELECT doc_id, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def rows_to_remove(spark, sf_dir):
-    return dedup.to_remove(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"), ["doc_id"])
+    """Rows of a table whose key the new version lacks."""
+    return dedup.to_remove(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"])
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) WHERE n = 1")
