@@ -20,6 +20,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -59,7 +60,8 @@ def record(first_capture: int = FIRST_CAPTURE) -> Column:
     """The text of a row's WARC record, without the two line breaks that end it."""
     number = F.coalesce(F.col("id").cast("string"), F.lit(""))
     when = F.date_format(F.timestamp_seconds(F.lit(first_capture) + F.pmod(F.coalesce("id", F.lit(0)), F.lit(SPAN))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    target = F.regexp_replace("url", _UNSAFE, "%20")
+    coded = reduce(lambda x, c: F.replace(x, F.lit(chr(c)), F.lit(f"%{c:02X}")), [*range(33), 127], F.col("url"))
+    target = F.when(F.col("url").rlike(_UNSAFE), coded).otherwise(F.col("url"))
     revisit = F.col("origin").isNotNull()
     block = _lines("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: ", F.col("bytes").cast("string"), END, F.when(revisit, "").otherwise(F.col("payload")))
     refers = F.when(revisit, _lines("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF + "WARC-Refers-To: <urn:page:", F.col("origin").cast("string"), ">" + CRLF)).otherwise("")
@@ -204,7 +206,7 @@ def capture_index(spark, path: str, archives: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*entries), _SCHEMA)], schema=_SCHEMA)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    runs = files.mapInArrow(read, ENTRY)
+    runs = Table(files.mapInArrow(read, ENTRY), "warc-runs").df  # archives are parsed once; finding the ranges reads the runs
     order = ["url_key", "timestamp", F.col("page_id").asc_nulls_first()]
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-archives // RANGE_FILES))
     return runs.repartitionByRange(ranges, *order).mapInArrow(_merge, ENTRY)

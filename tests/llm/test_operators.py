@@ -634,6 +634,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert [r.url_key for r in out] == sorted(r.url_key for r in out)
     records = [r for f in sorted(Path(f"{tmp_path}/warc").glob("part-*")) for r in warc.parse(gzip.decompress(f.read_bytes()))]
     assert len(records) == len(rows)
+    assert {h["WARC-Target-URI"] for _, h, _ in records} >= {"http://a.org/%20y%0A", "http://b.org/x"}
     empty = f"file://{tmp_path}/empty"
     assert warc.capture_index(spark, empty, warc.write_archives(warc.with_origin(frame.where("false")), empty)).count() == 0
 
