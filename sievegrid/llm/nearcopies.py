@@ -42,6 +42,8 @@ SMALL, STARS = 16, 2
 OPEN_TILE, TILE = 256, 1024
 #: Numbers in an incidence matrix, about.
 _CELLS = 1 << 21
+#: Ids that are sent to the tasks; more are joined.
+MOST_SENT = 1 << 20
 _AT_ONCE = 512
 _PIECE = 1 << 12
 _FACTORS, _SHIFTS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
@@ -98,9 +100,23 @@ def _sketches(rows: DataFrame) -> DataFrame:
     return rows.select("row_id", "text").mapInArrow(each, "row_id long, text_key binary, fp long, bands array<long>")
 
 
-def _sets(rows: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, own) for the rows whose id is in ``wanted`` (row_id).
+
+    Up to ``MOST_SENT`` ids are sent to the tasks, so that no text is moved; more are joined.
+    """
+    wanted = Table(wanted, "near-wanted").df
+    sent = None
+    if wanted.count() <= MOST_SENT:
+        ids = np.sort(wanted.toArrow()["row_id"].to_numpy())  # 8 MB at most
+        sent = rows.sparkSession.sparkContext.broadcast(ids)
+    else:
+        rows = rows.join(wanted, "row_id", "left_semi")
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
+            if sent is not None:
+                batch = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), sent.value)))
             sets = [np.unique(shingles(tokens_of(x.as_py()))).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"])
 
@@ -220,7 +236,7 @@ def groups(rows: DataFrame, similarity: float = SIMILARITY, small: int = SMALL,
         pairs = Table(same.union(near), "near-candidates").df
 
         wanted = buckets.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct().withColumnRenamed("node", "row_id")
-        found = _Groups(Table(_sets(rows.join(wanted, "row_id", "left_semi")), "near-sets").df, similarity)
+        found = _Groups(Table(_sets(rows, wanted), "near-sets").df, similarity)
         few, large = buckets.where(F.col("n") <= small).select("key", "node"), buckets.where(F.col("n") > small).select("key", "node")
         each = few.toDF("key", "a").join(few.toDF("key", "b"), "key").where("a > b").select("a", "b")
         first = found.heads(large.withColumn("root", F.col("node")), 0)

@@ -51,7 +51,7 @@ def test_near_copies_of_similarity_four_fifths_go(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(root))
 
 
-def test_groups_take_few_rounds_or_all_pairs_alike(spark):
+def test_groups_take_few_rounds_or_all_pairs_alike(spark, monkeypatch):
     """A base whose copies are similar to it, but often not to each other."""
     rng = random.Random(5)
     base = [f"w{i}" for i in range(100)]
@@ -59,7 +59,8 @@ def test_groups_take_few_rounds_or_all_pairs_alike(spark):
     pairs, root = brute_force(texts)
     assert len(set(root)) < 60
     rows = documents(spark, *texts).select(F.col("doc_id").alias("row_id"), "text")
-    for small, stars in ((1, 1), (1, 3), (16, 2)):
+    for small, stars, sent in ((1, 1, 0), (1, 3, 1 << 20), (16, 2, 1 << 20)):
+        monkeypatch.setattr(nearcopies, "MOST_SENT", sent)
         out = {r.row_id: r.group_id for r in nearcopies.groups(rows, small=small, stars=stars).collect()}
         assert union_find(60, list(out.items())) == root, (small, stars)
 
