@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from sievegrid.llm import lines, mixing, topk, warc
+from sievegrid.llm import fim, lines, lloyd, mixing, topk, warc
+from sievegrid.llm.collisions import op11_collisions
+from sievegrid.llm.fim import op13_fim
 from sievegrid.llm.lines import op10_lines
+from sievegrid.llm.lloyd import op12_deltalloyd
 from sievegrid.llm.mixing import op7_mixing
 from sievegrid.llm.maintext import op8_maintext
 from sievegrid.llm.multiindex import op6_multiindex
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maintext": op8_maintext,
     "op9_warc": op9_warc,
     "op10_lines": op10_lines,
+    "op11_collisions": op11_collisions,
+    "op12_deltalloyd": op12_deltalloyd,
+    "op13_fim": op13_fim,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -38,4 +44,6 @@ SQL: dict[str, str] = {
     "op7_mixing": mixing.SQL,
     "op9_warc": warc.SQL,
     "op10_lines": lines.SQL,
+    "op12_deltalloyd": lloyd.SQL,
+    "op13_fim": fim.SQL,
 }

@@ -48,6 +48,23 @@ class Table:
         delete(self.spark, self.path)
 
 
+class BucketedTable(Table):
+    """A table bucketed by a key: such tables of the same number of buckets are joined where they lie."""
+
+    def __init__(self, df: DataFrame, name: str, key: str, buckets: int):
+        self.spark = df.sparkSession
+        self.path = new_path(self.spark, name)
+        self.name = self.path.rsplit("/", 1)[-1].replace("-", "_")
+        df.write.bucketBy(buckets, key).option("path", self.path).saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+        for tables in _written:
+            tables.append(self)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        super().drop()
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Deletes the tables written inside at its end; what is needed later must be written outside of it or kept by ``keep``."""
