@@ -16,7 +16,7 @@ from sievegrid.functions.vectors import cosine
 from sievegrid.operators import bm25, chunking, context, dedup, evaluation, generation, keyword, mining, profile, titles
 from sievegrid.plans import catalog
 from sievegrid.plans.catalog import query, table
-from sievegrid.sources import content, html
+from sievegrid.sources import content, html, page_tree
 from sievegrid.sources.folders import spread
 
 NINE = "一二三四五六七八九"
@@ -384,6 +384,69 @@ def page_tables(spark, sf_dir):
     return _parts(spark, sf_dir).select("doc_id", html.text_with_tables(page).alias("text"))
 
 
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\p{{Z}}]+|[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\p{{Z}}]+$', '', 'g')"
+
+
+def _squeezed_sql(x: str) -> str:
+    return _strip_sql(f"regexp_replace(regexp_replace(regexp_replace({x}, '\\r\\n?', chr(10), 'g'), '(?m)[ \\t]+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _content_sql() -> str:
+    """A given page has an advert and an article: the longer one is its content, each piece of text between tags a line."""
+    unescape = "x"
+    for name, char in html.ENTITIES.items():
+        unescape = f"replace({unescape}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    pieces = lambda x: f"list_filter(list_transform(string_split(regexp_replace({x}, '<!--(?s:.*?)-->|<[^>]*>', chr(1), 'g'), chr(1)), lambda x: {_strip_sql(unescape)}), lambda x: x <> '')"
+    chars = lambda x: f"coalesce(list_sum(list_transform({x}, lambda x: length(x))), 0)"
+    lines = "list_filter(string_split(body, chr(10)), lambda x: x = '' OR NOT regexp_matches(x, '^[\\s\\-—–]*\\d{1,4}[\\s\\-—–]*$'))"
+    invisible = f"regexp_replace(body, '{tx.INVISIBLE}', '', 'g')"
+    return f"""
+WITH cut AS (SELECT page_id, {pieces("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
+    {pieces("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} AS article, {pieces("regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)")} AS advert FROM pages),
+own AS (SELECT page_id, title[1] AS title, array_to_string(CASE WHEN {chars("advert")} >= {chars("article")} THEN advert ELSE article END, chr(10)) AS body FROM cut),
+one AS (SELECT page_id, title, {_squeezed_sql(invisible)} AS body FROM own),
+two AS (SELECT page_id, title, {_squeezed_sql(f"array_to_string({lines}, chr(10))")} AS body FROM one),
+three AS (SELECT page_id, title, trim(array_to_string(list_filter(string_split(body, chr(10)), lambda x: NOT regexp_matches(trim(x), '^(?:首页|Home)$|^[\\s>]+$')), chr(10)), ' ' || chr(10)) AS text FROM two)
+SELECT page_id, title, text, 'en' AS lang, 0::bigint AS n_tables, CASE WHEN length(text) < 50 THEN 'no selector,short' ELSE 'no selector' END AS warnings FROM three"""
+
+
+@query(_content_sql())
+def html_content(spark, sf_dir):
+    """Title and content of each page, cut to the container that holds it."""
+    out = page_tree.contents(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id"))
+    return out.select("page_id", "title", "text", "lang", F.size("tables").cast("long").alias("n_tables"), F.array_join("warnings", ",").alias("warnings"))
+
+
+def _product_pages(spark, sf_dir):
+    """Pages of two kinds of site: furniture of nested divisions, a content of changing length with a table in a table, and another container."""
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    size, kind, brand, name = F.col("p_size").cast("string"), F.col("p_type"), F.col("p_brand"), F.col("name")
+    body = F.array_join(F.array_repeat(name, (F.col("k") % 5 + 1).cast("int")), " ")
+    page = say("<html><head><title>", F.col("doc_title"), "</title></head><body><div id=page>", "<div></div>" * 9,
+        "<div class='top-menu'><div><ul><li>", name, "<li>", kind, "</ul></div><div><p>", F.repeat(name, F.lit(9)), "</div></div>",
+        "<div class='allZoom wide'><div id=Share-this><div>", kind, "</div></div><h1>", brand, "</h1><p>", body,
+        "<table><tr><th>规格<td>", size, "<tr><td>", kind, "<table><tr><td>", brand, "</table><td>z</td></table><form>", body, "</form></div>",
+        "<div class=other><p>", kind, "<p>", F.repeat(kind, F.lit(2)), "</div></div></body></html>")
+    site = F.when(F.col("k") % 2 == 0, "http://www.sse.com.cn/").otherwise("https://example.org/")
+    return _parts(spark, sf_dir).select("doc_id", F.concat(site, "doc_id").alias("url"), page.alias("html"))
+
+
+@query(f"""
+WITH {PARTS_SQL}, own AS (SELECT *, rtrim(repeat(name || ' ', k % 5 + 1)) AS body, p_type || chr(10) || p_type || p_type AS other FROM parts),
+sized AS (SELECT *, length(p_brand) + length(body) + 2 + length(p_size::varchar) + length(p_type) + length(p_brand) + 1 AS chars, 3 * length(p_type) AS other_chars FROM own),
+picked AS (SELECT *, chars >= other_chars OR (k % 2 = 0 AND chars > 100) AS first FROM sized),
+said AS (SELECT doc_id, k, doc_title AS title, first, CASE WHEN first THEN p_brand || chr(10) || body || chr(10) || chr(10) || '规格：' || p_size || chr(10) || p_type || ' ' || p_brand || ' | ' || p_brand || ' | z' || chr(10) || p_brand ELSE other END AS text FROM picked)
+SELECT doc_id, title, text, 'en' AS lang, CASE WHEN first THEN 1 ELSE 0 END::bigint AS n_tables, CASE WHEN first THEN 3 END::integer AS n_rows, CASE WHEN first THEN 3 END::integer AS n_cols,
+  concat_ws(',', CASE WHEN k % 2 = 1 THEN 'no selector' END, CASE WHEN length(text) < 50 THEN 'short' END) AS warnings FROM said""")
+def product_pages(spark, sf_dir):
+    """A site's own selector from some length on, else the longest container; furniture goes whole, a table in a table keeps all cells."""
+    out = page_tree.contents(spread(_product_pages(spark, sf_dir), "doc_id"))
+    first = F.get("tables", F.lit(0))
+    return out.select("doc_id", "title", "text", "lang", F.size("tables").cast("long").alias("n_tables"), first["n_rows"].alias("n_rows"), first["n_cols"].alias("n_cols"), F.array_join("warnings", ",").alias("warnings"))
+
+
+
 # --- question sets and their summaries ---------------------------------------------------------------------------
 def _venue_pairs(spark, sf_dir):
     """Template pairs with the language and venue of their subject: brands of an even number are foreign."""
