@@ -16,20 +16,20 @@ BLOCK = 4096
 DIGITS = 6
 
 
-def _unit(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+def unit(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     rows = np.asarray(column.combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
     return rows / np.linalg.norm(rows, axis=1)[:, None]
 
 
-def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     vec = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
-    return rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vec", lambda x: x != 0))
+    return rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
 
 
 def knn(queries: DataFrame, rows: DataFrame, k: int = 50, query_id: str = "query_id", row_id: str = "child_id", vec_col: str = "embedding", skip_same: bool = False) -> DataFrame:
     """(query_id, child_id, score, ord): the k rows of highest cosine for each query; score is rounded, ties go to the smaller id."""
-    left, right = _usable(queries, query_id, vec_col), _usable(rows, row_id, vec_col)
+    left, right = usable(queries, query_id, vec_col), usable(rows, row_id, vec_col)
     many = [max(1, -(-x.count() // BLOCK)) for x in (left, right)]
 
     def blocks(df: DataFrame, own: int) -> DataFrame:
@@ -45,11 +45,11 @@ def knn(queries: DataFrame, rows: DataFrame, k: int = 50, query_id: str = "query
             ids = right["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, q = ids[order], left["id"].to_numpy()
-            units = _unit(right["vec"], dim)[order]
+            units = unit(right["vec"], dim)[order]
             found = []
             for start in range(0, len(q), 256):
                 part = slice(start, start + 256)
-                score = np.round(_unit(left["vec"], dim)[part] @ units.T, DIGITS)
+                score = np.round(unit(left["vec"], dim)[part] @ units.T, DIGITS)
                 if skip_same:
                     score[q[part][:, None] == ids] = -2
                 best = np.argsort(-score, axis=1, kind="stable")[:, :k]
@@ -69,9 +69,9 @@ def similar_pairs(rows: DataFrame, threshold: float, row_id: str = "id", vec_col
 
     Rows are cut into blocks and each pair of blocks is one task's product, so no task holds more than two blocks.
     """
-    usable = _usable(rows, row_id, vec_col)
-    many = max(1, -(-usable.count() // BLOCK))
-    dealt = usable.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int"))
+    sound = usable(rows, row_id, vec_col)
+    many = max(1, -(-sound.count() // BLOCK))
+    dealt = sound.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
 
     def side(low: bool) -> DataFrame:
@@ -84,7 +84,7 @@ def similar_pairs(rows: DataFrame, threshold: float, row_id: str = "id", vec_col
         if left.num_rows and right.num_rows:
             dim, same = key[2].as_py(), key[0] == key[1]
             a, b = left["id"].to_numpy(), right["id"].to_numpy()
-            units = [_unit(x["vec"], dim) for x in (left, right)]
+            units = [unit(x["vec"], dim) for x in (left, right)]
             for start in range(0, len(a), 256):
                 score = np.round(units[0][start : start + 256] @ units[1].T, DIGITS)
                 close = score > threshold

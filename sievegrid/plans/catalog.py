@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import text as tx
 from sievegrid.functions.vectors import sparse_dot
-from sievegrid.operators import bm25, chunking, containment, context, dedup, dense, evaluation, fusion, keyword, mining, profile
+from sievegrid.operators import ann, bm25, chunking, containment, context, dedup, dense, evaluation, fusion, keyword, mining, profile
 from sievegrid.plans import search
 from sievegrid.sources import content, html
-from sievegrid.sources.folders import spread
+from sievegrid.sources.folders import new_path, spread
 from sievegrid.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,23 @@ def knn_topk(spark, sf_dir):
     return dense.knn(vectors(spark, sf_dir, "query_id"), vectors(spark, sf_dir, "child_id"), 10, skip_same=True)
 
 
+def _inverted_file(spark, sf_dir, recall):
+    index = ann.build(vectors(spark, sf_dir, "child_id"), new_path(spark, "vector-index"), recall=recall)
+    return ann.search(index, vectors(spark, sf_dir, "query_id"), 10, skip_same=True)
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    """As ``knn_topk`` from a stored index that visits a few cells; recall is measured against it in a test."""
+    return _inverted_file(spark, sf_dir, ann.RECALL)
+
+
+@query(SQL["knn_topk"])
+def ann_exact(spark, sf_dir):
+    """The same index with all cells visited: what the codes rule out is never among the best."""
+    return _inverted_file(spark, sf_dir, 1.0)
+
+
 @query(f"WITH {BM25_SQL}, {DENSE_SQL}, {fused_sql(0.0)} SELECT query_id, child_id, score, ord::integer AS ord FROM fused")
 def rrf_plain(spark, sf_dir):
     return fusion.fuse(_channels(spark, sf_dir), alpha=0.0).select("query_id", "child_id", "score", "ord")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,19 @@ def use_checkpoints(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="sievegrid-")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in ``spark.checkpoint.dir``; only a local session without that setting uses a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(folder or _own_folder()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 #: Bytes of a table per task from which its own splits are enough.
 ENOUGH = 8 << 20
 
