@@ -58,6 +58,17 @@ def build(children: DataFrame, id_col: str = "child_id", text_col: str = "text")
     return Index(postings, rated(seen, children.agg(F.count("*").alias("n")).scalar()), sizes)
 
 
+def build_from_terms(children: DataFrame, terms: DataFrame, id_col: str = "child_id") -> Index:
+    """As ``build``, from (id, term) rows that a splitter made; children without any have the pseudo-token."""
+    counted = terms.select(F.col("id").alias("child_id"), "term").groupBy("child_id", "term").agg(F.count("*").alias("tf"))
+    lengths = counted.groupBy("child_id").agg(F.sum("tf").alias("dl"))
+    alone = children.select(F.col(id_col).alias("child_id")).join(lengths.select("child_id"), "child_id", "left_anti")
+    alone = alone.select("child_id", F.lit(1).cast("long").alias("dl"), F.lit(NO_WORD).alias("term"), F.lit(1).cast("long").alias("tf"))
+    postings = counted.join(lengths, "child_id").unionByName(alone).select("term", "child_id", "tf", "dl")
+    sizes = lengths.unionByName(alone.select("child_id", "dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    return Index(postings, rated(postings.groupBy("term").agg(F.count("*").alias("df")), sizes.select("n").scalar()), sizes)
+
+
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """(query_id, term, times): a repeated term counts as often as it stands."""
     return queries.select(F.col(id_col).alias("query_id"), F.explode(words(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
@@ -66,10 +77,11 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
 def score(index: Index, queries: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """(query_id, child_id, score) of all documents that share a term with a query and score above 0.
 
-    ``among`` (child_id) holds the search to some documents; weights are still those of all.
+    ``among`` (child_id) holds the search to some documents; weights are still those of all. Queries are texts, or
+    (query_id, term, times) if they were split already.
     """
     mean = index.sizes.select("mean").scalar()
-    wanted = query_terms(queries).join(index.terms, "term")
+    wanted = (queries if "term" in queries.columns else query_terms(queries)).join(index.terms, "term")
     held = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     held = held.select("term", "child_id", weight.alias("weight"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import text as tx
 from sievegrid.functions.vectors import sparse_dot
-from sievegrid.operators import ann, bm25, chunking, containment, context, dedup, dense, evaluation, fusion, keyword, mining, profile
+from sievegrid.operators import ann, bm25, chunking, containment, context, dedup, dense, evaluation, fusion, keyword, mining, profile, segment
 from sievegrid.plans import search
 from sievegrid.sources import content, html
 from sievegrid.sources.folders import new_path, spread
@@ -244,6 +244,62 @@ def filter_status(spark, sf_dir):
     return keyword.not_repealed(rows.withColumn("status", F.when(F.col("toxic") == 1, tx.REPEALED)), "status").drop("status")
 
 
+# --- Han texts ---------------------------------------------------------------------------------------------------
+# The given texts hold no Han characters, so each letter is written as one, and blanks go: words have to be found again.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+HAN_LETTERS = "的一是不了人在有我他这中大来上个国和也子学行能前市工"
+
+
+def _han(texts: DataFrame, id_col: str) -> DataFrame:
+    return texts.select(id_col, F.translate(F.lower("text"), LETTERS + " \n", HAN_LETTERS).alias("text"))
+
+
+HAN_SQL = f"""
+runs AS (SELECT unnest(regexp_extract_all(translate(lower(text), '{LETTERS} ' || chr(10), '{HAN_LETTERS}'), '{segment.HAN_RUN}')) AS run FROM documents),
+once AS (SELECT run, count(*) AS times FROM runs GROUP BY run),
+sub AS (SELECT run[i:i + k - 1] AS word, CASE WHEN i > 1 THEN run[i - 1:i - 1] ELSE '' END AS l, run[i + k:i + k] AS r, times
+  FROM (SELECT run, times, unnest(range(1, length(run) + 1)) AS i FROM once) JOIN (SELECT unnest(range(1, {segment.LONGEST + 1})) AS k) ON i + k - 1 <= length(run)),
+three AS (SELECT word, l, r, sum(times) AS n FROM sub GROUP BY ALL),
+num AS (SELECT word, sum(n)::bigint AS n FROM three GROUP BY word),
+tot AS (SELECT sum(n)::double AS t FROM num WHERE length(word) = 1),
+half AS (SELECT word, n, left(word, cut::integer) AS a, substr(word, cut::integer + 1) AS b FROM (SELECT *, unnest(range(1, length(word))) AS cut FROM num WHERE length(word) > 1)),
+coh AS (SELECT half.word, round(min(ln(half.n) + ln(t) - ln(x.n) - ln(y.n)), 6) AS cohesion FROM half JOIN num x ON x.word = a JOIN num y ON y.word = b, tot GROUP BY half.word),
+lf AS (SELECT word, round(ln(sum(n)) - sum(CASE WHEN l <> '' THEN n * ln(n) ELSE 0 END) / sum(n), 6) AS e FROM (SELECT word, l, sum(n)::double AS n FROM three GROUP BY ALL) GROUP BY word),
+rf AS (SELECT word, round(ln(sum(n)) - sum(CASE WHEN r <> '' THEN n * ln(n) ELSE 0 END) / sum(n), 6) AS e FROM (SELECT word, r, sum(n)::double AS n FROM three GROUP BY ALL) GROUP BY word)"""
+
+
+@query(f"""
+WITH {HAN_SQL}
+SELECT word, num.n, cohesion, least(lf.e, rf.e) AS freedom FROM num LEFT JOIN coh USING (word) JOIN lf USING (word) JOIN rf USING (word)
+WHERE length(word) = 1 OR (num.n >= {segment.LEAST_COUNT} AND cohesion >= {segment.COHESION} AND least(lf.e, rf.e) >= {segment.FREEDOM})""")
+def cjk_dictionary(spark, sf_dir):
+    """Characters and learnt words of the texts, with what makes them words."""
+    found = segment.statistics(_han(children(spark, sf_dir), "child_id"))
+    return found.join(segment.dictionary(found).select("word"), "word", "left_semi").select("word", "n", "cohesion", "freedom")
+
+
+def _han_words(spark, sf_dir):
+    """The dictionary as a table, as every search reads it several times."""
+    path = new_path(spark, "han-dictionary")
+    segment.dictionary(segment.statistics(_han(children(spark, sf_dir), "child_id"))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query()
+def cjk_words(spark, sf_dir):
+    """Words of each document's Han runs with their places."""
+    return segment.tokens(_han(children(spark, sf_dir), "child_id"), _han_words(spark, sf_dir))
+
+
+@query()
+def cjk_topk(spark, sf_dir):
+    """BM25 over the words of Han texts; documents and questions are split by the same dictionary."""
+    words, kids = _han_words(spark, sf_dir), _han(children(spark, sf_dir), "child_id")
+    asked = segment.tokens(_han(questions(spark, sf_dir), "query_id"), words, "query_id")
+    asked = asked.groupBy(F.col("id").alias("query_id"), "term").agg(F.count("*").alias("times"))
+    return bm25.search(bm25.build_from_terms(kids, segment.tokens(kids, words)), asked, 10)
+
+
 # --- tables ------------------------------------------------------------------------------------------------------
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_incremental(spark, sf_dir):
