@@ -6,8 +6,6 @@ fold over one document's sentences, expressed as an aggregate over its array.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,23 +27,41 @@ def pieces_at(text: Column, start: str) -> Column:
     return F.transform(begins, lambda p, i: F.struct(i.alias("ord"), strip(p).alias("body")))
 
 
-def _parents(docs: DataFrame, pieces: Column, clause: Column, kind: str, keep: Column, id_parts: list[str]) -> DataFrame:
-    rows = docs.withColumn("piece", F.explode(pieces)).select("*", "piece.*").drop("piece").withColumn("clause_id", clause)
-    made = stable_id("p_", *[F.col(c) for c in id_parts])
-    return rows.where(keep).select(made.alias("parent_id"), "doc_id", F.col("body").alias("text"), "doc_title", "clause_id", F.lit(kind).alias("chunk_type"), F.col("ord").cast("int").alias("position"))
+def _made(docs: DataFrame, pieces: Column) -> DataFrame:
+    """A row for each piece (key, body, clause_id, kind, position); the key tells a piece of its document from the others."""
+    rows = docs.select("doc_id", "doc_title", F.explode(pieces).alias("piece"))
+    return rows.select(F.concat(F.lit("p_"), F.substring(F.sha2(F.concat(text_or_empty(F.col("doc_id").cast("string")), F.lit("\x1f"), "piece.key").cast("binary"), 256), 1, 16)).alias("parent_id"), "doc_id", F.col("piece.body").alias("text"), "doc_title", F.col("piece.clause_id").alias("clause_id"), F.col("piece.kind").alias("chunk_type"), F.col("piece.position").alias("position"))
+
+
+def _piece(body: Column, clause: Column, kind: str, position: Column, *key: Column) -> Column:
+    joined = F.concat_ws("\x1f", *[text_or_empty(k.cast("string")) for k in key])
+    return F.struct(joined.alias("key"), body.alias("body"), clause.alias("clause_id"), F.lit(kind).alias("kind"), position.cast("int").alias("position"))
+
+
+def _at_least_three(pieces: Column, keep: Column) -> Column:
+    return F.when(F.size(pieces) >= 3, keep)
+
+
+def clause_pieces(text: Column) -> Column:
+    """Chinese clauses of a text with three at least; lines of a table of contents and scraps go."""
+    found = pieces_at(text, CLAUSE)
+    kept = F.filter(found, lambda p: ~looks_like_table_of_contents(p["body"]) & (F.char_length(p["body"]) >= 10))
+    number = lambda p: F.regexp_extract(p["body"], CLAUSE, 0)
+    return _at_least_three(found, F.transform(kept, lambda p: _piece(p["body"], number(p), "clause", p["ord"], number(p), p["ord"])))
 
 
 def clauses(docs: DataFrame) -> DataFrame:
-    """Chinese clauses of documents with three at least; lines of a table of contents and scraps go."""
-    found = pieces_at(F.col("text"), CLAUSE)
-    body = F.col("body")
-    return _parents(docs.where(F.size(found) >= 3), found, F.regexp_extract(body, CLAUSE, 0), "clause", ~looks_like_table_of_contents(body) & (F.char_length(body) >= 10), ["doc_id", "clause_id", "ord"])
+    return _made(docs, clause_pieces(F.col("text")))
+
+
+def rule_pieces(text: Column) -> Column:
+    found = pieces_at(text, RULE)
+    number = lambda p: F.regexp_extract(p["body"], r"^\s*(?:Rule\s+)?(\d+(?:\.\d+){1,4}[A-Z]?)", 1)
+    return _at_least_three(found, F.transform(F.filter(found, lambda p: F.char_length(p["body"]) >= 25), lambda p: _piece(p["body"], number(p), "clause", p["ord"], number(p), p["ord"])))
 
 
 def english_rules(docs: DataFrame) -> DataFrame:
-    found = pieces_at(F.col("text"), RULE)
-    number = F.regexp_extract("body", r"^\s*(?:Rule\s+)?(\d+(?:\.\d+){1,4}[A-Z]?)", 1)
-    return _parents(docs.where(F.size(found) >= 3), found, number, "clause", F.char_length("body") >= 25, ["doc_id", "clause_id", "ord"])
+    return _made(docs, rule_pieces(F.col("text")))
 
 
 def table_facts(docs: DataFrame) -> DataFrame:
@@ -73,16 +89,18 @@ def question_pairs(text: Column) -> Column:
     return F.filter(F.transform(found, split), lambda p: (p["question"] != "") & (p["answer"] != ""))
 
 
-def questions(docs: DataFrame) -> DataFrame:
+def question_pieces(text: Column, title: Column) -> Column:
     """Numbered pairs of a document, else its title as the question and its text as the answer."""
-    pairs = question_pairs(F.col("text"))
-    whole = strip(text_or_empty(F.col("text")))
-    alone = F.array(F.struct(F.lit(1).alias("ord"), strip(F.col("doc_title")).alias("question"), whole.alias("answer")))
-    chosen = F.when(F.size(pairs) > 0, pairs).when(is_question_title(F.col("doc_title")) & F.char_length(whole).between(10, 3000), alone)
-    rows = docs.withColumn("pair", F.explode(chosen)).select("*", "pair.*")
-    made = stable_id("p_", F.col("doc_id"), F.col("ord"), F.substring("question", 1, 40))
-    text = F.concat(F.lit("问："), "question", F.lit("\n答："), "answer")
-    return rows.select(made.alias("parent_id"), "doc_id", text.alias("text"), "doc_title", F.concat(F.lit("问答"), F.col("ord").cast("string")).alias("clause_id"), F.lit("qa_pair").alias("chunk_type"), F.col("ord").cast("int").alias("position"))
+    pairs = question_pairs(text)
+    whole = strip(text_or_empty(text))
+    alone = F.array(F.struct(F.lit(1).alias("ord"), strip(title).alias("question"), whole.alias("answer")))
+    chosen = F.when(F.size(pairs) > 0, pairs).when(is_question_title(title) & F.char_length(whole).between(10, 3000), alone)
+    body = lambda p: F.concat(F.lit("问："), p["question"], F.lit("\n答："), p["answer"])
+    return F.transform(chosen, lambda p: _piece(body(p), F.concat(F.lit("问答"), p["ord"].cast("string")), "qa_pair", p["ord"], p["ord"], F.substring(p["question"], 1, 40)))
+
+
+def questions(docs: DataFrame) -> DataFrame:
+    return _made(docs, question_pieces(F.col("text"), F.col("doc_title")))
 
 
 def _fold(parts: Column, joined, most: int) -> Column:
@@ -105,24 +123,26 @@ def packed_paragraphs(text: Column, most: int = 4000) -> Column:
     return _fold(cut, lambda a, b: F.when(a == "", b).otherwise(F.concat(a, F.lit("\n\n"), b)), most)
 
 
-def prose(docs: DataFrame, most: int = 4000, least: int = 30) -> DataFrame:
+def prose_pieces(text: Column, most: int = 4000, least: int = 30) -> Column:
     """Chapters, or the whole text, in pieces of at most ``most`` characters."""
-    text = text_or_empty(F.col("text"))
-    parts = F.filter(F.split(text, f"(?Um)(?={CHAPTER[5:]})", -1), lambda p: strip(p) != "")
-    rows = docs.select("doc_id", "doc_title", F.posexplode(parts).alias("part", "segment"))
-    label = F.nullif(strip(F.regexp_extract("segment", f"(?Um)\\A{CHAPTER[5:]}", 0)), F.lit(""))
-    rows = rows.select("doc_id", "doc_title", "part", label.alias("clause_id"), F.posexplode(packed_paragraphs(F.col("segment"), most)).alias("ord", "body"))
-    rows = rows.withColumn("body", strip(F.col("body"))).where(F.char_length("body") >= least)
-    made = stable_id("p_", F.col("doc_id"), F.col("part"), F.col("ord"), F.substring("body", 1, 60))
-    return rows.select(made.alias("parent_id"), "doc_id", F.col("body").alias("text"), "doc_title", "clause_id", F.lit("prose").alias("chunk_type"), F.col("ord").alias("position"))
+    parts = F.filter(F.split(text_or_empty(text), f"(?Um)(?={CHAPTER[5:]})", -1), lambda p: strip(p) != "")
+    label = lambda segment: F.nullif(strip(F.regexp_extract(segment, f"(?Um)\\A{CHAPTER[5:]}", 0)), F.lit(""))
+    packs = F.flatten(F.transform(parts, lambda segment, part: F.transform(packed_paragraphs(segment, most), lambda body, ord_: F.struct(part.alias("part"), label(segment).alias("label"), ord_.alias("ord"), strip(body).alias("body")))))
+    return F.transform(F.filter(packs, lambda p: F.char_length(p["body"]) >= least), lambda p: _piece(p["body"], p["label"], "prose", p["ord"], p["part"], p["ord"], F.substring(p["body"], 1, 60)))
+
+
+def prose(docs: DataFrame, most: int = 4000, least: int = 30) -> DataFrame:
+    return _made(docs, prose_pieces(F.col("text"), most, least))
 
 
 def parents(docs: DataFrame) -> DataFrame:
-    """Table facts, and for the body the first way that gives anything: clauses, questions, rules, prose."""
-    ways = [w(docs).drop("subject") for w in (clauses, questions, english_rules, prose)]
-    tried = reduce(DataFrame.unionByName, [w.withColumn("way", F.lit(i)) for i, w in enumerate(ways)])
-    first = tried.groupBy("doc_id").agg(F.min("way").alias("way"))
-    body = tried.join(first, ["doc_id", "way"]).drop("way")
+    """Table facts, and for the body the first way that gives anything: clauses, questions, rules, prose.
+
+    The way is chosen in the document's own row, and a later one is only tried where those before it gave nothing.
+    """
+    text = F.col("text")
+    ways = [clause_pieces(text), question_pieces(text, F.col("doc_title")), rule_pieces(text)]
+    body = _made(docs, F.coalesce(*[F.when(F.size(w) > 0, w) for w in ways], prose_pieces(text)))
     return body.unionByName(table_facts(docs).drop("subject")) if "tables" in docs.columns else body
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import text as tx
 from sievegrid.functions.vectors import sparse_dot
-from sievegrid.operators import ann, bm25, chunking, containment, context, dedup, dense, evaluation, fusion, keyword, mining, profile, segment
+from sievegrid.operators import ann, bm25, chunking, containment, context, dedup, dense, embedding, evaluation, fusion, keyword, mining, profile, segment
 from sievegrid.plans import search
 from sievegrid.sources import content, html
 from sievegrid.sources.folders import new_path, spread
@@ -370,11 +370,20 @@ def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.normal_blanks(F.col("text")).alias("text"))
 
 
+def _untitled(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("doc_title"), "text")
+
+
 @query()
 def chunk_length_mode(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("doc_title"), "text")
-    return chunking.children(chunking.parents(docs))
+    return chunking.children(chunking.parents(_untitled(spark, sf_dir)))
+
+
+@query()
+def chunk_semantic_mode(spark, sf_dir):
+    """Packs close where a sentence is far from the one before, by the built-in embedder."""
+    return chunking.children(embedding.with_distances(chunking.parents(_untitled(spark, sf_dir))), F.col("distances"))
 
 
 @query("SELECT doc_id, 'd_' || sha256(source || chr(31) || doc_id)[:16] AS id FROM documents")
