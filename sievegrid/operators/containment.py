@@ -3,8 +3,9 @@
 Every window of some bytes is hashed, and the smallest hash of each run of neighbouring windows is a mark. A text that
 holds a question holds its runs too, so each mark of the question is one of the text's: a question is known by one of
 them, a text by all of its own, about two in a run. The join gives candidates, and each is verified on the
-texts themselves. Questions too short for a run of the widest windows are known by narrower ones; texts are marked
-for those widths only that some question needs.
+texts themselves. Questions too short for a run of the widest windows are known by narrower ones, and those of up to 8 bytes by
+a window of just their length, so that only texts that hold it meet it. Texts are marked for those widths only that
+some question needs.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a window and windows of a run, powers of two, from the widest on; then single bytes, and nothing for empty questions.
-LEVELS = ((32, 32), (8, 8), (1, 1))
+#: Bytes of a window and windows of a run (a power of two), from the widest on; empty questions have none.
+LEVELS = ((32, 32), (8, 8), *((window, 1) for window in range(8, 0, -1)))
 _PIECE = 1 << 22
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -28,9 +29,10 @@ def marks(data: np.ndarray, window: int, run: int) -> np.ndarray:
     for start in range(0, max(len(data) - window - run + 2, 0), _PIECE):
         h = data[start : start + _PIECE + window + run - 2].astype(np.uint64) + np.uint64(1)
         width, power = 1, _BASE
-        while width < window:  # the hash of a window from those of its halves
-            h = h[:-width] * power + h[width:]
-            width, power = 2 * width, np.uint64(int(power) ** 2 % 2**64)
+        while width < window:  # the hash of a window from those of its halves, which overlap where it is no power of two
+            step = min(width, window - width)
+            h = h[:-step] * power + h[step:]
+            width, power = width + step, np.uint64(int(power) ** 2 % 2**64)
         h = (h ^ (h >> np.uint64(29))) * _MIX
         h ^= h >> np.uint64(32)
         width = 1
@@ -53,7 +55,7 @@ def _marked(rows: DataFrame, levels: list[int] | None) -> DataFrame:
         data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
         out: list[tuple[int, int]] = []
         for level in [_level(len(data))] if levels is None else levels:
-            own = marks(data, *LEVELS[level]).view(np.int64).tolist() if level < len(LEVELS) else [0]
+            own = marks(data, *LEVELS[level]).view(np.int64).tolist()
             out += [(level, x) for x in (own[:1] if levels is None else own)]
         return out
 
@@ -68,6 +70,12 @@ def _marked(rows: DataFrame, levels: list[int] | None) -> DataFrame:
     return rows.select("id", "text").mapInArrow(each, f"id {kind}, level int, mark long")
 
 
+def candidates(asked: DataFrame, held: DataFrame, levels: list[int]) -> DataFrame:
+    """(a, b): each question, by the mark it is known by, with each text that has this mark; both are (id, text)."""
+    known = _marked(asked, None).withColumnRenamed("id", "a")
+    return _marked(held, levels).withColumnRenamed("id", "b").join(known, ["level", "mark"]).select("a", "b").distinct()
+
+
 def containing(asked: DataFrame, held: DataFrame, asked_id: str = "query_id", held_id: str = "child_id", text_col: str = "text") -> DataFrame:
     """(asked_id, held_id): each question with each text that holds it; questions' ids are unique, a text's id may stand for copies.
 
@@ -79,8 +87,11 @@ def containing(asked: DataFrame, held: DataFrame, asked_id: str = "query_id", he
     for i, (window, run) in reversed(list(enumerate(LEVELS))):
         level = F.when(size >= window + run - 1, i).otherwise(level)
     levels = sorted(x.level for x in left.select(level.alias("level")).distinct().collect())  # one for each of ``LEVELS`` at most
-    known = _marked(left, None).withColumnRenamed("id", "a")
-    pairs = _marked(right, levels).withColumnRenamed("id", "b").join(known, ["level", "mark"]).select("a", "b").distinct()
+    empty, left = left.where(size == 0), left.where(size > 0)
+    pairs = candidates(left, right, [x for x in levels if x < len(LEVELS)])
     questions, texts = left.select(F.col("id").alias("a"), F.col("text").alias("asked")), right.select(F.col("id").alias("b"), F.col("text").alias("held"))
     sure = pairs.join(questions, "a").join(texts, "b").where(F.contains("held", F.col("asked")))
+    if len(LEVELS) in levels:  # every text holds them, so they are listed beside each one
+        each = empty.agg(F.collect_list("id").alias("ids")).scalar()
+        sure = sure.select("a", "b").unionByName(right.select(F.explode(each).alias("a"), F.col("id").alias("b")))
     return sure.select(F.col("a").alias(asked_id), F.col("b").alias(held_id))
