@@ -6,9 +6,10 @@ as a table. Up to ``MOST_SENT`` of them are sent to the tasks, which drop lines
 joined by key, where Spark splits hot keys; each document is then told the positions of its dropped lines and joins what
 lies between them.
 
-Defined results: null and empty texts have one empty line; a row is a document (repeated rows count separately);
-keys shorter than ``min_chars`` code points never drop; a null ``doc_id`` is handled like any other value; a document
-that loses all lines keeps an empty text; an empty table gives an empty result; other columns are kept untouched.
+Defined results: null and empty texts have one empty line; rows that share an id are one document, and a row without one is a document of
+its own; every row is judged by itself; keys shorter than ``min_chars`` code points never drop, ties don't arise; a document
+that loses all lines keeps an empty text; very long texts are read whole, a few at a time; an empty table gives an empty
+result; other columns are kept untouched.
 """
 
 from __future__ import annotations
@@ -83,14 +84,24 @@ def _dropped_in_rows(docs: DataFrame, text_col: str, frequent: DataFrame, min_ch
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, per: Column | None = None) -> DataFrame:
     """(row, kept_text, n_lines, n_dropped): ``row`` is a struct of the given columns.
 
-    With ``per`` a line counts once for each value of it that is not null, instead of once for each row.
+    A line counts once for each id; with ``per`` once for each value of it that is not null. Lines are told apart by id only in
+    rows that share theirs with others, so that elsewhere one partial count for each key leaves a task.
     """
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _hashes(_lines(text_col), min_chars).alias("keys"), *([] if per is None else [per.alias("unit")]))
     unit = [] if per is None else ["unit"]
     counted = own.select(F.explode(F.array_distinct("keys")).alias("hex"), *unit).where("hex IS NOT NULL").select(F.unhex("hex").alias("key"), *unit)
     if per is not None:
-        counted = counted.where("unit IS NOT NULL").distinct()
-    frequent = Table(counted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("key"), "frequent-lines").df
+        counts = counted.where("unit IS NOT NULL").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    else:
+        shared = Table(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "shared-ids")
+        if shared.df.isEmpty():
+            counts = counted.groupBy("key").agg(F.count("*").alias("n"))
+        else:
+            keyed = lambda rows: rows.select("id", F.explode(F.array_distinct("keys")).alias("hex")).where("hex IS NOT NULL").select(F.unhex("hex").alias("key"), "id")
+            alone = keyed(own.join(shared.df, "id", "left_anti")).groupBy("key").agg(F.count("*").alias("n"))
+            together = keyed(own.join(shared.df, "id", "left_semi")).distinct().groupBy("key").agg(F.count("*").alias("n"))
+            counts = alone.union(together).groupBy("key").agg(F.sum("n").alias("n"))
+    frequent = Table(counts.where(F.col("n") >= min_docs).select("key"), "frequent-lines").df
     if frequent.count() <= MOST_SENT:
         return _dropped_in_rows(docs, text_col, frequent, min_chars)
     held = own.select("id", "text_hash", F.posexplode("keys").alias("pos", "hex")).where("hex IS NOT NULL")
@@ -114,16 +125,16 @@ def op10_lines(spark, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  SELECT doc_id, row, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+  FROM (SELECT *, row_number() OVER () AS row FROM documents)),
 keyed AS (
-  SELECT doc_id, pos, line,
+  SELECT doc_id, row, pos, line,
          translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS k
   FROM lines),
-freq AS (SELECT k FROM keyed WHERE length(k) >= {MIN_CHARS} GROUP BY k HAVING count(DISTINCT doc_id) >= {MIN_DOCS})
+freq AS (SELECT k FROM keyed WHERE length(k) >= {MIN_CHARS} GROUP BY k HAVING count(DISTINCT CASE WHEN doc_id IS NULL THEN 'row ' || row ELSE 'id ' || doc_id END) >= {MIN_DOCS})
 SELECT doc_id, count(*) AS n_lines, count(freq.k) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE freq.k IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN freq ON keyed.k = freq.k
-GROUP BY doc_id
+GROUP BY doc_id, row
 """

@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -673,7 +674,20 @@ def test_lines_of_rows_that_share_an_id(spark, monkeypatch):
     docs = documents(spark, *(["shared\nown a"] * 5), *(["own b\nshared"] * 5), ids=[1] * 5 + [None] * 5)
     for most in (lines.MOST_SENT, 0):
         monkeypatch.setattr(lines, "MOST_SENT", most)
-        out = lines.drop_repeated_lines(docs, min_docs=10).collect()
-        assert Counter(r.kept_text for r in out) == {"own a": 5, "own b": 5}
+        for least, want in ((7, {"shared\nown a": 5, "own b\nshared": 5}), (6, {"own a": 5, "own b": 5}), (5, {"own a": 5, "": 5})):  # id 1 is one document
+            assert Counter(r.kept_text for r in lines.drop_repeated_lines(docs, min_docs=least).collect()) == want
         per = lines.drop_repeated_lines(docs, min_docs=2, per=F.xxhash64("text")).collect()
         assert Counter(r.kept_text for r in per) == {"own a": 5, "own b": 5}
+
+
+def test_lines_of_shared_ids_match_sql(spark):
+    """Ten rows of one id are one document, in the operator as in SQL."""
+    texts = ["once a\nten"] * 10 + [f"ten\n TEN \nown {i}" for i in range(8)] + ["ten", None, "", "null line"] + ["null line"] * 9
+    ids = [1] * 10 + list(range(2, 10)) + [10, 11, 11] + [None] * 10
+    docs = documents(spark, *texts, ids=ids)
+    db = duckdb.connect()
+    db.register("documents", docs.toArrow())
+    out = lines.drop_repeated_lines(docs)
+    got = sorted((r.row.doc_id or -1, r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in out.collect())
+    assert got == sorted((i or -1, n, k, h) for i, n, k, h in db.sql(lines.SQL).fetchall())
+    assert sum(x[2] for x in got) == 10 + 2 * 8 + 1 + 10
