@@ -277,7 +277,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {x.length: x.n for x in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``capacity`` rows at most
     places = cut.sparkSession.sparkContext.broadcast(plan(counts, capacity))
     parts = max(1, -(-sum(counts.values()) // PART_ROWS))
-    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     sizes = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
