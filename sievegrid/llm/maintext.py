@@ -6,7 +6,7 @@ hashed path words, hashed text words and a few measures of a block, and says of
 block without telling tags is judged by its neighbourhood too. Blocks that are main text are joined in page order.
 Inline elements, buttons and formulas are part of their block's text, and ``xmp`` is a block of the text that it shows.
 
-The weights are trained when first asked for, on pages drawn from ``page_maker``, a seeded generator of
+The weights are trained when first asked for, and kept in the shared folder for later sessions, on pages drawn from ``page_maker``, a seeded generator of
 varied layouts whose labels are known; nothing is learnt from the pages that are read. Pages are independent rows:
 there is no shuffle, and a batch is labelled in steps of whole columns of pages of like length.
 
@@ -19,8 +19,10 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import html
+import inspect
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm.shared import read_table
+from sievegrid.llm.shared import exists, read_table, shared_folder
 
 # HTML element names by how they take part in a page.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -304,18 +306,29 @@ def train(pages: int = 2400, rounds: int = 14, batch: int = 40, rate: float = 0.
 _trained: dict[str, Labeller] = {}
 
 
+def _weights_path(spark: SparkSession) -> str:
+    """Weights are kept under a key of all that they follow from: generator, labeller and their parameters."""
+    from sievegrid.llm import page_maker
+
+    key = sha256("".join(map(inspect.getsource, (page_maker, Labeller, Features, train, blocks))).encode() + repr((PATHS, WIDTH, HIDDEN, SEED)).encode()).hexdigest()
+    return f"{shared_folder(spark)}/maintext-weights-{key[:16]}"
+
+
 def labeller(spark: SparkSession) -> Labeller:
-    """The default weights, trained by one task and kept for the session's later calls."""
+    """The default weights: those of an earlier session in the shared folder, else trained by one task and kept there."""
     if not _trained:
+        path = _weights_path(spark)
+        if not exists(spark, f"{path}/_SUCCESS"):
 
-        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for _ in range(batch.num_rows):
-                    w = train().w
-                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array([x.ravel().tolist() for x in w.values()]), pa.array([list(x.shape) for x in w.values()])], names=["name", "numbers", "shape"])
+            def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for _ in range(batch.num_rows):
+                        w = train().w
+                        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array([x.ravel().tolist() for x in w.values()]), pa.array([list(x.shape) for x in w.values()])], names=["name", "numbers", "shape"])
 
+            spark.range(1, numPartitions=1).mapInArrow(fit, "name string, numbers array<double>, shape array<long>").write.mode("overwrite").parquet(path)
         model = Labeller(np.random.default_rng(SEED))
-        for x in spark.range(1, numPartitions=1).mapInArrow(fit, "name string, numbers array<double>, shape array<long>").collect():
+        for x in spark.read.parquet(path).collect():
             model.w[x.name] = np.array(x.numbers).reshape(x.shape)
         _trained["default"] = model
     return _trained["default"]

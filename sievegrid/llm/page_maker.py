@@ -128,13 +128,50 @@ class _Page:
         else:
             self.out.append(f"<p>{text}" + "</p>" * self.chance(0.9))
 
+    def said(self, tag: str, low: int, high: int, stop: bool = False) -> str:
+        return f"<{tag}>{self.put(self.text(low, high, stop), True)}" + f"</{tag}>" * self.chance(0.85)
+
+    def figure(self) -> None:
+        caption = self.said("figcaption", 1, 20, self.chance(0.5))
+        self.out.append(f'<figure><img src="x.png">{caption}</figure>' if self.chance(0.7) else f'<figure>{caption}<img src="x.png"></figure>')
+
+    def definitions(self) -> None:
+        many = int(self.rng.integers(1, 5))
+        self.out.append("<dl>" + "".join(self.said("dt", 1, 4) + self.said("dd", 1, 25, self.chance(0.6)) for _ in range(many)) + "</dl>")
+
+    def data_table(self) -> None:
+        """A table of the text itself: a caption, a row or a column of header cells, and short cells, numbers among them."""
+        columns, first = int(self.rng.integers(1, 5)), self.chance(0.3)
+        cell = lambda tag: self.said(tag, 1, 4) if self.chance(0.7) else f"<{tag}>{self.put(str(self.rng.integers(10_000)), True)}</{tag}>"
+        rows = ["".join(cell("th") for _ in range(columns))] * self.chance(0.8)
+        rows += ["".join(cell("th" if first and not i else "td") for i in range(columns)) for _ in range(self.rng.integers(1, 6))]
+        head = self.said("caption", 1, 8) if self.chance(0.3) else ""
+        self.out.append("<table>" + head + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>")
+
+    def loose(self) -> None:
+        """A heading and text straight in divisions, broken by line ends, as long or short as it comes."""
+        if self.chance(0.6):
+            self.out.append(self.said("h2" if self.chance(0.5) else "h3", 1, 8))
+        for _ in range(self.rng.integers(1, 4)):
+            parts = [self.text(1, 30) for _ in range(self.rng.integers(1, 4))]
+            self.put(" ".join(parts), True)
+            self.out.append("<div>" + self.pick(["<br>", "<br/>", "<br><br>"]).join(parts) + "</div>")
+
     def body(self) -> None:
         for _ in range(self.rng.integers(1, 14) if self.chance(0.93) else self.rng.integers(14, 60)):
             kind = self.rng.random()
             if kind < 0.01:
                 self.out += [f"<p>{self.put(self.text(1, 12), True)}</p>"] * int(self.rng.integers(2, 30))
-            elif kind < 0.62:
+            elif kind < 0.50:
                 self.paragraph()
+            elif kind < 0.53:
+                self.figure()
+            elif kind < 0.56:
+                self.definitions()
+            elif kind < 0.59:
+                self.data_table()
+            elif kind < 0.62:
+                self.loose()
             elif kind < 0.70:
                 self.out.append(f"<h2>{self.put(self.text(1, 9, False), True)}</h2>")
             elif kind < 0.76:
@@ -146,7 +183,8 @@ class _Page:
             elif kind < 0.88:
                 self.out.append(f"<div>{self.put(self.text(5, 60), True)}</div>")
             elif kind < 0.91:
-                self.out.append(f"<pre>{self.put(self.text(2, 20, False), True)}</pre>")
+                tag = "xmp" if self.chance(0.35) else "pre"
+                self.out.append(f"<{tag}>{self.put(self.text(2, 20, False), True)}</{tag}>")
             elif kind < 0.94:
                 self.advert()
             elif kind < 0.96:

@@ -8,6 +8,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -547,6 +548,15 @@ def test_labeller_on_made_pages(labeller, family, least):
     assert both >= least * said and both >= least * true, (both / said, both / true)
 
 
+def test_weights_are_kept(spark, labeller, monkeypatch):
+    """Another session with the same shared folder trains nothing."""
+    monkeypatch.setattr(maintext, "_trained", {})
+    start = time.perf_counter()
+    again = maintext.labeller(spark)
+    assert time.perf_counter() - start < 5 and again is not labeller
+    assert all((again.w[k] == w).all() for k, w in labeller.w.items())
+
+
 def test_labels_are_those_of_whole_rows(labeller):
     rng, featurise = np.random.default_rng(5), maintext.Features()
     pages = [maintext.blocks(page_maker.make_page(rng)[0]) for _ in range(20)]
@@ -556,6 +566,11 @@ def test_labels_are_those_of_whole_rows(labeller):
         assert all(a == (b >= 0.5) for a, b in zip(said, slow) if abs(b - 0.5) > 1e-4)
 
 
+MENU = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
+FOOT = "<footer>&copy; 2020 Some firm</footer>"
+LONG = "<p>This is a rather long paragraph about the matter at hand, with some detail and more words.</p>"
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
@@ -564,6 +579,9 @@ def test_labels_are_those_of_whole_rows(labeller):
         ("<table><tr><td><a href='/'>Home</a> <a href='/s'>Shop</a></td><td><h1>A title</h1>The text of the article stands here, in a cell.<br>And goes on.</td></tr><tr><td colspan=2>&copy; 2020 Site</td></tr></table>", "A title\n\nThe text of the article stands here, in a cell. And goes on."),
         ("<article><h1>T</h1><p>Let <math><mi>x</mi><mo>+</mo><mn>1</mn></math> be a number.</p></article>", "T\n\nLet x+1 be a number."),
         ("<article><xmp>a <b> c &amp; d</xmp><p/>straight text in the article<p>More</p></article>", "a <b> c &amp; d\n\nstraight text in the article\n\nMore"),
+        (f"{MENU}<article><h1>Prices</h1>{LONG}<table><tr><th>Item</th><th>Price</th></tr><tr><td>Tea</td><td>3</td></tr></table></article>{FOOT}", f"Prices\n\n{LONG[3:-4]}\n\nItem\n\nPrice\n\nTea\n\n3"),
+        (f"{MENU}<article><h1>Birds</h1>{LONG}<figure><img src=a><figcaption>A bird on a tree</figcaption></figure><dl><dt>Owl</dt><dd>A bird of night.</dd></dl></article>{FOOT}", f"Birds\n\n{LONG[3:-4]}\n\nA bird on a tree\n\nOwl\n\nA bird of night."),
+        (f"{MENU}<div class=content><h1>Title here</h1><div>Some text straight in a division<br>and more of it.</div><div>The next part stands here.</div></div>{FOOT}", "Title here\n\nSome text straight in a division and more of it.\n\nThe next part stands here."),
         ("<article><p>Press <button>OK</button> to go on.</p></article><div class='comments'><p>nice one</p></div>", "Press OK to go on."),
     ],
 )
