@@ -7,6 +7,7 @@ the embedding of the same number, and a document's vector likewise.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import text as tx
 from sievegrid.functions.vectors import sparse_dot
-from sievegrid.operators import ann, bm25, chunking, containment, context, dedup, dense, embedding, evaluation, fusion, keyword, mining, profile, segment
+from sievegrid.operators import ann, bm25, chunking, containment, context, dedup, dense, embedding, evaluation, fusion, keyword, mining, profile, segment, where
 from sievegrid.plans import search
 from sievegrid.sources import content, html
 from sievegrid.sources.folders import new_path, spread
+from sievegrid.sources.store import Store
 from sievegrid.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -312,6 +314,48 @@ def upsert_rows(spark, sf_dir):
     return dedup.upsert(old, table(spark, sf_dir, "documents").select("doc_id", F.lit("new").alias("state")), ["doc_id"])
 
 
+@query("""
+SELECT o_custkey AS key, max(o_totalprice) AS price, 'order' AS state FROM orders GROUP BY ALL
+UNION ALL SELECT c_custkey, c_acctbal, 'customer' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def store_upsert(spark, sf_dir):
+    """A store of customers in which each one's dearest order takes the customer's place."""
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("price"), F.lit("customer").alias("state"))
+    store = Store.create(old, new_path(spark, "keyed-store"), "key", 32)
+    store.upsert(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("price"), F.lit("order").alias("state")))
+    return store.rows()
+
+
+@query("SELECT vec_id AS key, label FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)")
+def store_lookup(spark, sf_dir):
+    """The stored rows of the questions' numbers, read from the buckets of these alone."""
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding", "label")
+    store = Store.create(held, new_path(spark, "keyed-store"), "key", 64)
+    return store.lookup(questions(spark, sf_dir).select(F.col("query_id").alias("key"))).select("key", "label")
+
+
+#: A tree for each part of the filter language, by name.
+TREES = {
+    "eq": {"lang": "en"},
+    "ne": {"lang": {"$ne": "en"}},
+    "in": {"lang": {"$in": ["de", "fr"]}},
+    "nin": {"lang": {"$nin": ["de", "fr"]}},
+    "range": {"n_chars": {"$gte": 500, "$lt": 1000}},
+    "and": {"$and": [{"lang": "es"}, {"n_chars": {"$gt": 700}}]},
+    "or": {"$or": [{"lang": "es"}, {"$and": [{"n_chars": {"$lte": 300}}, {"lang": {"$ne": "fr"}}]}]},
+}
+
+
+@query("""
+SELECT 'eq' AS tree, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'ne', doc_id FROM documents WHERE lang IS DISTINCT FROM 'en'
+UNION ALL SELECT 'in', doc_id FROM documents WHERE lang IN ('de', 'fr') UNION ALL SELECT 'nin', doc_id FROM documents WHERE coalesce(lang NOT IN ('de', 'fr'), true)
+UNION ALL SELECT 'range', doc_id FROM documents WHERE n_chars >= 500 AND n_chars < 1000 UNION ALL SELECT 'and', doc_id FROM documents WHERE lang = 'es' AND n_chars > 700
+UNION ALL SELECT 'or', doc_id FROM documents WHERE lang = 'es' OR (n_chars <= 300 AND lang IS DISTINCT FROM 'fr')""")
+def filter_trees(spark, sf_dir):
+    """Documents that each tree of the filter language takes."""
+    taken = [table(spark, sf_dir, "documents").where(where.condition(tree)).select(F.lit(name).alias("tree"), "doc_id") for name, tree in TREES.items()]
+    return reduce(DataFrame.unionAll, taken)
+
+
 @query("""
 SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type <> 'error') WHERE n = 1""")
 def last_wins(spark, sf_dir):

@@ -32,6 +32,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{(folder or _own_folder()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path of any store that Spark can write to; what isn't there is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 #: Bytes of a table per task from which its own splits are enough.
 ENOUGH = 8 << 20
 
