@@ -63,7 +63,8 @@ def build_from_terms(children: DataFrame, terms: DataFrame, id_col: str = "child
     counted = terms.select(F.col("id").alias("child_id"), "term").groupBy("child_id", "term").agg(F.count("*").alias("tf"))
     lengths = counted.groupBy("child_id").agg(F.sum("tf").alias("dl"))
     alone = children.select(F.col(id_col).alias("child_id")).join(lengths.select("child_id"), "child_id", "left_anti")
-    alone = alone.select("child_id", F.lit(1).cast("long").alias("dl"), F.lit(NO_WORD).alias("term"), F.lit(1).cast("long").alias("tf"))
+    pseudo = F.when(F.col("child_id").isNotNull(), NO_WORD)  # a constant would make the search's join by term one without a key
+    alone = alone.select("child_id", F.lit(1).cast("long").alias("dl"), pseudo.alias("term"), F.lit(1).cast("long").alias("tf"))
     postings = counted.join(lengths, "child_id").unionByName(alone).select("term", "child_id", "tf", "dl")
     sizes = lengths.unionByName(alone.select("child_id", "dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     return Index(postings, rated(postings.groupBy("term").agg(F.count("*").alias("df")), sizes.select("n").scalar()), sizes)
