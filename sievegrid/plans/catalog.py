@@ -21,6 +21,7 @@ from sievegrid.sources import content, html
 from sievegrid.sources.folders import new_path, spread
 from sievegrid.sources.store import Store
 from sievegrid.streaming import events as streams
+from sievegrid.streaming import memory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -625,6 +626,18 @@ def user_sessions(spark, sf_dir):
     return streams.sessions(table(spark, sf_dir, "events"))
 
 
+@query("""
+WITH RECURSIVE r AS (SELECT user_id AS session_id, ts, event_type = 'error' AS clears, event_type || ' ' || event_id AS text, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+step AS (SELECT session_id, i, CASE WHEN NOT clears THEN ts END AS began FROM r WHERE i = 1
+  UNION ALL SELECT r.session_id, r.i, CASE WHEN r.clears THEN NULL WHEN s.began IS NULL OR r.ts - s.began > INTERVAL 2 DAY THEN r.ts ELSE s.began END FROM step s JOIN r ON r.session_id = s.session_id AND r.i = s.i + 1),
+back AS (SELECT session_id, began, i, text, row_number() OVER (PARTITION BY session_id, began ORDER BY i DESC) AS back FROM step JOIN r USING (session_id, i) WHERE began IS NOT NULL)
+SELECT session_id, began, count(*) AS n, string_agg(text, chr(10) ORDER BY i) FILTER (back <= 4) AS history FROM back GROUP BY session_id, began""")
+def session_memory(spark, sf_dir):
+    """Users as chat sessions that an error clears, with memories of four texts and two days."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("text"), (F.col("event_type") == "error").alias("clears"))
+    return memory.session_memory(rows, 4, 2 * 86400).withColumn("began", F.col("began").cast("timestamp_ntz"))
+
+
 @query("SELECT r_name AS region, count(DISTINCT o_custkey) AS customers, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def revenue_by_region(spark, sf_dir):
     """A plain star join, to show that the engine's tables are ordinary ones."""
