@@ -38,6 +38,54 @@ class Index:
     def load(spark, path: str) -> Index:
         return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "sizes")))
 
+    def postings_of(self, wanted: DataFrame) -> DataFrame:
+        """Postings that may hold the terms of ``wanted``."""
+        return self.postings
+
+
+class StoredIndex(Index):
+    """As written by ``store``: postings lie in folders by a hash of their term, so a search reads its terms' folders alone."""
+
+    def postings_of(self, wanted: DataFrame) -> DataFrame:
+        """The folders' numbers are fetched first; there are at most ``BUCKETS``."""
+        asked = [r.bucket for r in wanted.select(bucket_of("term")).distinct().collect()]
+        return self.postings.where(F.col("bucket").isin(asked))
+
+
+#: Folders of a stored index.
+BUCKETS = 256
+
+
+def bucket_of(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def store(children: DataFrame, path: str, id_col: str = "child_id", text_col: str = "text") -> StoredIndex:
+    """Builds an index into ``path`` in one pass over the texts, and gives it back as ``load_stored`` does.
+
+    Everything else is counted from the postings: the one that holds a document's first word stands for the document.
+    Ranges are by bucket, term and document, so a term that most documents hold is cut into many files. Nulls and texts
+    without words have the pseudo-token; ids are unique.
+    """
+    spark = children.sparkSession
+    found = words(F.col(text_col))
+    tokens = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_WORD)))
+    rows = children.select(F.col(id_col).alias("child_id"), tokens.alias("tokens")).select("child_id", F.size("tokens").cast("long").alias("dl"), F.posexplode("tokens").alias("at", "term"))
+    counted = rows.groupBy("child_id", "dl", "term").agg(F.count("*").alias("tf"), (F.min("at") == 0).alias("head"))
+    laid = counted.withColumn("bucket", bucket_of("term")).repartitionByRange("bucket", "term", "child_id").sortWithinPartitions("bucket", "term", "child_id")
+    laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    n = F.count_if("head")
+    postings.agg(n.alias("n"), (F.sum("tf") / n).alias("mean")).write.mode("overwrite").parquet(f"{path}/sizes")
+    sizes = spark.read.parquet(f"{path}/sizes")
+    rated(postings.groupBy("term").agg(F.count("*").alias("df")), sizes.select("n").scalar()).write.mode("overwrite").parquet(f"{path}/terms")
+    return load_stored(spark, path)
+
+
+def load_stored(spark, path: str) -> StoredIndex:
+    postings = spark.read.parquet(f"{path}/postings").select("term", "child_id", "tf", "dl", "bucket")
+    return StoredIndex(postings, *(spark.read.parquet(f"{path}/{name}") for name in ("terms", "sizes")))
+
 
 def rated(seen: DataFrame, n: Column) -> DataFrame:
     """(term, idf) from (term, df); a term in most documents gets a share of the mean weight instead of a negative one."""
@@ -83,7 +131,7 @@ def score(index: Index, queries: DataFrame, among: DataFrame | None = None) -> D
     """
     mean = index.sizes.select("mean").scalar()
     wanted = (queries if "term" in queries.columns else query_terms(queries)).join(index.terms, "term")
-    held = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    held = index.postings_of(wanted).join(wanted.select("term").distinct(), "term", "left_semi")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     held = held.select("term", "child_id", weight.alias("weight"))
     held = held if among is None else held.join(among.select("child_id"), "child_id", "left_semi")

@@ -19,6 +19,7 @@ from sievegrid.operators import ann, bm25, chunking, containment, context, dedup
 from sievegrid.plans import search
 from sievegrid.sources import content, html
 from sievegrid.sources.folders import new_path, spread
+from sievegrid.sources.manifest_log import ManifestLog
 from sievegrid.sources.store import Store
 from sievegrid.streaming import events as streams
 from sievegrid.streaming import memory
@@ -91,9 +92,13 @@ den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
   FROM dv q JOIN benchmark b ON q.vec_id = b.item_id CROSS JOIN dv d JOIN documents c ON c.doc_id = d.vec_id)) WHERE ord <= 50)"""
 
 
+#: Tables of each channel's hits in SQL.
+CHANNEL_SQL = {"bm25": "bm", "dense": "den", "keyword": "kw"}
+
+
 def fused_sql(alpha: float, channels: tuple[str, ...] = ("bm25", "dense"), name: str = "fused") -> str:
     weights = {c: fusion.WEIGHTS[c] for c in channels}
-    rows = " UNION ALL ".join(f"SELECT query_id, '{c}' AS channel, {w} AS w, child_id, score, ord FROM {'bm' if c == 'bm25' else 'den'}" for c, w in weights.items())
+    rows = " UNION ALL ".join(f"SELECT query_id, '{c}' AS channel, {w} AS w, child_id, score, ord FROM {CHANNEL_SQL[c]}" for c, w in weights.items())
     return f"""
 {name}_rows AS (SELECT *, max(score) OVER g - min(score) OVER g AS span, score - min(score) OVER g AS above FROM ({rows})
   WINDOW g AS (PARTITION BY query_id, channel)),
@@ -115,6 +120,14 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir, 10)
 
 
+@query(SQL["bm25_topk"])
+def bm25_stored(spark, sf_dir):
+    """The same from an index that was written once and reads the folders of the questions' terms alone."""
+    path = new_path(spark, "text-index")
+    bm25.store(children(spark, sf_dir), path)
+    return bm25.search(bm25.load_stored(spark, path), questions(spark, sf_dir), 10)
+
+
 @query("""
 WITH v AS (SELECT vec_id, embedding::double[] AS v FROM embeddings)
 SELECT query_id, child_id, score, ord::integer AS ord FROM (
@@ -364,6 +377,25 @@ def last_wins(spark, sf_dir):
     return dedup.last_good(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")], F.col("event_type") != "error").drop("ts")
 
 
+@query("""
+SELECT id, status, local_path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, local_path DESC) AS n FROM (
+  SELECT user_id AS id, ts, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'ok' END AS status,
+    CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type || '/' || event_id END AS local_path FROM events) WHERE status <> 'failed' AND local_path <> '') WHERE n = 1""")
+def manifest_log(spark, sf_dir):
+    """Events as attempts at fetching, in three batches by date; the first two are compacted, the second comes twice."""
+    kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "skipped").otherwise("ok")
+    path = F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat_ws("/", "event_type", F.col("event_id").cast("string")))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), kind.alias("status"), path.alias("local_path"), F.col("ts").alias("at"))
+    log = ManifestLog(spark, new_path(spark, "manifest"))
+    parts = [rows.where("at < DATE'2024-01-11'"), rows.where("at >= DATE'2024-01-11' AND at < DATE'2024-01-21'"), rows.where("at >= DATE'2024-01-21'")]
+    log.append(parts[0], 0)
+    log.append(parts[1], 1)
+    log.compact()
+    log.append(parts[1], 1)
+    log.append(parts[2], 2)
+    return log.last_good().drop("at")
+
+
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g')")
 def first_wins_exact_dedup(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")

@@ -14,10 +14,10 @@ from sievegrid.functions import numerals
 from sievegrid.functions import text as tx
 from sievegrid.functions.vectors import cosine
 from sievegrid.operators import bm25, chunking, context, dedup, evaluation, generation, keyword, mining, profile, titles
-from sievegrid.plans import catalog
+from sievegrid.plans import catalog, search
 from sievegrid.plans.catalog import query, table
 from sievegrid.sources import content, html, page_tree
-from sievegrid.sources.folders import spread
+from sievegrid.sources.folders import new_path, spread
 
 NINE = "一二三四五六七八九"
 
@@ -250,6 +250,40 @@ def keyword_channel(spark, sf_dir):
     return keyword.keyword_hits(_rule_questions(spark, sf_dir), _rule_children(spark, sf_dir), None, 20)
 
 
+RULE_TEXT_SQL = "k.doc_title || ' ' || k.clause_id || ' ' || p_name || ' ' || p_type"
+THREE_CHANNELS_SQL = f"""
+WITH {KEYWORD_SQL.strip()},
+shelf AS (SELECT k.child_id AS doc_id, {RULE_TEXT_SQL} AS text, k.doc_id AS source, repealed FROM kids k JOIN part ON p_partkey = k.child_id),
+valid AS (SELECT * FROM shelf WHERE NOT repealed),
+wanted AS (SELECT query_id AS item_id, CASE WHEN named IS NULL THEN '' ELSE '《' || named || '》' END || clause_id || coalesce('，' || doc_no, '') AS text FROM asked),
+{catalog.BM25_SQL.strip().replace("FROM documents", "FROM shelf").replace("FROM benchmark", "FROM wanted").replace("JOIN dl USING (doc_id)", "JOIN dl USING (doc_id) JOIN valid USING (doc_id)")},
+{catalog.DENSE_SQL.strip().replace("JOIN benchmark", "JOIN wanted").replace("JOIN documents", "JOIN valid")},
+kw AS (SELECT query_id, child_id, 1.0::double AS score, ord, exact FROM (SELECT o.*, row_number() OVER (PARTITION BY query_id ORDER BY branch, child_id) AS ord FROM once o JOIN kids USING (child_id) WHERE NOT repealed) WHERE ord <= 20),
+{catalog.fused_sql(0.3, ("bm25", "dense", "keyword")).strip()},
+{catalog.PER_PARENT_SQL.strip().replace("JOIN documents", "JOIN valid")},
+said AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM wanted),
+rated AS (SELECT p.*, round(12.0 * len(list_intersect(w, regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}]+'))) / greatest(len(w), 1) - 6, 6) AS second
+  FROM per_parent p JOIN said ON item_id = query_id JOIN valid d ON d.doc_id = p.child_id),
+final AS (SELECT * FROM (SELECT query_id, child_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, ord) AS n FROM rated) WHERE n <= 5),
+pins AS (SELECT * FROM (SELECT p.query_id, p.child_id, p.parent_id, row_number() OVER (PARTITION BY p.query_id ORDER BY kw.ord, p.child_id) AS n FROM per_parent p JOIN kw USING (query_id, child_id)
+  WHERE exact AND NOT EXISTS (SELECT 1 FROM final f WHERE f.query_id = p.query_id AND f.child_id = p.child_id)) WHERE n <= 2)
+SELECT query_id, child_id, parent_id, pinned, ord::integer AS ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, n) AS ord FROM (
+  SELECT *, true AS pinned FROM pins UNION ALL SELECT *, false FROM final)) WHERE ord <= 5"""
+
+
+@query(THREE_CHANNELS_SQL)
+def hybrid_channels(spark, sf_dir):
+    """The whole of it with a stored index, all three channels, repealed children set aside before each cut, and exact matches pinned."""
+    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("child_id"), "p_name", "p_type")
+    kids = _rule_children(spark, sf_dir).join(texts, "child_id").withColumn("text", F.concat_ws(" ", "doc_title", "clause_id", "p_name", "p_type")).withColumn("parent_id", F.col("doc_id"))
+    asked = _rule_questions(spark, sf_dir)
+    index = bm25.store(kids, new_path(spark, "text-index"))
+    vectors = catalog.vectors(spark, sf_dir, "child_id")
+    query_vectors = catalog.vectors(spark, sf_dir, "query_id").join(asked.select("query_id"), "query_id", "left_semi")
+    channels = search.candidates(asked, kids, index, query_vectors, vectors, with_keyword=True)
+    return search.search(asked, kids, None, channels).select("query_id", "child_id", "parent_id", "pinned", "ord")
+
+
 @query("SELECT p_partkey AS child_id FROM part WHERE p_partkey % 7 <> 0")
 def not_repealed(spark, sf_dir):
     return keyword.not_repealed(_rule_children(spark, sf_dir)).select("child_id")

@@ -14,8 +14,9 @@ def candidates(queries: DataFrame, children: DataFrame, index: bm25.Index | None
     """Ranked hits by channel; repealed children are set aside before the cut, in every channel alike."""
     usable = keyword.not_repealed(children) if "effective_status" in children.columns else children
     out = {}
+    among = usable if index is not None and usable is not children else None  # an index that was given may hold repealed children
     index = index or bm25.build(usable)
-    out["bm25"] = bm25.search(index, queries, TOP["bm25"])
+    out["bm25"] = bm25.search(index, queries, TOP["bm25"], among)
     if query_vectors is not None:
         out["dense"] = dense.knn(query_vectors, vectors.join(usable.select("child_id"), "child_id", "left_semi"), TOP["dense"])
     if with_keyword:
