@@ -20,7 +20,7 @@ def candidates(queries: DataFrame, children: DataFrame, index: bm25.Index | None
     if query_vectors is not None:
         out["dense"] = dense.knn(query_vectors, vectors.join(usable.select("child_id"), "child_id", "left_semi"), TOP["dense"])
     if with_keyword:
-        out["keyword"] = keyword.keyword_hits(queries, usable, index, TOP["keyword"])
+        out["keyword"] = keyword.keyword_hits(queries, children, index, TOP["keyword"])  # a named clause that is repealed has no stand-in
     return out
 
 
