@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import text as tx
 from sievegrid.functions.vectors import sparse_dot
-from sievegrid.operators import ann, bm25, chunking, containment, context, dedup, dense, embedding, evaluation, fusion, keyword, mining, profile, segment, where
+from sievegrid.operators import ann, bm25, chunking, containment, context, dedup, dense, embedding, evaluation, fusion, keyword, learnt, mining, profile, rerank, segment, where
 from sievegrid.plans import search
 from sievegrid.sources import content, html
 from sievegrid.sources.folders import new_path, spread
@@ -600,6 +600,37 @@ def ablation(spark, sf_dir):
     return evaluation.metrics(ranks, ("stage",))
 
 
+def _thinned_questions(spark, sf_dir):
+    """Every third word of each question, so that no document holds it word for word."""
+    kept = F.filter(tx.words(F.col("text")), lambda w, i: i % 3 == 0)
+    return questions(spark, sf_dir).select("query_id", F.array_join(kept, " ").alias("text"))
+
+
+def _second_stage_pool(spark, sf_dir):
+    """The merged candidates of the thinned questions, with both texts; written once, as training and ranking read it."""
+    kids, asked = children(spark, sf_dir), _thinned_questions(spark, sf_dir)
+    channels = {"bm25": bm25.search(bm25.build(kids), asked, 50), "dense": _dense(spark, sf_dir)}
+    pool = fusion.fuse(channels).select("query_id", "child_id", "score", "ord").join(kids.select("child_id", "text"), "child_id")
+    path = new_path(spark, "rerank-pool")
+    pool.join(asked.select("query_id", F.col("text").alias("query")), "query_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query()
+def ablation_learnt(spark, sf_dir):
+    """The second stages on the half of the thinned questions that the learnt one has not seen."""
+    held_out = F.crc32(F.col("query_id").cast("string")) % 2 == 0
+    pool, gold = _second_stage_pool(spark, sf_dir), _gold(spark, sf_dir)
+    weights, _ = learnt.train(pool.where(~held_out), gold.where(~held_out))
+    goals = gold.where(held_out & F.col("gold").isNotNull())
+    ranks = []
+    for stage, scorer in (("merged", None), ("overlap", rerank.overlap), ("learnt", learnt.scorer(weights))):
+        rows = pool.where(held_out)
+        hits = rows if scorer is None else rerank.rerank(rows, scorer, fusion.KEEP)
+        ranks.append(evaluation.gold_ranks(goals, hits).withColumn("stage", F.lit(stage)))
+    return evaluation.metrics(reduce(DataFrame.unionByName, ranks), ("stage",))
+
+
 @query(f"""
 WITH {QA_SQL}, x AS (SELECT conv_id, turn, replace(replace(answer, ',', ''), '，', '') AS a, answer,
   list_distinct(regexp_extract_all(question, '\\d+(?:[,，]\\d{{3}})*(?:\\.\\d+)?%?|\\d{{1,2}}:\\d{{2}}')) AS nums,
