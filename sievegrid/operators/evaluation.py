@@ -66,10 +66,10 @@ def keyword_coverage(answer: Column, gold: Column, shortest: int = 2) -> Column:
     return F.when(F.size(pieces) > 0, held / F.size(pieces)).otherwise(F.lit(0.0))
 
 
-def generation_summary(scores: DataFrame, fidelity: str = "fidelity", coverage: str = "coverage", enough: float = 0.6) -> DataFrame:
-    """One row: answers, how many have numbers to check, and means and shares of both scores; nulls count in neither."""
+def generation_summary(scores: DataFrame, fidelity: str = "fidelity", coverage: str = "coverage", enough: float = 0.6, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each value of ``by``, such as a question's place in its conversation: answers, how many have numbers to check, and means and shares of both scores; nulls count in neither."""
     exact = F.when(F.col(fidelity).isNotNull(), (F.col(fidelity) == 1.0).cast("double"))
-    return scores.agg(
+    return scores.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.count(fidelity).alias("fidelity_n"),
         F.round(F.avg(fidelity), 4).alias("fidelity_mean"),

@@ -55,6 +55,19 @@ def expanded(queries: DataFrame, models: list[Model]) -> DataFrame:
     return rows.where("text IS NOT NULL").select("query_id", "text", "variant")
 
 
+def with_history(questions: DataFrame, turns: DataFrame, last: int = 8) -> DataFrame:
+    """(query_id, conv_id, turn, text) with the ``last`` turns before each, oldest first, as ``history`` of (role, text).
+
+    Turns are (conv_id, turn, role, text), numbered one by one. They meet questions by conversation and number, so a long
+    conversation is spread over all tasks; null numbers meet none, and a question without earlier turns has an empty history.
+    """
+    ahead = turns.select("conv_id", F.explode(F.sequence(F.col("turn") + 1, F.col("turn") + last)).alias("at"), F.struct("turn", "role", "text").alias("said"))
+    asked = questions.select("query_id", "conv_id", F.col("turn").alias("at"))
+    said = ahead.join(asked, ["conv_id", "at"]).groupBy("query_id").agg(F.array_sort(F.collect_list("said")).alias("said"))
+    history = F.coalesce(F.transform("said", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))), F.array().cast("array<struct<role:string,text:string>>"))
+    return questions.join(said, "query_id", "left").withColumn("history", history).drop("said")
+
+
 def rewritten(queries: DataFrame, model: Model) -> DataFrame:
     """Questions of (query_id, text, history) made to stand alone; without history, or with a useless answer, as they were."""
     answer = rewritten_or_original(model(rewrite_prompt(F.col("text"), F.col("history"))), F.col("text"))

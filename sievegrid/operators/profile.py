@@ -26,3 +26,9 @@ def outcomes(tagged: DataFrame, column: str = "outcome") -> DataFrame:
 def describe_gold(gold: DataFrame) -> DataFrame:
     """(mining_method, n, paraphrased): what a question set is made of, read off the data alone."""
     return gold.groupBy("mining_method").agg(F.count("*").alias("n"), F.count_if(F.endswith("qa_id", F.lit("_pp"))).alias("paraphrased"))
+
+
+def negatives(rows: DataFrame, want: int, column: str = "n_neg") -> DataFrame:
+    """One row: questions, their negatives in all and in the mean, and how many have fewer than wanted; no rows give a null mean."""
+    n = F.col(column)
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("negatives"), F.round(F.avg(n), 4).alias("mean"), F.count_if(n < want).alias("short"))

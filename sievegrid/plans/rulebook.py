@@ -532,6 +532,46 @@ def generation_summary(spark, sf_dir):
     return evaluation.generation_summary(catalog.fidelity(spark, sf_dir))
 
 
+SCORES_SQL = """count(*) AS n, count(fidelity) AS fidelity_n, round(avg(fidelity), 4) AS fidelity_mean, round(avg((fidelity = 1.0)::integer), 4) AS fidelity_all_right,
+  round(avg(coverage), 4) AS coverage_mean, round(avg((coverage >= 0.6)::integer), 4) AS coverage_enough"""
+
+
+@query(f"SELECT turn, {SCORES_SQL} FROM ({catalog.SQL['fidelity']}) GROUP BY turn")
+def turn_scores(spark, sf_dir):
+    """Answers of conversations by the place of their question: whether later turns are answered worse."""
+    return evaluation.generation_summary(catalog.fidelity(spark, sf_dir), by=("turn",))
+
+
+@query(f"SELECT count(*) AS n, sum(n_neg)::bigint AS negatives, round(avg(n_neg), 4) AS mean, count_if(n_neg < 5) AS short FROM ({catalog.SQL['hard_negatives']})")
+def negatives_summary(spark, sf_dir):
+    return profile.negatives(catalog.hard_negatives(spark, sf_dir), 5)
+
+
+@query(r"""
+SELECT item_id AS query_id, text, 0::integer AS variant FROM benchmark
+UNION ALL SELECT item_id, regexp_replace('Passage on ' || text[:30], '\s+$', ''), 1::integer FROM benchmark WHERE length(text) % 3 <> 0""")
+def question_variants(spark, sf_dir):
+    """Questions beside the passages of a stand-in for the model, which thinks aloud and sometimes says nothing."""
+    asked = catalog.questions(spark, sf_dir)
+    content = lambda m: F.get(m, F.lit(1))["content"]
+    said = lambda m: F.when(F.char_length(content(m)) % 3 == 0, "<think>nothing comes to mind</think>\n").otherwise(F.concat(F.lit("<think>hm</think>\nPassage on "), F.substring(content(m), 1, 30)))
+    return generation.expanded(asked, [said])
+
+
+@query(r"""
+WITH first AS (SELECT a.conv_id, a.turn, a.text, arg_min(b.role || ': ' || b.text, b.turn) AS said FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn BETWEEN a.turn - 8 AND a.turn - 1
+  WHERE a.role = 'user' GROUP BY ALL),
+made AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(said, '^[^\n]{0,40}'), '^[\x22\x27“”]+', ''), '[\x22\x27“”]+$', '') AS last FROM first)
+SELECT conv_id, turn, CASE WHEN said IS NULL OR last = '' OR length(last) > 8 * length(text) THEN text ELSE last END AS text, said IS NOT NULL AS has_history FROM made""")
+def standalone_questions(spark, sf_dir):
+    """Questions of conversations after a stand-in for the rewriting model, which repeats how the talk began."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), "conv_id", "turn", "text")
+    said = lambda m: F.concat(F.lit('<think>hm</think>\n"'), F.regexp_extract(F.get(m, F.lit(1))["content"], r"\A[^\n]{0,40}", 0), F.lit('"'))
+    out = generation.rewritten(generation.with_history(asked, turns), said)
+    return out.select("conv_id", "turn", "text", (F.size("history") > 0).alias("has_history"))
+
+
 @query(f"""
 WITH {catalog.BM25_SQL}, chosen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS place FROM scored WHERE score > 0 AND child_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source <> 'src1'))
 SELECT query_id, child_id, score, place::integer AS ord FROM chosen WHERE place <= 10""")
