@@ -63,17 +63,22 @@ def bucket_of(term: str) -> Column:
 def store(children: DataFrame, path: str, id_col: str = "child_id", text_col: str = "text") -> StoredIndex:
     """Builds an index into ``path`` in one pass over the texts, and gives it back as ``load_stored`` does.
 
-    Everything else is counted from the postings: the one that holds a document's first word stands for the document.
-    Ranges are by bucket, term and document, so a term that most documents hold is cut into many files. Nulls and texts
-    without words have the pseudo-token; ids are unique.
+    A document's words are counted in its row, as runs of its sorted words, so that postings move once. Everything else is counted
+    from the postings: the one of a document's least word stands for the document. A bucket is dealt by document over
+    several tasks, so a term that most documents hold is cut into many files. Nulls and texts without words have the pseudo-token; ids are unique.
     """
     spark = children.sparkSession
     found = words(F.col(text_col))
-    tokens = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_WORD)))
-    rows = children.select(F.col(id_col).alias("child_id"), tokens.alias("tokens")).select("child_id", F.size("tokens").cast("long").alias("dl"), F.posexplode("tokens").alias("at", "term"))
-    counted = rows.groupBy("child_id", "dl", "term").agg(F.count("*").alias("tf"), (F.min("at") == 0).alias("head"))
-    laid = counted.withColumn("bucket", bucket_of("term")).repartitionByRange("bucket", "term", "child_id").sortWithinPartitions("bucket", "term", "child_id")
-    laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    tokens = F.array_sort(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_WORD))))
+    rows = children.select(F.col(id_col).alias("child_id"), tokens.alias("t")).withColumn("dl", F.size("t"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = rows.withColumn("starts", starts)
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array("dl"))
+    counted = F.zip_with("starts", ends, lambda i, j: F.struct(F.get("t", i).alias("term"), (j - i).alias("tf"), (i == 0).alias("head")))
+    rows = rows.select("child_id", "dl", F.explode(counted).alias("c")).select("c.term", "child_id", "c.tf", "dl", "c.head")
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 32)
+    dealt = rows.repartition(bucket_of("term"), F.pmod(F.xxhash64("child_id"), F.lit(parts)))
+    dealt.withColumn("bucket", bucket_of("term")).sortWithinPartitions("bucket", "term", "child_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
     n = F.count_if("head")
     postings.agg(n.alias("n"), (F.sum("tf") / n).alias("mean")).write.mode("overwrite").parquet(f"{path}/sizes")
@@ -83,7 +88,7 @@ def store(children: DataFrame, path: str, id_col: str = "child_id", text_col: st
 
 
 def load_stored(spark, path: str) -> StoredIndex:
-    postings = spark.read.parquet(f"{path}/postings").select("term", "child_id", "tf", "dl", "bucket")
+    postings = spark.read.parquet(f"{path}/postings").select("term", "child_id", F.col("tf").cast("long"), F.col("dl").cast("long"), "bucket")
     return StoredIndex(postings, *(spark.read.parquet(f"{path}/{name}") for name in ("terms", "sizes")))
 
 
