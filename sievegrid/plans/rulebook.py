@@ -280,7 +280,11 @@ def hybrid_channels(spark, sf_dir):
     index = bm25.store(kids, new_path(spark, "text-index"))
     vectors = catalog.vectors(spark, sf_dir, "child_id")
     query_vectors = catalog.vectors(spark, sf_dir, "query_id").join(asked.select("query_id"), "query_id", "left_semi")
-    channels = search.candidates(asked, kids, index, query_vectors, vectors, with_keyword=True)
+    channels = {}
+    for name, hits in search.candidates(asked, kids, index, query_vectors, vectors, with_keyword=True).items():
+        path = new_path(spark, f"{name}-hits")  # short lists that fusion, ranking and pinning read several times
+        hits.write.parquet(path)
+        channels[name] = spark.read.parquet(path)
     return search.search(asked, kids, None, channels).select("query_id", "child_id", "parent_id", "pinned", "ord")
 
 
