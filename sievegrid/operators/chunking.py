@@ -6,6 +6,8 @@ fold over one document's sentences, expressed as an aggregate over its array.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ NUMBERED_QUESTION = r"(?Um)^\s*\d{1,3}\s*[.．、][^\n]{2,200}[？?]"
 FORM_WORDS = "合约基本条款|合约条款|基本条款|附件"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row: inside a function over an array an expression is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pieces_at(text: Column, start: str) -> Column:
     """(ord, body) from each match of ``start`` to the next; what stands before the first match is left out."""
     flags = start[: start.index(")") + 1] if start.startswith("(?") and start[2] in "Umds" else ""
@@ -38,16 +45,16 @@ def _piece(body: Column, clause: Column, kind: str, position: Column, *key: Colu
     return F.struct(joined.alias("key"), body.alias("body"), clause.alias("clause_id"), F.lit(kind).alias("kind"), position.cast("int").alias("position"))
 
 
-def _at_least_three(pieces: Column, keep: Column) -> Column:
-    return F.when(F.size(pieces) >= 3, keep)
+def _at_least_three(pieces: Column, keep: Callable[[Column], Column]) -> Column:
+    return once(pieces, lambda own: F.when(F.size(own) >= 3, keep(own)))
 
 
 def clause_pieces(text: Column) -> Column:
     """Chinese clauses of a text with three at least; lines of a table of contents and scraps go."""
-    found = pieces_at(text, CLAUSE)
-    kept = F.filter(found, lambda p: ~looks_like_table_of_contents(p["body"]) & (F.char_length(p["body"]) >= 10))
+    kept = lambda found: F.filter(found, lambda p: ~looks_like_table_of_contents(p["body"]) & (F.char_length(p["body"]) >= 10))
     number = lambda p: F.regexp_extract(p["body"], CLAUSE, 0)
-    return _at_least_three(found, F.transform(kept, lambda p: _piece(p["body"], number(p), "clause", p["ord"], number(p), p["ord"])))
+    made = lambda found: F.transform(kept(found), lambda p: _piece(p["body"], number(p), "clause", p["ord"], number(p), p["ord"]))
+    return F.when(F.contains(text, F.lit("条")), _at_least_three(pieces_at(text, CLAUSE), made))
 
 
 def clauses(docs: DataFrame) -> DataFrame:
@@ -55,9 +62,9 @@ def clauses(docs: DataFrame) -> DataFrame:
 
 
 def rule_pieces(text: Column) -> Column:
-    found = pieces_at(text, RULE)
     number = lambda p: F.regexp_extract(p["body"], r"^\s*(?:Rule\s+)?(\d+(?:\.\d+){1,4}[A-Z]?)", 1)
-    return _at_least_three(found, F.transform(F.filter(found, lambda p: F.char_length(p["body"]) >= 25), lambda p: _piece(p["body"], number(p), "clause", p["ord"], number(p), p["ord"])))
+    made = lambda found: F.transform(F.filter(found, lambda p: F.char_length(p["body"]) >= 25), lambda p: _piece(p["body"], number(p), "clause", p["ord"], number(p), p["ord"]))
+    return _at_least_three(pieces_at(text, RULE), made)
 
 
 def english_rules(docs: DataFrame) -> DataFrame:
@@ -91,12 +98,12 @@ def question_pairs(text: Column) -> Column:
 
 def question_pieces(text: Column, title: Column) -> Column:
     """Numbered pairs of a document, else its title as the question and its text as the answer."""
-    pairs = question_pairs(text)
+    asks = F.contains(text_or_empty(text), F.lit("?")) | F.contains(text_or_empty(text), F.lit("？"))  # others have no numbered question
     whole = strip(text_or_empty(text))
     alone = F.array(F.struct(F.lit(1).alias("ord"), strip(title).alias("question"), whole.alias("answer")))
-    chosen = F.when(F.size(pairs) > 0, pairs).when(is_question_title(title) & F.char_length(whole).between(10, 3000), alone)
+    chosen = lambda pairs: F.when(F.size(pairs) > 0, pairs).when(is_question_title(title) & F.char_length(whole).between(10, 3000), alone)
     body = lambda p: F.concat(F.lit("问："), p["question"], F.lit("\n答："), p["answer"])
-    return F.transform(chosen, lambda p: _piece(body(p), F.concat(F.lit("问答"), p["ord"].cast("string")), "qa_pair", p["ord"], p["ord"], F.substring(p["question"], 1, 40)))
+    return F.transform(once(F.when(asks, question_pairs(text)), chosen), lambda p: _piece(body(p), F.concat(F.lit("问答"), p["ord"].cast("string")), "qa_pair", p["ord"], p["ord"], F.substring(p["question"], 1, 40)))
 
 
 def questions(docs: DataFrame) -> DataFrame:
@@ -142,16 +149,23 @@ def parents(docs: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     ways = [clause_pieces(text), question_pieces(text, F.col("doc_title")), rule_pieces(text)]
-    body = _made(docs, F.coalesce(*[F.when(F.size(w) > 0, w) for w in ways], prose_pieces(text)))
+    body = _made(docs, F.coalesce(*[once(w, lambda own: F.when(F.size(own) > 0, own)) for w in ways], prose_pieces(text)))
     return body.unionByName(table_facts(docs).drop("subject")) if "tables" in docs.columns else body
 
 
 def breakpoints(distances: Column, z: float = 1.0) -> Column:
     """Positions whose distance is above mean + z times the population deviation."""
-    n = F.size(distances)
-    mean = F.aggregate(distances, F.lit(0.0), lambda s, d: s + d) / n
-    spread = F.sqrt(F.aggregate(distances, F.lit(0.0), lambda s, d: s + d * d) / n - mean * mean)
-    return F.filter(F.transform(distances, lambda d, i: F.when(d > mean + z * F.coalesce(F.nanvl(spread, F.lit(0.0)), F.lit(0.0)), i)), lambda x: x.isNotNull())
+
+    def above(limit: Column, own: Column) -> Column:
+        return F.filter(F.transform(own, lambda d, i: F.when(d > limit, i)), lambda x: x.isNotNull())
+
+    def cut(own: Column) -> Column:
+        n = F.greatest(F.size(own), F.lit(1))
+        mean = F.aggregate(own, F.lit(0.0), lambda s, d: s + d) / n
+        spread = lambda m: F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, d: s + d * d) / n - m * m)
+        return once(once(mean, lambda m: m + z * F.coalesce(F.nanvl(spread(m), F.lit(0.0)), F.lit(0.0))), lambda limit: above(limit, own))
+
+    return once(distances, cut)
 
 
 def packed_sentences(parts: Column, cuts: Column, target: int = 300, most: int = 512, least: int = 80, overlap: int = 1) -> Column:
@@ -160,7 +174,7 @@ def packed_sentences(parts: Column, cuts: Column, target: int = 300, most: int =
     Packs over ``most`` are cut between sentences, and those under ``least`` join the one before.
     """
     strings = "cast(array() AS array<string>)"
-    numbered = F.transform(parts, lambda s, i: F.struct(s.alias("s"), F.array_contains(cuts, i).alias("cut")))
+    numbered = once(cuts, lambda own: F.transform(parts, lambda s, i: F.struct(s.alias("s"), F.array_contains(own, i).alias("cut"))))
     start = F.struct(F.expr("cast(array() AS array<array<string>>)").alias("done"), F.expr(strings).alias("open"), F.lit(0).alias("fresh"))
 
     def size(xs: Column) -> Column:

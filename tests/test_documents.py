@@ -63,6 +63,16 @@ def test_children_pack_sentences(spark):
     assert [r.text for r in out if r.parent_id == "q"] == ["短文。"]
 
 
+def test_cuts_are_computed_once_for_a_row(spark):
+    """A text of many sentences takes time by their number, not by its third power."""
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda i: F.concat(F.lit("Some sentence "), i.cast("string"))).alias("parts"))
+    rows = rows.withColumn("far", F.transform("parts", lambda s, i: F.when(i % 10 == 9, 0.9).otherwise(0.1)))
+    began = time.monotonic()
+    packs = rows.select(chunking.packed_sentences(F.col("parts"), chunking.breakpoints(F.col("far")), 300, 512, 80, 0).alias("p")).first().p
+    assert time.monotonic() - began < 20
+    assert [p.rsplit(" ", 1)[1] for p in packs[:3]] == ["10", "20", "30"]
+
+
 def test_breakpoints(spark):
     out = spark.range(1).select(chunking.breakpoints(F.array(*[F.lit(x) for x in (0.1, 0.1, 0.9, 0.1)])).alias("v")).first().v
     assert out == [2]
