@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: Bytes of a window and windows of a run (a power of two), from the widest on; empty questions have none.
 LEVELS = ((32, 32), (8, 8), *((window, 1) for window in range(8, 0, -1)))
 _PIECE = 1 << 22
+#: Texts whose marks a task holds at once.
+_AT_ONCE = 64
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -48,26 +50,27 @@ def _level(size: int) -> int:
     return next((i for i, (window, run) in enumerate(LEVELS) if size >= window + run - 1), len(LEVELS))
 
 
-def _marked(rows: DataFrame, levels: list[int] | None) -> DataFrame:
-    """(id, level, mark): all marks of a text at the given levels, or one mark of a question at its own level."""
+def mark_batches(batches: Iterator[pa.RecordBatch], levels: list[int] | None) -> Iterator[pa.RecordBatch]:
+    """(id, level, mark) of (id, text): all marks of a text at the given levels, or one mark of a question at its own level."""
 
-    def of(text: str) -> list[tuple[int, int]]:
+    def of(text: str) -> list[tuple[int, np.ndarray]]:
         data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        out: list[tuple[int, int]] = []
-        for level in [_level(len(data))] if levels is None else levels:
-            own = marks(data, *LEVELS[level]).view(np.int64).tolist()
-            out += [(level, x) for x in (own[:1] if levels is None else own)]
-        return out
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [of(x.as_py()) for x in batch.column(1)]
-            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
-            level, mark = (pa.array([x[i] for own in found for x in own], kind) for i, kind in ((0, pa.int32()), (1, pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), level, mark], names=["id", "level", "mark"])
+        if levels is None:
+            level = _level(len(data))
+            return [(level, marks(data, *LEVELS[level])[:1])]
+        return [(level, marks(data, *LEVELS[level])) for level in levels]
+
+    for part in (batch.slice(start, _AT_ONCE) for batch in batches for start in range(0, batch.num_rows, _AT_ONCE)):
+        found = [(i, level, own) for i, x in enumerate(part.column(1)) for level, own in of(x.as_py())]
+        count = [len(own) for _, _, own in found]
+        at, level = (np.repeat(np.array([x[i] for x in found], dtype=kind), count) for i, kind in ((0, np.int64), (1, np.int32)))
+        mark = np.concatenate([np.zeros(0, np.uint64), *(own for _, _, own in found)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(level), pa.array(mark)], names=["id", "level", "mark"])
 
+
+def _marked(rows: DataFrame, levels: list[int] | None) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "text").mapInArrow(each, f"id {kind}, level int, mark long")
+    return rows.select("id", "text").mapInArrow(lambda batches: mark_batches(batches, levels), f"id {kind}, level int, mark long")
 
 
 def candidates(asked: DataFrame, held: DataFrame, levels: list[int]) -> DataFrame:

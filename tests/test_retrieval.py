@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +196,43 @@ def test_leaks_ignore_blanks(spark):
     asked = spark.createDataFrame([(1, passage), (2, passage + " never"), (3, " "), (4, None)], "query_id long, text string")
     corpus = spark.createDataFrame([("x" + passage.replace(" ", "\n  ") + "y",)] * 3 + [(None,)], "text string")
     assert [x.query_id for x in mining.leaks(asked, corpus).collect()] == [1]
+
+
+def test_marks_take_little_memory():
+    """A batch of many texts is marked some at a time, and marks stay arrays."""
+    text = "".join(random.Random(1).choices("abcdefghijklmnop ", k=20_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([f"{i} {text}" for i in range(500)])], names=["id", "text"])
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in containment.mark_batches(iter([batch]), [2]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 500_000
+    assert peak < 64 << 20
+
+
+def test_documents_are_scored_where_they_lie(spark):
+    """With few question terms no row for each question and document moves: the cut of each task comes before the exchange."""
+    asked = spark.createDataFrame([(1, "red fox"), (2, "blue fox")], "query_id long, text string")
+    kids = spark.createDataFrame([(i, f"{'red' if i % 2 else 'blue'} fox {i}") for i in range(40)], "child_id long, text string")
+    hits = bm25.search(bm25.build(kids), asked, 3)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, child_id", plan)
+    few, bm25.FEW = bm25.FEW, 0
+    joined = bm25.search(bm25.build(kids), asked, 3).collect()
+    bm25.FEW = few
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, joined))
+
+
+def test_clauses_everywhere_take_short_lists(spark):
+    """Many questions on one clause that many children hold give the first k each, without a row for each pair."""
+    kids = spark.range(3000).select(F.col("id").alias("child_id"), F.concat(F.lit("d"), (F.col("id") % 3).cast("string")).alias("doc_id"), F.concat(F.lit("交易规则"), (F.col("id") % 3).cast("string")).alias("doc_title"), F.lit("第一条").alias("clause_id"), F.lit("上证发〔2020〕1号").alias("doc_no"), F.when(F.col("id") < 100, REPEALED).alias("effective_status"))
+    asked = spark.range(3000).select(F.col("id").alias("query_id"), F.concat(F.when(F.col("id") % 2 == 0, "《交易规则1》").otherwise(""), F.lit("第一条，上证发〔2020〕1号")).alias("text"))
+    observed = keyword.keyword_hits(asked, kids, None, 4)
+    rows = {}
+    for r in observed.collect():
+        rows.setdefault(r.query_id, []).append((r.ord, r.child_id, r.exact))
+    assert len(rows) == 3000
+    assert sorted(rows[0]) == [(1, 100, True), (2, 103, True), (3, 106, True), (4, 109, True)]
+    assert sorted(rows[1]) == [(1, 100, False), (2, 101, False), (3, 102, False), (4, 103, False)]
+    plan = observed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 3
