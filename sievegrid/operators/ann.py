@@ -7,7 +7,8 @@ the margin was measured while building, as the one within which so many of the e
 In a cell the codes alone are read first. A code says where a vector is up to its error, so each has a least and a most
 distance; what can't be among the best k of its tile falls away, and nothing else does. The rest is verified on
 the vectors themselves. Within the cells visited a search is therefore exact, and with a ``recall`` of 1, which visits all cells, so is
-its result. Cells are cut into tiles, so a cell that holds most rows is many tasks.
+its result. Small cells lie together on a shelf and large ones are cut into tiles: a task screens and verifies one tile of rows for one of
+queries, so a query moves once for each shelf that it visits, a row once for each tile of queries, and only short lists come back.
 
 Defined results: an index holds vectors of one length, that of most sampled rows; vectors of another length, null, zero, with null or non-finite
 components or without an id are in no index and find nothing; ties go to the smaller id; ids are taken to be unique, repeated rows are found
@@ -36,6 +37,8 @@ PER_CELL, LEAST_SAMPLE, CALIBRATION = 16, 4096, 256
 #: Components in a stretch of a residual; codes of a codebook.
 STRETCH, CODES = 4, 256
 TILE_ROWS, TILE_QUERIES = 1 << 16, 1 << 10
+#: Rows of a shelf or of a tile of a larger cell, about, and queries that meet them in one task; distances and hits a task holds at once.
+SHELF_ROWS, SHELF_QUERIES, MOST_HELD = 1 << 14, 1 << 14, 1 << 21
 SEED = 11
 _AT_ONCE = 4096
 _ENTRIES = "cell int, id long, codes binary, error double, vec array<double>"
@@ -219,20 +222,101 @@ def candidates(index: Index, queries: DataFrame, k: int = 50, skip_same: bool =
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(screen, "query_id long, cell int, id long")
 
 
+def _shelves(counts: dict[int, int]) -> tuple[dict[int, int], list[int]]:
+    """The shelf of each cell, and the number of tiles of each shelf; a cell of more than ``SHELF_ROWS`` has a shelf of its own."""
+    shelf, tiles, free = {}, [], 0
+    for cell, count in sorted(counts.items()):
+        if not tiles or count > free:
+            tiles.append(-(-count // SHELF_ROWS))
+            free = SHELF_ROWS
+        free -= min(count, free)
+        shelf[cell] = len(tiles) - 1
+    return shelf, tiles
+
+
+def _searched(model: Model, left: pa.Table, right: pa.Table, k: int, skip_same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, id, score): the best k of each query among the rows of its cells, by their codes first and then by themselves."""
+    right = right.sort_by([("cell", "ascending"), ("id", "ascending")])
+    cell, ids, error = (right[c].to_numpy() for c in ("cell", "id", "error"))
+    codes = np.frombuffer(b"".join(right["codes"].to_pylist()), dtype=np.uint8).reshape(right.num_rows, -1)
+    names, query, rows = left["query_id"].to_numpy(), dense.unit(left["vec"], model.dim), dense.unit(right["vec"], model.dim)
+    lists = left["cells"].combine_chunks()
+    asking, wanted = np.repeat(np.arange(left.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    order = np.argsort(wanted, kind="stable")
+    asking, wanted = asking[order], wanted[order]
+    bound = np.full(len(query), np.inf)  # a distance within which a query has k rows already
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    size = 0
+
+    def shortened() -> tuple[np.ndarray, ...]:
+        at, own, score = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((own, -score, at))
+        at, own, score = at[order], own[order], score[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        return at[place < k], own[place < k], score[place < k]
+
+    for c in np.unique(cell):
+        here = slice(*np.searchsorted(cell, [c, c + 1]))
+        all_at = asking[slice(*np.searchsorted(wanted, [c, c + 1]))]
+        step = max(1, MOST_HELD // (here.stop - here.start))
+        for at in (all_at[start : start + step] for start in range(0, len(all_at), step)):
+            parts = model.stretches(query[at] - model.cells[c])
+            far = np.sqrt(sum(_square(part, book)[:, codes[here, i]] for i, (part, book) in enumerate(zip(parts, model.books))))
+            same = skip_same & (names[at][:, None] == ids[here])
+            most = np.where(same, np.inf, far + error[here])
+            if most.shape[1] >= k:
+                bound[at] = np.minimum(bound[at], np.partition(most, k - 1, axis=1)[:, k - 1])
+            least = np.maximum(far - error[here], 0)
+            i, j = np.nonzero((least * least - 2 * _SLACK <= (bound[at] ** 2 + 1e-9)[:, None]) & ~same)
+            for start in range(0, len(i), 1 << 16):
+                a, b = i[start : start + (1 << 16)], j[start : start + (1 << 16)] + here.start
+                found.append((at[a], ids[b], np.round((query[at[a]] * rows[b]).sum(axis=1), dense.DIGITS)))
+            size += len(i)
+            if size > MOST_HELD:
+                found = [shortened()]
+                size = len(found[0][0])
+    return shortened()
+
+
 def search(index: Index, queries: DataFrame, k: int = 50, query_id: str = "query_id", vec_col: str = "embedding", skip_same: bool = False) -> DataFrame:
     """(query_id, child_id, score, ord): as ``dense.knn``, among the rows of the cells visited."""
     spark = queries.sparkSession
     if index.model is None:
         return spark.createDataFrame([], "query_id long, child_id long, score double, ord int")
-    asked = dense.usable(queries, query_id, vec_col)
-    pairs = candidates(index, asked, k, skip_same).distinct()  # repeated rows meet here once and come back below
-    rows = index.entries.select("cell", "id", F.col("vec").alias("there"))
-    seen = pairs.join(rows, ["cell", "id"]).join(asked.select(F.col("id").alias("query_id"), "vec"), "query_id").select("query_id", F.col("id").alias("child_id"), "vec", "there")
-    dim = index.model.dim
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = np.round((_units(batch.column(2), dim) * _units(batch.column(3), dim)).sum(axis=1), dense.DIGITS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "child_id", "score"])
-
-    return top(seen.mapInArrow(scored, "query_id long, child_id long, score double"), k)
+    asked, model = dense.usable(queries, query_id, vec_col).where(F.size("vec") == index.model.dim), index.model
+    shared = spark.sparkContext.broadcast(model)
+    visited = [r.cell for r in _probed(asked, model).select("cell").distinct().collect()]  # ``MOST_CELLS`` at most
+    if not visited:
+        return spark.createDataFrame([], "query_id long, child_id long, score double, ord int")
+    held = index.entries.where(F.col("cell").isin(visited))
+    shelf, tiles = _shelves({r.cell: r["count"] for r in held.groupBy("cell").count().collect()})
+    count, tasks = asked.count(), 2 * spark.sparkContext.defaultParallelism
+    query_tiles = max(1, -(-count // SHELF_QUERIES), min(-(-tasks // sum(tiles)), count // 256))  # a small table is cut finer, for all cores
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(query_id, vec, shelf, cells): each query with the cells within the margin, by shelf."""
+        for part in (batch.slice(start, _AT_ONCE) for batch in batches for start in range(0, batch.num_rows, _AT_ONCE)):
+            near = shared.value.excess(_units(part.column(1), shared.value.dim)) <= shared.value.margin
+            for number in range(len(tiles)):
+                own = np.array([c for c, s in shelf.items() if s == number])
+                row, at = np.nonzero(near[:, own])
+                asking, count = np.unique(row, return_counts=True)
+                if len(asking):
+                    cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(own[at], pa.int32()))
+                    take = pa.array(asking)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(np.full(len(asking), number), pa.int32()), cells], names=["query_id", "vec", "shelf", "cells"])
+
+    def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        names, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if left.num_rows and right.num_rows:
+            at, ids, score = _searched(shared.value, left, right, k, skip_same)
+            names = left["query_id"].to_numpy()[at]
+        return pa.table({"query_id": names, "child_id": ids, "score": score})
+
+    numbers = F.broadcast(spark.createDataFrame([(c, s, tiles[s]) for c, s in shelf.items()], "cell int, shelf int, row_tiles int"))  # a row for each cell
+    keys = ["shelf", "row_tile", "query_tile"]
+    left = asked.select("id", "vec").mapInArrow(each, "query_id long, vec array<double>, shelf int, cells array<int>").withColumn("query_tile", F.pmod(F.xxhash64("query_id"), F.lit(query_tiles)).cast("int"))
+    left = left.join(numbers.select("shelf", "row_tiles").distinct(), "shelf").withColumn("row_tile", F.explode(F.sequence(F.lit(0), F.col("row_tiles") - 1)))
+    right = held.join(numbers, "cell").withColumn("row_tile", F.pmod(F.xxhash64("id"), F.col("row_tiles")).cast("int")).withColumn("query_tile", F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))))
+    left, right = left.select(*keys, "query_id", "vec", "cells"), right.select(*keys, "cell", "id", "codes", "error", "vec")
+    return top(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, child_id long, score double"), k)

@@ -102,3 +102,20 @@ def test_empty_and_few(spark, tmp_path):
     twice = ann.build(few.union(few), str(tmp_path / "twice"), recall=1.0)
     assert [(o, i) for o, i, _ in lists(ann.search(twice, asked.limit(1), 5))[0]] == [(1, 0), (2, 0), (3, 1), (4, 1)]
     assert ann.search(index, asked.where("false")).count() == 0
+
+
+def test_vectors_move_in_tiles(spark, tmp_path):
+    """No plan joins a row for each candidate with both vectors, and small tiles and shelves give the same lists."""
+    rng = np.random.default_rng(5)
+    rows = frame(spark, rng.normal(size=(400, 8)))
+    asked = rows.withColumnRenamed("child_id", "query_id")
+    index = ann.build(rows, str(tmp_path / "index"), recall=1.0, cells=9)
+    found = ann.search(index, asked, 5, skip_same=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    want, kept = lists(dense.knn(asked, rows, 5, skip_same=True)), (ann.SHELF_ROWS, ann.SHELF_QUERIES, ann.MOST_HELD)
+    assert lists(found) == want
+    ann.SHELF_ROWS, ann.SHELF_QUERIES, ann.MOST_HELD = 20, 100, 300
+    small = lists(ann.search(index, asked, 5, skip_same=True))
+    ann.SHELF_ROWS, ann.SHELF_QUERIES, ann.MOST_HELD = kept
+    assert small == want
