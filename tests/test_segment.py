@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,43 @@ def test_bm25_over_words(spark):
     got = bm25.search(bm25.build_from_terms(kids, segment.tokens(kids, words)), counted, 20)
     want = bm25.search(bm25.build(spaced), asked.withColumn("text", F.col("text")), 20)
     assert sorted(map(tuple, got.select("query_id", "child_id", "score", "ord").collect())) == sorted(map(tuple, want.select("query_id", "child_id", "score", "ord").collect()))
+
+
+def test_counts_do_not_depend_on_stretches():
+    """Strings are counted where they begin, so those across a stretch's end count once."""
+    rng = random.Random(5)
+    codes = segment._codes(["".join(rng.choices("甲乙丙，", k=200)) for _ in range(3)] + ["", "x"])
+    for at_once in (7, 64, 10_000):
+        got = Counter()
+        for start in range(0, len(codes), at_once):
+            for chars, n in segment._counted(codes[start : start + at_once + 4], at_once, 5):
+                got.update(dict(zip(segment._written(chars).to_pylist(), n.tolist())))
+        text = "".join(chr(c + 0x4DFF) if c else " " for c in codes.tolist())
+        assert got == Counter(run[i : i + n] for run in text.split() for i in range(len(run)) for n in range(1, 6) if i + n <= len(run))
+
+
+def test_runs_split_together_as_alone(monkeypatch):
+    rng = random.Random(6)
+    costs = {"".join(rng.choices("甲乙丙丁", k=rng.randrange(1, 5))): rng.randrange(1, 6) for _ in range(40)} | {"甲A": 1, "甲乙丙丁甲": 1}
+    words = pa.table({"word": list(costs), "cost": list(costs.values())})
+    runs = ["".join(rng.choices("甲乙丙丁戊", k=rng.randrange(1, 11))) for _ in range(80)]
+    splitter = segment.Splitter(words, 4)
+    want = [slow_split(run, {w: c for w, c in costs.items() if len(w) < 5}, splitter.unknown) for run in runs]
+    for alone in (0, 3, 1000):
+        monkeypatch.setattr(segment, "ALONE", alone)
+        found, n = splitter.split(pa.array(runs))
+        assert found.to_pylist() == [w for words in want for w in words] and n.tolist() == [len(w) for w in want]
+
+
+def test_texts_are_cut_where_they_lie(spark, monkeypatch):
+    """No row moves to be split; a dictionary too large to be sent is joined and gives the same."""
+    rows = texts(spark, corpus(random.Random(7), 40) + ["㐀期权ABC合约 x1期，期权期权", None, "", "!?", "a"])
+    words = spark.createDataFrame([(w, 1) for w in WORDS], "word string, cost long")
+    cut, lists = segment.tokens(rows, words), segment.term_lists(rows, words)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = sorted(map(tuple, cut.collect())), sorted((r.id, tuple(r.terms)) for r in lists.collect())
+    monkeypatch.setattr(segment, "MOST_SENT", 0)
+    assert "Join" in segment.tokens(rows, words)._jdf.queryExecution().executedPlan().toString()
+    assert got == (sorted(map(tuple, segment.tokens(rows, words).collect())), sorted((r.id, tuple(r.terms)) for r in segment.term_lists(rows, words).collect()))
+    assert dict(got[1])[40] == ("㐀", "期权", "abc", "合约", "x1", "期", "期权", "期权") and dict(got[1])[41] == ()
