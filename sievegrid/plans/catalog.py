@@ -313,7 +313,9 @@ def cjk_topk(spark, sf_dir):
     words, kids = _han_words(spark, sf_dir), _han(children(spark, sf_dir), "child_id")
     asked = segment.tokens(_han(questions(spark, sf_dir), "query_id"), words, "query_id")
     asked = asked.groupBy(F.col("id").alias("query_id"), "term").agg(F.count("*").alias("times"))
-    return bm25.search(bm25.build_from_terms(kids, segment.tokens(kids, words)), asked, 10)
+    path = new_path(spark, "han-terms")
+    segment.term_lists(kids, words).write.parquet(path)  # read to be counted, then to be scored
+    return bm25.search_lists(spark.read.parquet(path), asked, 10).select("query_id", "child_id", "score", "ord")
 
 
 # --- tables ------------------------------------------------------------------------------------------------------

@@ -165,3 +165,18 @@ def test_texts_are_cut_where_they_lie(spark, monkeypatch):
     assert "Join" in segment.tokens(rows, words)._jdf.queryExecution().executedPlan().toString()
     assert got == (sorted(map(tuple, segment.tokens(rows, words).collect())), sorted((r.id, tuple(r.terms)) for r in segment.term_lists(rows, words).collect()))
     assert dict(got[1])[40] == ("㐀", "期权", "abc", "合约", "x1", "期", "期权", "期权") and dict(got[1])[41] == ()
+
+
+def test_lists_score_as_texts(spark, monkeypatch):
+    """Products in tasks give what the join gives, with no row for each term that a document shares with a question."""
+    rng = random.Random(8)
+    parts = [[rng.choice(WORDS) for _ in range(rng.randrange(0, 9))] for _ in range(120)] + [["期权"]] * 3
+    lists = spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "id long, terms array<string>").repartition(3)
+    asked = spark.createDataFrame([(1, "期权", 1), (1, "合约", 2), (2, "行权价格", 1), (2, "和", 3), (3, "无", 1)], "query_id long, term string, times long")
+    want = bm25.search(bm25.build(lists, "id", "terms", split=True), asked, 20)
+    got = bm25.search_lists(lists, asked, 20)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    assert bm25.search_lists(lists, asked.where("query_id = 3"), 20).count() == 0
+    monkeypatch.setattr(bm25, "CELLS", 1)
+    assert sorted(map(tuple, bm25.search_lists(lists, asked, 20).select(got.columns).collect())) == sorted(map(tuple, got.collect()))
