@@ -1,6 +1,7 @@
 """Exact cosine search: blocks of queries against blocks of vectors, merged per query.
 
-A task multiplies one block of each and keeps the best k of every query, so only vectors and short lists move.
+A task multiplies one block of each and keeps the best k of every query, so only vectors and short lists move. All queries against all
+rows is quadratic by nature; memory is bounded by the blocks, and vectors move once for each block of the other side.
 """
 
 from __future__ import annotations
@@ -9,10 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from sievegrid.operators.bm25 import top
 
 BLOCK = 4096
+#: Rows of a block at most where blocks are as large as memory allows, as a search's are.
+LARGE = 1 << 14
+#: Pairs that are worked out in double precision at a time.
+PAIRS = 1 << 16
 DIGITS = 6
 
 
@@ -27,16 +33,51 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
 
 
+def _best(asked: np.ndarray, units: np.ndarray, rounded: np.ndarray, same: tuple[np.ndarray, np.ndarray] | None, k: int) -> tuple[np.ndarray, ...]:
+    """(query, row, score) of each query's best ``k``; of equal scores the earlier row comes first.
+
+    A product in single precision (``rounded``) rules out most rows: of the maxima of 4k groups of rows the k-th greatest is a bound that k rows
+    reach. What comes within a margin of it is worked out in double precision.
+    """
+    rough = asked.astype(np.float32) @ rounded.T
+    if same is not None:
+        first, past = same
+        for j in range(int((past - first).max(initial=0))):
+            own = np.flatnonzero(past - first > j)
+            rough[own, first[own] + j] = -2
+    wide = rough.shape[1] // (4 * k)
+    margin = 2 * 10.0**-DIGITS + 4 * (asked.shape[1] + 2) * np.finfo(np.float32).eps
+    bound = np.full(len(asked), -1.5, np.float32)
+    if wide > 1:
+        most = rough[:, : 4 * k * wide].reshape(len(asked), 4 * k, wide).max(axis=2)
+        bound = np.maximum(bound, np.partition(most, -k, axis=1)[:, -k] - margin)
+    query, row = np.nonzero(rough >= bound[:, None])
+    score = np.empty(len(query))
+    for start in range(0, len(query), PAIRS):
+        part = slice(start, start + PAIRS)
+        score[part] = np.einsum("ij,ij->i", asked[query[part]], units[row[part]])
+    score = np.round(score, DIGITS)
+    order = np.lexsort((row, -score, query))
+    query, row, score = query[order], row[order], score[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], row[kept], score[kept]
+
+
 def knn(queries: DataFrame, rows: DataFrame, k: int = 50, query_id: str = "query_id", row_id: str = "child_id", vec_col: str = "embedding", skip_same: bool = False) -> DataFrame:
     """(query_id, child_id, score, ord): the k rows of highest cosine for each query; score is rounded, ties go to the smaller id."""
     left, right = usable(queries, query_id, vec_col), usable(rows, row_id, vec_col)
-    many = [max(1, -(-x.count() // BLOCK)) for x in (left, right)]
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    counts = [x.count() for x in (left, right)]
+    # each row moves once for each block of the other side: few large blocks of rows, and as many of queries as keep all cores at work
+    many = [max(1, -(-counts[0] // LARGE), min(tasks, -(-counts[0] // BLOCK))), max(1, -(-counts[1] // LARGE))]
+    single = all(isinstance(df.schema[vec_col].dataType.elementType, FloatType) for df in (queries, rows))
+    vec = F.col("vec").cast("array<float>") if single else F.col("vec")
 
     def blocks(df: DataFrame, own: int) -> DataFrame:
         names = ("query_block", "row_block")
         df = df.withColumn(names[own], F.pmod(F.xxhash64("id"), F.lit(many[own])).cast("int"))
         df = df.withColumn(names[1 - own], F.explode(F.sequence(F.lit(0), F.lit(many[1 - own] - 1))))
-        return df.select("query_block", "row_block", F.size("vec").alias("dim"), F.col("id").alias("id"), F.col("vec").alias("vec"))
+        return df.select("query_block", "row_block", F.size("vec").alias("dim"), F.col("id").alias("id"), vec.alias("vec"))
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -45,17 +86,13 @@ def knn(queries: DataFrame, rows: DataFrame, k: int = 50, query_id: str = "query
             ids = right["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, q = ids[order], left["id"].to_numpy()
-            units = unit(right["vec"], dim)[order]
-            found = []
+            units, asked = unit(right["vec"], dim)[order], unit(left["vec"], dim)
+            rounded, found = units.astype(np.float32), []
             for start in range(0, len(q), 256):
                 part = slice(start, start + 256)
-                score = np.round(unit(left["vec"], dim)[part] @ units.T, DIGITS)
-                if skip_same:
-                    score[q[part][:, None] == ids] = -2
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(score, best, axis=1)
-                real = value > -2
-                found.append((np.repeat(q[part], real.sum(1)), ids[best][real], value[real]))
+                same = (np.searchsorted(ids, q[part]), np.searchsorted(ids, q[part], "right")) if skip_same else None
+                query, row, score = _best(asked[part], units, rounded, same, k)
+                found.append((q[part][query], ids[row], score))
             out = [np.concatenate(x) for x in zip(*found)]
         return pa.table(dict(zip(("query_id", "child_id", "score"), out)))
 
