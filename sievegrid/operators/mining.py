@@ -147,17 +147,17 @@ def random_others(pairs: DataFrame, parents: DataFrame, k: int, seed: str = "oth
     """(qa_id, others): up to k records (text, doc_title) of parents other than the right one, in a seeded order.
 
     Parents are dealt into parts of about ``DRAWN_FROM``, and a question draws from the part that its hash names, so that
-    questions meet few parents each.
+    questions meet few parents each. A question meets its part as one list and draws in its row: no row for each parent met is sorted.
     """
     parts = F.greatest(F.lit(1), F.floor(parents.agg(F.count("*").alias("n")).scalar() / DRAWN_FROM)).cast("long")
     dealt = lambda key: F.pmod(F.conv(F.substring(seeded_order(key, seed), 1, 8), 16, 10).cast("long"), parts)
-    held = parents.select(F.col("parent_id").alias("_other"), "text", "doc_title", dealt(F.col("parent_id")).alias("_part"))
-    asked = pairs.select("qa_id", "parent_id", dealt(F.col("qa_id")).alias("_part"))
-    met = asked.join(held, "_part").where(F.col("_other") != F.col("parent_id"))
-    order = W.partitionBy("qa_id").orderBy(seeded_order(F.concat_ws("-", "qa_id", "_other"), seed), "_other")
-    drawn = met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
-    listed = drawn.groupBy("qa_id").agg(F.array_sort(F.collect_list(F.struct("_n", "text", "doc_title"))).alias("others"))
-    return listed.select("qa_id", F.transform("others", lambda x: F.struct(x["text"].alias("text"), x["doc_title"].alias("doc_title"))).alias("others"))
+    held = parents.where("parent_id IS NOT NULL").select(dealt(F.col("parent_id")).alias("_part"), F.struct(F.col("parent_id").alias("other"), "text", "doc_title").alias("_held"))
+    held = held.groupBy("_part").agg(F.collect_list("_held").alias("_held"))  # about ``DRAWN_FROM``
+    asked = pairs.where("parent_id IS NOT NULL").groupBy("qa_id").agg(F.collect_set("parent_id").alias("_own")).withColumn("_part", dealt(F.col("qa_id")))
+    order = lambda x: F.struct(seeded_order(F.concat_ws("-", "qa_id", x["other"]), seed).alias("o"), x.alias("x"))
+    drawn = F.slice(F.array_sort(F.transform(F.filter("_held", lambda x: ~F.array_contains("_own", x["other"])), order)), 1, k)
+    met = asked.join(held, "_part").select("qa_id", F.transform(drawn, lambda d: F.struct(d["x"]["text"].alias("text"), d["x"]["doc_title"].alias("doc_title"))).alias("others"))
+    return met.where(F.size("others") > 0)
 
 
 def training_samples(pairs: DataFrame, parents: DataFrame, negatives: DataFrame, n_context: int = 4, seed: str = "sft") -> DataFrame:

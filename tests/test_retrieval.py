@@ -236,3 +236,15 @@ def test_clauses_everywhere_take_short_lists(spark):
     assert sorted(rows[1]) == [(1, 100, False), (2, 101, False), (3, 102, False), (4, 103, False)]
     plan = observed._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 3
+
+
+def test_random_others_are_drawn_in_the_row(spark):
+    """A question meets its part as one list: no window sorts a row for each parent met. Never the right parent, never more than there are."""
+    parents = spark.range(200).select(F.concat(F.lit("p"), F.col("id")).alias("parent_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit("d").alias("doc_title"))
+    pairs = spark.range(200).select(F.concat(F.lit("q"), F.col("id")).alias("qa_id"), F.concat(F.lit("p"), F.col("id")).alias("parent_id"))
+    out = mining.random_others(pairs, parents, 4)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = {r.qa_id: [x.text for x in r.others] for r in out.collect()}
+    assert len(rows) == 200 and all(len(set(v)) == 4 and "t" + k[1:] not in v for k, v in rows.items())
+    few = mining.random_others(pairs, parents.where("parent_id IN ('p1', 'p2')"), 4).collect()
+    assert {r.qa_id: len(r.others) for r in few} == {f"q{i}": 1 if i in (1, 2) else 2 for i in range(200)}
