@@ -248,3 +248,10 @@ def test_random_others_are_drawn_in_the_row(spark):
     assert len(rows) == 200 and all(len(set(v)) == 4 and "t" + k[1:] not in v for k, v in rows.items())
     few = mining.random_others(pairs, parents.where("parent_id IN ('p1', 'p2')"), 4).collect()
     assert {r.qa_id: len(r.others) for r in few} == {f"q{i}": 1 if i in (1, 2) else 2 for i in range(200)}
+
+
+def test_texts_are_not_split_to_be_filtered(spark):
+    """No condition on a text's words is inferred below the explode, which would split each text once more."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "")], "child_id long, text string")
+    plan = bm25.build(docs).postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
