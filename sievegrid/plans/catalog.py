@@ -439,7 +439,7 @@ blocks AS (SELECT query_id, p.ord, '[' || p.ord || '] · ' || parent_id || chr(1
 SELECT query_id, count(*) AS n_blocks, max(used)::bigint AS used, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS context
 FROM (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY ord) AS used FROM blocks) WHERE used <= 12000 GROUP BY query_id""")
 def context_budget(spark, sf_dir):
-    hits = _per_parent(spark, sf_dir).join(children(spark, sf_dir).select("child_id", "text"), "child_id")
+    hits = children(spark, sf_dir).select("child_id", "text").join(F.broadcast(_per_parent(spark, sf_dir)), "child_id")  # few for each benchmark passage: texts stay where they lie
     return context.contexts(context.blocks(hits, title="parent_id"))
 
 
@@ -537,8 +537,9 @@ ok AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS n FRO
 SELECT query_id, count(*) AS n_neg, list(text[:1500] ORDER BY n) AS neg FROM ok WHERE n <= 5 GROUP BY query_id""")
 def hard_negatives(spark, sf_dir):
     kids = children(spark, sf_dir)
-    hits = _bm25(spark, sf_dir, 30).join(kids.select("child_id", "text"), "child_id").select("query_id", F.col("child_id").alias("parent_id"), "text", "ord")
-    gold = _gold(spark, sf_dir).join(kids.select(F.col("child_id").alias("gold"), F.col("text").alias("gold_text")), "gold").select("query_id", F.col("gold").alias("gold_id"), "gold_text")
+    # thirty hits and one right document at most for each benchmark passage are sent to the texts, which stay where they lie
+    hits = kids.select("child_id", "text").join(F.broadcast(_bm25(spark, sf_dir, 30)), "child_id").select("query_id", F.col("child_id").alias("parent_id"), "text", "ord")
+    gold = kids.select(F.col("child_id").alias("gold"), F.col("text").alias("gold_text")).join(F.broadcast(_gold(spark, sf_dir).where("gold IS NOT NULL")), "gold").select("query_id", F.col("gold").alias("gold_id"), "gold_text")
     prose = F.lit("prose")
     same = mining.same_fact(prose, F.lit(""), F.lit(""), F.col("text"), prose, F.lit(""), F.lit(""), F.col("gold_text"))
     return mining.hard_negatives(hits, gold, same, 5)
