@@ -20,29 +20,68 @@ from pyspark.sql import functions as F
 #: Bytes of a window and windows of a run (a power of two), from the widest on; empty questions have none.
 LEVELS = ((32, 32), (8, 8), *((window, 1) for window in range(8, 0, -1)))
 _PIECE = 1 << 22
-#: Texts whose marks a task holds at once.
-_AT_ONCE = 64
+#: Bytes of texts that are marked together; a longer text is marked alone.
+_STRETCH = 1 << 15
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def _hashes(data: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of all windows."""
+    h = data.astype(np.uint64) + np.uint64(1)
+    width, power = 1, _BASE
+    while width < window:  # the hash of a window from those of its halves, which overlap where it is no power of two
+        step = min(width, window - width)
+        h = h[:-step] * power + h[step:]
+        width, power = width + step, np.uint64(int(power) ** 2 % 2**64)
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _least(h: np.ndarray, run: int) -> np.ndarray:
+    """The smallest of each run of neighbours."""
+    width = 1
+    while width < run:
+        h = np.minimum(h[:-width], h[width:])
+        width *= 2
+    return h
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted; much faster than ``np.unique``."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])[: len(h)]]
+
+
 def marks(data: np.ndarray, window: int, run: int) -> np.ndarray:
     """Sorted distinct hashes that are the smallest of a run of windows of a whole text, piece by piece."""
     found = [np.zeros(0, dtype=np.uint64)]
     for start in range(0, max(len(data) - window - run + 2, 0), _PIECE):
-        h = data[start : start + _PIECE + window + run - 2].astype(np.uint64) + np.uint64(1)
-        width, power = 1, _BASE
-        while width < window:  # the hash of a window from those of its halves, which overlap where it is no power of two
-            step = min(width, window - width)
-            h = h[:-step] * power + h[step:]
-            width, power = width + step, np.uint64(int(power) ** 2 % 2**64)
-        h = (h ^ (h >> np.uint64(29))) * _MIX
-        h ^= h >> np.uint64(32)
-        width = 1
-        while width < run:
-            h = np.minimum(h[:-width], h[width:])
-            width *= 2
-        found.append(np.unique(h))
-    return np.unique(np.concatenate(found))
+        found.append(_distinct(_least(_hashes(data[start : start + _PIECE + window + run - 2], window), run)))
+    return _distinct(np.concatenate(found))
+
+
+def marks_of_many(data: np.ndarray, start: np.ndarray, size: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, mark) of short texts that lie one after the other in ``data``, sorted and distinct, as ``marks`` gives them for each.
+
+    All are hashed at once; runs that are not within one text are left out.
+    """
+    if len(size) == 1:
+        found = marks(data[start[0] : start[0] + size[0]], window, run)
+        return np.zeros(len(found), np.int64), found
+    count = np.maximum(size - (window + run - 2), 0)
+    if not count.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    text = np.repeat(np.arange(len(size)), count)
+    at = np.arange(len(text)) + (start - np.cumsum(count) + count)[text]
+    mark = _least(_hashes(data, window), run)[at]
+    new = np.append(True, (mark[1:] != mark[:-1]) | (text[1:] != text[:-1]))  # neighbouring runs mostly have the same mark
+    text, mark = text[new], mark[new]
+    order = np.argsort(mark)
+    order = order[np.argsort(text[order], kind="stable")]
+    text, mark = text[order], mark[order]
+    new = np.append(True, (mark[1:] != mark[:-1]) | (text[1:] != text[:-1]))
+    return text[new], mark[new]
 
 
 def _level(size: int) -> int:
@@ -51,21 +90,32 @@ def _level(size: int) -> int:
 
 
 def mark_batches(batches: Iterator[pa.RecordBatch], levels: list[int] | None) -> Iterator[pa.RecordBatch]:
-    """(id, level, mark) of (id, text): all marks of a text at the given levels, or one mark of a question at its own level."""
-
-    def of(text: str) -> list[tuple[int, np.ndarray]]:
-        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        if levels is None:
-            level = _level(len(data))
-            return [(level, marks(data, *LEVELS[level])[:1])]
-        return [(level, marks(data, *LEVELS[level])) for level in levels]
-
-    for part in (batch.slice(start, _AT_ONCE) for batch in batches for start in range(0, batch.num_rows, _AT_ONCE)):
-        found = [(i, level, own) for i, x in enumerate(part.column(1)) for level, own in of(x.as_py())]
-        count = [len(own) for _, _, own in found]
-        at, level = (np.repeat(np.array([x[i] for x in found], dtype=kind), count) for i, kind in ((0, np.int64), (1, np.int32)))
-        mark = np.concatenate([np.zeros(0, np.uint64), *(own for _, _, own in found)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(level), pa.array(mark)], names=["id", "level", "mark"])
+    """(id, level, mark) of (id, text): all marks of a text at the given levels, or one mark of a question at its own level.
+
+    Texts are taken together, in stretches of about as many bytes, as most texts of a corpus may be short.
+    """
+    for batch in batches:
+        texts = batch.column(1).cast(pa.large_binary())
+        _, offsets, held = texts.buffers()
+        ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+        first = 0
+        while first < len(texts):
+            past = max(first + 1, int(np.searchsorted(ends, ends[first] + _STRETCH, "right")) - 1)
+            past = min(past, first + _STRETCH)  # empty texts have no bytes
+            start, size = ends[first:past] - ends[first], np.diff(ends[first : past + 1])
+            near, found = data[ends[first] : ends[past]], []
+            own = None if levels is not None else np.array([_level(x) for x in size])
+            for level in levels if levels is not None else sorted({*own.tolist()} - {len(LEVELS)}):
+                text, mark = marks_of_many(near, start, size if own is None else np.where(own == level, size, 0), *LEVELS[level])
+                if own is not None:  # the smallest one
+                    once = np.append(True, text[1:] != text[:-1])[: len(text)]
+                    text, mark = text[once], mark[once]
+                found.append((text, np.full(len(text), level, np.int32), mark))
+            if found:
+                text, level, mark = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + text)), pa.array(level), pa.array(mark.view(np.int64))], names=["id", "level", "mark"])
+            first = past
 
 
 def _marked(rows: DataFrame, levels: list[int] | None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions.text import history_lines, json_pairs, rewritten_or_original, strip, text_or_empty, without_thinking
 from sievegrid.operators import mining
+from sievegrid.sources.folders import new_path
 
 Model = Callable[[Column], Column]
 LEAST_TOKENS, MOST_TOKENS = 1024, 16_384
@@ -83,8 +84,14 @@ def mined_pairs(parents: DataFrame, model: Model, least: int = 60, most: int = 1
 
 
 def reworded(pairs: DataFrame, model: Model, corpus: DataFrame) -> DataFrame:
-    """Pairs with the question in a model's words, its id marked; those that stand in the corpus word for word go."""
+    """Pairs with the question in a model's words, its id marked; those that stand in the corpus word for word go.
+
+    Answers are written once: the search for leaks reads them several times, and each would ask the model and draw the pairs anew.
+    """
     made = rewritten_or_original(model(messages("Ask the same in other words.", F.col("question"))), F.col("question"))
     rows = pairs.withColumn("question", made).withColumn("qa_id", F.concat("qa_id", F.lit("_pp")))
+    path = new_path(pairs.sparkSession, "reworded")
+    rows.write.parquet(path)
+    rows = pairs.sparkSession.read.parquet(path)
     leaked = mining.leaks(rows.select(F.col("qa_id").alias("query_id"), F.col("question").alias("text")), corpus)
     return rows.join(leaked.withColumnRenamed("query_id", "qa_id"), "qa_id", "left_anti")

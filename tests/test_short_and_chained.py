@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievegrid.operators import containment, dedup
+from sievegrid.operators import containment, dedup, generation
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -81,3 +83,34 @@ def test_greedy_of_nothing(spark):
     assert dedup.greedy_kept(none, spark.range(0)).count() == 0
     assert sorted(r.id for r in dedup.greedy_kept(none, spark.range(3)).collect()) == [0, 1, 2]
     assert dedup.greedy_kept(none, spark.range(2).withColumn("x", F.lit(1)).withColumnRenamed("id", "k"), "k").columns == ["k"]
+
+
+def test_short_texts_are_marked_together(monkeypatch):
+    """Many short texts are not marked one by one, and get the marks that they get alone."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab c第é") for _ in range(rng.choice([0, 1, 7, 8, 15, 62, 63, 90]))) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], names=["id", "text"])
+    wanted = [(i, level, m) for i, x in enumerate(texts) for level in (0, 1, 6) for m in containment.marks(np.frombuffer(x.encode(), np.uint8), *containment.LEVELS[level]).view(np.int64).tolist()]
+    calls, alone = [], containment.marks
+    monkeypatch.setattr(containment, "marks", lambda *x: calls.append(1) or alone(*x))
+    for part in (batch, batch.slice(900, 800)):
+        got = [r for out in containment.mark_batches(iter([part]), [0, 1, 6]) for r in zip(*(c.to_pylist() for c in out.columns))]
+        ids = set(part.column(0).to_pylist())
+        assert sorted(got) == sorted(x for x in wanted if x[0] in ids)
+    assert len(calls) < 30
+
+
+def test_a_model_is_asked_once(spark):
+    """The search for leaks reads the answers that were written, it makes none."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(question):
+        asked.add(1)
+        return f"other words: {question}"
+
+    pairs = spark.createDataFrame([(f"q{i}", f"question {i}?") for i in range(5)], "qa_id string, question string")
+    corpus = spark.createDataFrame([("it says other words: question 3? there",)], "text string")
+    out = generation.reworded(pairs, lambda m: said(F.element_at(m, -1)["content"]), corpus)
+    assert sorted(r.qa_id for r in out.collect()) == ["q0_pp", "q1_pp", "q2_pp", "q4_pp"]
+    assert asked.value == 5
