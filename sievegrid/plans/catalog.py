@@ -613,7 +613,8 @@ def _second_stage_pool(spark, sf_dir):
     """The merged candidates of the thinned questions, with both texts; written once, as training and ranking read it."""
     kids, asked = children(spark, sf_dir), _thinned_questions(spark, sf_dir)
     channels = {"bm25": bm25.search(bm25.build(kids), asked, 50), "dense": _dense(spark, sf_dir)}
-    pool = fusion.fuse(channels).select("query_id", "child_id", "score", "ord").join(kids.select("child_id", "text"), "child_id")
+    merged = fusion.fuse(channels).select("query_id", "child_id", "score", "ord")  # few for each benchmark passage: texts stay where they lie
+    pool = kids.select("child_id", "text").join(F.broadcast(merged), "child_id")
     path = new_path(spark, "rerank-pool")
     pool.join(asked.select("query_id", F.col("text").alias("query")), "query_id").write.parquet(path)
     return spark.read.parquet(path)
@@ -623,7 +624,9 @@ def _second_stage_pool(spark, sf_dir):
 def ablation_learnt(spark, sf_dir):
     """The second stages on the half of the thinned questions that the learnt one has not seen."""
     held_out = F.crc32(F.col("query_id").cast("string")) % 2 == 0
-    pool, gold = _second_stage_pool(spark, sf_dir), _gold(spark, sf_dir)
+    pool, path = _second_stage_pool(spark, sf_dir), new_path(spark, "rerank-gold")
+    _gold(spark, sf_dir).write.parquet(path)  # training and each stage's ranks read it; texts are searched once
+    gold = spark.read.parquet(path)
     weights, _ = learnt.train(pool.where(~held_out), gold.where(~held_out))
     goals = gold.where(held_out & F.col("gold").isNotNull())
     ranks = []

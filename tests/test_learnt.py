@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from sievegrid.operators import learnt, rerank
 from sievegrid.plans import catalog
@@ -62,3 +63,17 @@ def test_no_worse_than_overlap_on_held_out_questions(spark):
     found = {r.stage: r for r in catalog.ablation_learnt(spark, "/root/testdata/sf0.01").collect()}
     assert len({r.n for r in found.values()}) == 1
     assert found["learnt"].mrr >= found["overlap"].mrr > found["merged"].mrr
+
+
+def test_right_documents_are_sought_once(spark, monkeypatch):
+    """Training and the ranks of each stage read the right documents that were written; texts are not searched for each anew."""
+    seen, found = spark.sparkContext.accumulator(0), catalog._gold
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(catalog, "_gold", lambda spark, sf_dir: found(spark, sf_dir).withColumn("gold", counted("gold")))
+    assert catalog.ablation_learnt(spark, "/root/testdata/sf0.001").count() == 3
+    assert seen.value == catalog.questions(spark, "/root/testdata/sf0.001").count()
