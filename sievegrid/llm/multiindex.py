@@ -38,7 +38,8 @@ SEED = 23
 #: Vectors in a cell, about, while the codebooks may still grow; centroids in a codebook at most.
 CELL_ROWS, MOST_CENTROIDS = 32, 1024
 TILE = 4096
-_BLOCK = 1024
+#: Rows that a task works on at a time, and pairs of them: of a large group of near copies every pair is a link.
+_BLOCK, _PAIRS = 1024, 1 << 20
 
 
 def _square(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -116,24 +117,23 @@ def tile_links(grid: Grid, ids: tuple[np.ndarray, np.ndarray], units: tuple[np.n
 
     A listed entry that is itself sought in the other's cell counts the link there, not here.
     """
-    counts: dict[int, int] = {}
     names, where = np.unique(np.concatenate(ids), return_inverse=True)
-    root = np.arange(len(names))
-    near, home = grid.distances(units[1]), grid.home(units[0])
-    for start in range(0, len(ids[0]), _BLOCK):
-        rows = slice(start, start + _BLOCK)
+    root, total = np.arange(len(names)), np.zeros(len(names), dtype=np.int64)
+    near, home = grid.distances(units[1]), np.divmod(grid.home(units[0]), len(grid.books[1]))
+    limit = near[0].min(1) + near[1].min(1) + grid.margin
+    step = max(1, min(_BLOCK, _PAIRS // max(1, len(ids[1]))))
+    for start in range(0, len(ids[0]), step):
+        rows = slice(start, start + step)
         close = units[0][rows] @ units[1].T >= threshold
         close &= (sizes[0][rows, None] == sizes[1]) & (ids[0][rows, None] != ids[1])
         seek, listed = np.nonzero(close)
         if not len(seek):
             continue
         seek += start
-        back = grid.excess((near[0][listed], near[1][listed]), home[seek]) > grid.margin
-        for at, n in ((ids[0][seek], weights[1][listed]), (ids[1][listed[back]], weights[0][seek[back]])):
-            own, which = np.unique(at, return_inverse=True)
-            for name, total in zip(own.tolist(), np.bincount(which, weights=n, minlength=len(own)).astype(np.int64).tolist()):
-                counts[name] = counts.get(name, 0) + total
+        back = near[0][listed, home[0][seek]] + near[1][listed, home[1][seek]] > limit[listed]  # a number of each codebook for each pair, not whole rows
         a, b = where[seek], where[len(ids[0]) + listed]
+        for at, n in ((a, weights[1][listed]), (b[back], weights[0][seek[back]])):
+            total += np.bincount(at, weights=n, minlength=len(names)).astype(np.int64)
         while len(a):
             x, y = root[a], root[b]
             apart = x != y
@@ -141,8 +141,9 @@ def tile_links(grid: Grid, ids: tuple[np.ndarray, np.ndarray], units: tuple[np.n
             np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
             while (root[root] != root).any():
                 root = root[root]
+    counted = np.flatnonzero(total)
     moved = np.flatnonzero(root != np.arange(len(root)))
-    return counts, dict(zip(names[moved].tolist(), names[root[moved]].tolist()))
+    return dict(zip(names[counted].tolist(), total[counted].tolist())), dict(zip(names[moved].tolist(), names[root[moved]].tolist()))
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, centroids: int | None = None) -> DataFrame:
