@@ -4,9 +4,9 @@ The index is a table of (cell, id, codes, error, vec), partitioned by cell, and
 each stretch of the residuals. A query goes to all cells that are further away than its nearest one by no more than a margin;
 the margin was measured while building, as the one within which so many of the exact neighbours of ``CALIBRATION`` sampled rows lie.
 
-In a cell the codes alone are read first. A code says where a vector is up to its error, so each has a least and a most
-distance; what can't be among the best k of its tile falls away, and nothing else does. The rest is verified on
-the vectors themselves. Within the cells visited a search is therefore exact, and with a ``recall`` of 1, which visits all cells, so is
+A code says where a vector is up to its error, so each has a least and a most distance; what can't be among the best k of its tile
+falls away, and nothing else does. The rest is verified on the vectors themselves. ``candidates`` reads the codes alone. A search multiplies
+blocks of queries with what the codes stand for, and where that leaves more than ``PAYS`` of the pairs, with the vectors in single precision. Within the cells visited a search is therefore exact, and with a ``recall`` of 1, which visits all cells, so is
 its result. Small cells lie together on a shelf and large ones are cut into tiles: a task screens and verifies one tile of rows for one of
 queries, so a query moves once for each shelf that it visits, a row once for each tile of queries, and only short lists come back.
 
@@ -37,8 +37,10 @@ PER_CELL, LEAST_SAMPLE, CALIBRATION = 16, 4096, 256
 #: Components in a stretch of a residual; codes of a codebook.
 STRETCH, CODES = 4, 256
 TILE_ROWS, TILE_QUERIES = 1 << 16, 1 << 10
-#: Rows of a shelf or of a tile of a larger cell, about, and queries that meet them in one task; distances and hits a task holds at once.
+#: Rows of a shelf or of a tile of a larger cell, about, and queries that meet them in one task; products a task holds at once.
 SHELF_ROWS, SHELF_QUERIES, MOST_HELD = 1 << 14, 1 << 14, 1 << 21
+#: The share of a block's pairs that codes may leave to be verified one by one; beyond it the rest of the tile is searched without them.
+PAYS = 1 / 64
 SEED = 11
 _AT_ONCE = 4096
 _ENTRIES = "cell int, id long, codes binary, error double, vec array<double>"
@@ -80,9 +82,13 @@ class Model:
         cell = _square(unit, self.cells).argmin(axis=1)
         rest = unit - self.cells[cell]
         codes = np.stack([_square(part, book).argmin(axis=1) for part, book in zip(self.stretches(rest), self.books)], axis=1).astype(np.uint8)
-        lost = rest - np.hstack([book[codes[:, i]] for i, book in enumerate(self.books)])
+        lost = unit - self.decoded(cell, codes)
         return cell, codes, np.sqrt((lost * lost).sum(axis=1))
 
+    def decoded(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the codes stand for."""
+        return self.cells[cell] + np.hstack([book[codes[:, i]] for i, book in enumerate(self.books)])
+
     def excess(self, unit: np.ndarray) -> np.ndarray:
         """How much further than its nearest cell each cell is from each row."""
         far = np.sqrt(_square(unit, self.cells))
@@ -183,11 +189,24 @@ def _probed(queries: DataFrame, model: Model) -> DataFrame:
     return queries.where(F.size("vec") == model.dim).select("id", "vec").mapInArrow(each, "query_id long, vec array<double>, cell int")
 
 
+def _visited(queries: DataFrame, model: Model) -> list[int]:
+    """All cells within the margin of any query, ``MOST_CELLS`` at most; a task returns each once."""
+    shared = queries.sparkSession.sparkContext.broadcast(model)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(shared.value.cells), dtype=bool)
+        for part in (batch.slice(start, _AT_ONCE) for batch in batches for start in range(0, batch.num_rows, _AT_ONCE)):
+            seen |= (shared.value.excess(_units(part.column(0), shared.value.dim)) <= shared.value.margin).any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int32())], names=["cell"])
+
+    return [r.cell for r in queries.where(F.size("vec") == model.dim).select("vec").mapInArrow(each, "cell int").distinct().collect()]
+
+
 def candidates(index: Index, queries: DataFrame, k: int = 50, skip_same: bool = False) -> DataFrame:
     """(query_id, cell, id): all rows of the cells visited that may be among the best k, by their codes; ``queries`` is (id, vec)."""
     spark, model = queries.sparkSession, index.model
     probed = _probed(queries, model)
-    visited = [r.cell for r in probed.select("cell").distinct().collect()]  # ``MOST_CELLS`` at most
+    visited = _visited(queries, model)
     held = index.entries.where(F.col("cell").isin(visited)) if visited else index.entries.where("false")
     row_tiles = held.groupBy("cell").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("row_tiles"))
     query_tiles = probed.groupBy("cell").agg(F.ceil(F.count("*") / TILE_QUERIES).cast("int").alias("query_tiles"))
@@ -235,47 +254,38 @@ def _shelves(counts: dict[int, int]) -> tuple[dict[int, int], list[int]]:
 
 
 def _searched(model: Model, left: pa.Table, right: pa.Table, k: int, skip_same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the query, id, score): the best k of each query among the rows of its cells, by their codes first and then by themselves."""
-    right = right.sort_by([("cell", "ascending"), ("id", "ascending")])
-    cell, ids, error = (right[c].to_numpy() for c in ("cell", "id", "error"))
+    """(query, id, score): the best k of each query among the rows of its cells.
+
+    Queries of one cell follow each other, so that the cells of a block of them are few if those of a query are.
+    """
+    right = right.sort_by("id")
+    ids, (cells, place) = right["id"].to_numpy(), np.unique(right["cell"].to_numpy(), return_inverse=True)
     codes = np.frombuffer(b"".join(right["codes"].to_pylist()), dtype=np.uint8).reshape(right.num_rows, -1)
-    names, query, rows = left["query_id"].to_numpy(), dense.unit(left["vec"], model.dim), dense.unit(right["vec"], model.dim)
-    lists = left["cells"].combine_chunks()
+    rows, off = dense.unit(right["vec"], model.dim), right["error"].to_numpy().astype(np.float32)
+    rounded, coded = rows.astype(np.float32), model.decoded(cells[place], codes).astype(np.float32)
+    left = left.take(pa.array(np.argsort(_square(dense.unit(left["vec"], model.dim), model.cells[cells]).argmin(axis=1), kind="stable")))
+    names, query, lists = left["query_id"].to_numpy(), dense.unit(left["vec"], model.dim), left["cells"].combine_chunks()
     asking, wanted = np.repeat(np.arange(left.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-    order = np.argsort(wanted, kind="stable")
-    asking, wanted = asking[order], wanted[order]
-    bound = np.full(len(query), np.inf)  # a distance within which a query has k rows already
+    asking, wanted = (x[np.isin(wanted, cells)] for x in (asking, wanted))
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    size = 0
-
-    def shortened() -> tuple[np.ndarray, ...]:
-        at, own, score = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((own, -score, at))
-        at, own, score = at[order], own[order], score[order]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        return at[place < k], own[place < k], score[place < k]
-
-    for c in np.unique(cell):
-        here = slice(*np.searchsorted(cell, [c, c + 1]))
-        all_at = asking[slice(*np.searchsorted(wanted, [c, c + 1]))]
-        step = max(1, MOST_HELD // (here.stop - here.start))
-        for at in (all_at[start : start + step] for start in range(0, len(all_at), step)):
-            parts = model.stretches(query[at] - model.cells[c])
-            far = np.sqrt(sum(_square(part, book)[:, codes[here, i]] for i, (part, book) in enumerate(zip(parts, model.books))))
-            same = skip_same & (names[at][:, None] == ids[here])
-            most = np.where(same, np.inf, far + error[here])
-            if most.shape[1] >= k:
-                bound[at] = np.minimum(bound[at], np.partition(most, k - 1, axis=1)[:, k - 1])
-            least = np.maximum(far - error[here], 0)
-            i, j = np.nonzero((least * least - 2 * _SLACK <= (bound[at] ** 2 + 1e-9)[:, None]) & ~same)
-            for start in range(0, len(i), 1 << 16):
-                a, b = i[start : start + (1 << 16)], j[start : start + (1 << 16)] + here.start
-                found.append((at[a], ids[b], np.round((query[at[a]] * rows[b]).sum(axis=1), dense.DIGITS)))
-            size += len(i)
-            if size > MOST_HELD:
-                found = [shortened()]
-                size = len(found[0][0])
-    return shortened()
+    step, by_codes = max(1, MOST_HELD // len(rows)), True
+    for start in range(0, len(query), step):
+        asked, own = query[start : start + step], slice(*np.searchsorted(asking, [start, start + step]))
+        away = np.ones((len(asked), len(cells)), dtype=bool)
+        away[asking[own] - start, np.searchsorted(cells, wanted[own])] = False
+        here = np.flatnonzero(~away.all(axis=0)[place])
+        pick = here if len(here) < len(rows) else slice(None)
+        hidden = away[:, place[pick]] if away[:, place[here]].any() else None
+        there, name = ids[pick], names[start : start + step]
+        same = (np.searchsorted(there, name), np.searchsorted(there, name, "right")) if skip_same else None
+        if by_codes:
+            at, row = dense._left(asked, coded[pick], same, k, off[pick], hidden)
+            by_codes = len(at) <= max(PAYS * len(asked) * len(here), 4 * k * len(asked))
+        if not by_codes:
+            at, row = dense._left(asked, rounded[pick], same, k, None, hidden)
+        at, row, score = dense._scored(asked, rows, at, here[row], k)
+        found.append((name[at], ids[row], score))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def search(index: Index, queries: DataFrame, k: int = 50, query_id: str = "query_id", vec_col: str = "embedding", skip_same: bool = False) -> DataFrame:
@@ -285,7 +295,7 @@ def search(index: Index, queries: DataFrame, k: int = 50, query_id: str = "query
         return spark.createDataFrame([], "query_id long, child_id long, score double, ord int")
     asked, model = dense.usable(queries, query_id, vec_col).where(F.size("vec") == index.model.dim), index.model
     shared = spark.sparkContext.broadcast(model)
-    visited = [r.cell for r in _probed(asked, model).select("cell").distinct().collect()]  # ``MOST_CELLS`` at most
+    visited = _visited(asked, model)
     if not visited:
         return spark.createDataFrame([], "query_id long, child_id long, score double, ord int")
     held = index.entries.where(F.col("cell").isin(visited))
@@ -309,8 +319,7 @@ def search(index: Index, queries: DataFrame, k: int = 50, query_id: str = "query
     def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         names, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if left.num_rows and right.num_rows:
-            at, ids, score = _searched(shared.value, left, right, k, skip_same)
-            names = left["query_id"].to_numpy()[at]
+            names, ids, score = _searched(shared.value, left, right, k, skip_same)
         return pa.table({"query_id": names, "child_id": ids, "score": score})
 
     numbers = F.broadcast(spark.createDataFrame([(c, s, tiles[s]) for c, s in shelf.items()], "cell int, shelf int, row_tiles int"))  # a row for each cell

@@ -33,25 +33,34 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
 
 
-def _best(asked: np.ndarray, units: np.ndarray, rounded: np.ndarray, same: tuple[np.ndarray, np.ndarray] | None, k: int) -> tuple[np.ndarray, ...]:
-    """(query, row, score) of each query's best ``k``; of equal scores the earlier row comes first.
+def _left(asked: np.ndarray, rounded: np.ndarray, same: tuple[np.ndarray, np.ndarray] | None, k: int, off: np.ndarray | None = None, hidden: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all pairs that may be among a query's best ``k``, by a product in single precision (``rounded``).
 
-    A product in single precision (``rounded``) rules out most rows: of the maxima of 4k groups of rows the k-th greatest is a bound that k rows
-    reach. What comes within a margin of it is worked out in double precision.
+    Of the maxima of 4k groups of rows the k-th greatest is a bound that k rows reach; what comes within a margin of it is left. With ``off``
+    the rows are stand-ins, each that far from the row itself at most; ``hidden`` says which rows a query doesn't look at.
     """
     rough = asked.astype(np.float32) @ rounded.T
+    if hidden is not None:
+        np.copyto(rough, np.float32(-np.inf), where=hidden)
     if same is not None:
         first, past = same
         for j in range(int((past - first).max(initial=0))):
             own = np.flatnonzero(past - first > j)
-            rough[own, first[own] + j] = -2
+            rough[own, first[own] + j] = -np.inf
     wide = rough.shape[1] // (4 * k)
     margin = 2 * 10.0**-DIGITS + 4 * (asked.shape[1] + 2) * np.finfo(np.float32).eps
     bound = np.full(len(asked), -1.5, np.float32)
     if wide > 1:
-        most = rough[:, : 4 * k * wide].reshape(len(asked), 4 * k, wide).max(axis=2)
+        sure = rough[:, : 4 * k * wide] if off is None else rough[:, : 4 * k * wide] - off[: 4 * k * wide]
+        most = sure.reshape(len(asked), 4 * k, wide).max(axis=2)
         bound = np.maximum(bound, np.partition(most, -k, axis=1)[:, -k] - margin)
-    query, row = np.nonzero(rough >= bound[:, None])
+    if off is not None:
+        rough += off
+    return np.nonzero(rough >= bound[:, None])
+
+
+def _scored(asked: np.ndarray, units: np.ndarray, query: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query, row, score) of each query's best ``k`` among the given pairs, in double precision; of equal scores the earlier row comes first."""
     score = np.empty(len(query))
     for start in range(0, len(query), PAIRS):
         part = slice(start, start + PAIRS)
@@ -63,6 +72,11 @@ def _best(asked: np.ndarray, units: np.ndarray, rounded: np.ndarray, same: tuple
     return query[kept], row[kept], score[kept]
 
 
+def _best(asked: np.ndarray, units: np.ndarray, rounded: np.ndarray, same: tuple[np.ndarray, np.ndarray] | None, k: int) -> tuple[np.ndarray, ...]:
+    """(query, row, score) of each query's best ``k``; of equal scores the earlier row comes first."""
+    return _scored(asked, units, *_left(asked, rounded, same, k), k)
+
+
 def knn(queries: DataFrame, rows: DataFrame, k: int = 50, query_id: str = "query_id", row_id: str = "child_id", vec_col: str = "embedding", skip_same: bool = False) -> DataFrame:
     """(query_id, child_id, score, ord): the k rows of highest cosine for each query; score is rounded, ties go to the smaller id."""
     left, right = usable(queries, query_id, vec_col), usable(rows, row_id, vec_col)
