@@ -273,9 +273,10 @@ def _searched(model: Model, left: pa.Table, right: pa.Table, k: int, skip_same:
         asked, own = query[start : start + step], slice(*np.searchsorted(asking, [start, start + step]))
         away = np.ones((len(asked), len(cells)), dtype=bool)
         away[asking[own] - start, np.searchsorted(cells, wanted[own])] = False
-        here = np.flatnonzero(~away.all(axis=0)[place])
+        seen = ~away.all(axis=0)
+        here = np.flatnonzero(seen[place])
         pick = here if len(here) < len(rows) else slice(None)
-        hidden = away[:, place[pick]] if away[:, place[here]].any() else None
+        hidden = away[:, place[pick]] if away[:, seen].any() else None
         there, name = ids[pick], names[start : start + step]
         same = (np.searchsorted(there, name), np.searchsorted(there, name, "right")) if skip_same else None
         if by_codes:
